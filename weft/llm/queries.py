@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media
+from . import chat, media, sentencepiece_trie
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,22 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_trie.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text(F.col("mask")))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op6_media_columns": op6_media_columns,
+    "op7_chat_perspectives": op7_chat_perspectives,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_perspectives": chat.PERSPECTIVES_SQL,
+}
