@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, sentencepiece_trie
+from . import chat, language_crf, media, sentencepiece_trie, toxicity_mil
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.language_of_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_mil.toxicity_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,8 @@ def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_language_crf": op4_language_crf,
+    "op5_toxicity_mil": op5_toxicity_mil,
     "op6_media_columns": op6_media_columns,
     "op7_chat_perspectives": op7_chat_perspectives,
 }
