@@ -106,21 +106,20 @@ def fit(samples: list[tuple[str, int]], steps: int = 250, seed: int = 5) -> Mode
             owner.append(i)
     col, row, own = np.array(columns, dtype=np.int64), np.array(rows, dtype=np.int64), np.array(owner, dtype=np.int64)
     w, bias = np.zeros(len(kept)), -9.0
-    squares, bias_squares = np.full(len(kept), 1e-6), 1e-6
+    rate, mean, square = 0.1, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)  # Adam; the bias comes last
     # Both classes count alike.
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
-    for _ in range(steps):
+    for step in range(1, steps + 1):
         z = np.clip(np.bincount(row, w[col], len(own)) + bias, -30, 30)
         p = 1 / (1 + np.exp(-z))
         none = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
         slope = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * weight
         g = p * slope[own]
-        gw = np.bincount(col, g[row], len(w)) + 0.05 * w
-        gb = g.sum()
-        squares += gw * gw
-        bias_squares += gb * gb
-        w -= 0.3 * gw / np.sqrt(squares)
-        bias -= 0.3 * gb / np.sqrt(bias_squares)
+        grad = np.append(np.bincount(col, g[row], len(w)) + 0.005 * w, g.sum())
+        mean = 0.9 * mean + 0.1 * grad
+        square = 0.99 * square + 0.01 * grad * grad
+        move = rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
+        w, bias = w - move[:-1], bias - move[-1]
     return Model(float(bias), {f: float(w[i]) for f, i in kept.items() if abs(w[i]) > 1e-3})
 
 
