@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_crf, media, sentencepiece_trie, toxicity_mil
+from . import chat, language_crf, media, packing, sentencepiece_trie, toxicity_mil
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,12 +35,19 @@ def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text(F.col("mask")))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_language_crf": op4_language_crf,
     "op5_toxicity_mil": op5_toxicity_mil,
     "op6_media_columns": op6_media_columns,
     "op7_chat_perspectives": op7_chat_perspectives,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
