@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_crf, media, packing, sentencepiece_trie, toxicity_mil
+from . import chat, language_crf, media, packing, sentencepiece_trie, toxicity_mil, wrapper
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
 
+def op1_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,6 +46,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_wrapper_extraction": op1_wrapper_extraction,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_language_crf": op4_language_crf,
     "op5_toxicity_mil": op5_toxicity_mil,
