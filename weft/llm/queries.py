@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_crf, media, packing, sentencepiece_trie, toxicity_mil, wrapper
+from . import chat, ivfpq, language_crf, media, packing, sentencepiece_trie, toxicity_mil, wrapper
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text(F.col("mask")))
 
 
+def op8_ivfpq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.neighbours_of_every_hundredth(table(spark, sf_dir, "embeddings"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity_mil": op5_toxicity_mil,
     "op6_media_columns": op6_media_columns,
     "op7_chat_perspectives": op7_chat_perspectives,
+    "op8_ivfpq_neighbours": op8_ivfpq_neighbours,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
