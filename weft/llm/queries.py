@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ivfpq, language_crf, media, packing, sentencepiece_trie, toxicity_mil, wrapper
+from . import chat, chosen_path, ivfpq, language_crf, media, packing, sentencepiece_trie, toxicity_mil, wrapper
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op8_ivfpq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.neighbours_of_every_hundredth(table(spark, sf_dir, "embeddings"))
 
 
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.joined(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op6_media_columns": op6_media_columns,
     "op7_chat_perspectives": op7_chat_perspectives,
     "op8_ivfpq_neighbours": op8_ivfpq_neighbours,
+    "op9_chosen_path_join": op9_chosen_path_join,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
