@@ -205,9 +205,10 @@ def joined(docs: DataFrame) -> DataFrame:
     n_links: how many other documents have a Jaccard similarity of 0.8 or more, copies included. class_id: the least
     doc_id of the documents that chains of links join. A text of one to four words is one shingle; a text without a word
     (null too) has no links and is a class of its own. Rows that share a doc_id count as copies of one another if their
-    texts agree. Other columns are not used. An empty table gives no rows.
+    texts agree. A row without doc_id takes no part: its class_id is null, its n_links 0. Other columns are not used. An
+    empty table gives no rows.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
+    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), "text")
     sets = written(text.mapInPandas(_sets, "doc_id long, digest binary, n int, mins binary"), "sets")
     reps = sets.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "mins")).alias("r"), F.count(F.lit(1)).alias("copies"))
     reps = written(reps.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.mins").alias("mins"), "copies"), "reps")
@@ -252,7 +253,9 @@ def joined(docs: DataFrame) -> DataFrame:
     lead = F.substring("digest", 1, 1)
     named = named.select("digest", lead.alias("_k"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = sets.select("doc_id", "digest", lead.alias("_k")).join(named, ["digest", "_k"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    none = F.lit(None).cast("long")
+    return out.unionAll(docs.where("doc_id is null").select(none, none, F.lit(0).cast("long")))
 
 
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,6 +266,7 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def kept(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: those whose doc_id is the class_id, so one of each group stays."""
-    stays = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays, docs["doc_id"].cast("long") == stays["_id"], "left_semi")
+    """The rows of ``docs`` that stand for their class: those whose doc_id is the class_id, so one of each group stays.
+    Rows without doc_id stay."""
+    goes = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(goes, docs["doc_id"].cast("long") == goes["_id"], "left_anti")

@@ -290,6 +290,24 @@ def identified(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
+def with_language(docs: DataFrame, model: Model, text: str = "text", column: str = "_language") -> DataFrame:
+    """``docs`` with a struct column (lang_pred, score) beside its own columns, which stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller(shared.value)
+        for b in batches:
+            texts, lang, score = b.fillna("").tolist(), [], []
+            for i, j in text_slices(texts, 2_000_000):
+                ls, ss = labeller.documents(texts[i:j])
+                lang += ls
+                score += ss
+            yield pd.DataFrame({"lang_pred": lang, "score": score})
+
+    named = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
+    return docs.withColumn(column, named(F.col(text)))
+
+
 def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, end, lang, n_words): the runs of words of one language in each text, in characters of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chosen_path, ivfpq, language_crf, media, packing, sentencepiece_trie, toxicity_mil, wrapper
+from . import chat, chosen_path, ivfpq, language_crf, media, packing, secrets, sentencepiece_trie, toxicity_mil, wrapper
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op1_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extracted(table(spark, sf_dir, "pages"))
 
 
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_of_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_wrapper_extraction": op1_wrapper_extraction,
+    "op2_secret_forest": op2_secret_forest,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_language_crf": op4_language_crf,
     "op5_toxicity_mil": op5_toxicity_mil,

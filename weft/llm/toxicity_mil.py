@@ -149,6 +149,17 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return out.select(F.col("key").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def with_toxicity(docs: DataFrame, model: Model, text: str = "text", column: str = "_toxicity") -> DataFrame:
+    """``docs`` with a double column of scores beside its own columns, which stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series(shared.value.scores(b.fillna("").tolist()), dtype=float)
+
+    return docs.withColumn(column, F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+
+
 def offending(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """(key, start, end, score) of the sentences that score ``least`` or more, in characters of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
