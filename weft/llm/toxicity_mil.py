@@ -26,6 +26,9 @@ from .common import WORD, bucket_of_id, hash_sample, text_slices
 PER_CLASS, FEATURES = 1500, 2000
 #: A feature counts if so many sampled documents have it and its shares in the classes differ by so many standard errors.
 LEAST_DOCS, LEAST_Z = 6, 4.0
+#: Log-odds of a sentence without evidence. It is not fitted: documents with thousands of plain sentences stay clean, and
+#: toxic documents that the sample can't explain don't raise the score of all others.
+BIAS = -9.0
 #: Words whose weights a Python worker keeps.
 KEPT_WORDS = 500_000
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -84,7 +87,7 @@ def fit(samples: list[tuple[str, int]], steps: int = 250, seed: int = 5) -> Mode
     y = np.array([label for _, label in samples], dtype=float)
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:
-        return Model(-8.0, {})
+        return Model(BIAS, {})
     # Features that occur in enough documents and unlike in the two classes.
     found: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for b, label in zip(bags, y, strict=True):
@@ -105,8 +108,8 @@ def fit(samples: list[tuple[str, int]], steps: int = 250, seed: int = 5) -> Mode
             rows += [len(owner)] * len(own)
             owner.append(i)
     col, row, own = np.array(columns, dtype=np.int64), np.array(rows, dtype=np.int64), np.array(owner, dtype=np.int64)
-    w, bias = np.zeros(len(kept)), -9.0
-    rate, mean, square = 0.1, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)  # Adam; the bias comes last
+    w, bias = np.zeros(len(kept)), BIAS
+    rate, mean, square = 0.1, np.zeros(len(kept)), np.zeros(len(kept))  # Adam
     # Both classes count alike.
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     for step in range(1, steps + 1):
@@ -115,11 +118,10 @@ def fit(samples: list[tuple[str, int]], steps: int = 250, seed: int = 5) -> Mode
         none = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
         slope = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * weight
         g = p * slope[own]
-        grad = np.append(np.bincount(col, g[row], len(w)) + 0.005 * w, g.sum())
+        grad = np.bincount(col, g[row], len(w)) + 0.05 * w
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
-        move = rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
-        w, bias = w - move[:-1], bias - move[-1]
+        w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
     return Model(float(bias), {f: float(w[i]) for f, i in kept.items() if abs(w[i]) > 1e-3})
 
 
