@@ -1,0 +1,183 @@
+"""Operators that join rows: results against brute force, odd rows; and the pipeline."""
+
+import random
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from weft.llm import chosen_path, components, ivfpq, queries, shingles, wrapper
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute_links(texts):
+    sh = shingles.Shingler()
+    sets = {k: set(sh.shingles(t).tolist()) for k, t in texts.items()}
+    links = {k: 0 for k in texts}
+    top = {k: k for k in texts}
+
+    def find(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    keys = sorted(texts)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return {k: (find(k), links[k]) for k in keys}
+
+
+def near_texts(n, edits, rng, words=120):
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randint(0, edits)):
+            own[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_join_equals_brute_force(spark):
+    rng = random.Random(2)
+    texts = [t for _ in range(40) for t in near_texts(rng.randint(1, 6), 3, rng)]
+    texts += near_texts(150, 2, rng) + ["same text here"] * 5 + ["", None, "!!!", "one", "one", "a b c d", "A b, c d."]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "c", b"m") for i, t in enumerate(texts)], "doc_id long, text string, class_id string, mins binary")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.joined(docs).collect()}
+    assert got == brute_links(dict(enumerate(texts)))
+    kept = {r.doc_id for r in chosen_path.kept(docs, chosen_path.joined(docs)).collect()}
+    assert kept == {c for c, _ in got.values()}
+
+
+def test_large_nodes_are_split_and_compared_by_blocks(spark, monkeypatch):
+    """Small blocks, set on the driver and in fresh workers through the module's names, reach every level."""
+    rng = random.Random(4)
+    texts = near_texts(120, 9, rng) + [t for _ in range(30) for t in near_texts(1, 0, rng)]
+    monkeypatch.setattr(chosen_path, "BLOCK", 16)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.joined(docs).collect()}
+    want = brute_links(dict(enumerate(texts)))
+    assert sum(n for _, n in got.values()) >= 0.99 * sum(n for _, n in want.values())
+    assert all(got[k][1] <= want[k][1] for k in got)
+
+
+def test_join_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f!"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
+    rows = sorted((r.doc_id or -1, r.class_id, r.n_links) for r in chosen_path.joined(docs).collect())
+    assert rows == [(-1, None, 0), (-1, None, 0), (1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    assert chosen_path.joined(docs.limit(0)).count() == 0
+
+
+def test_intersections_in_blocks():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(25)]
+    for i, j, counts in shingles.jaccard_counts(sets, block=7):
+        for x in range(counts.shape[0]):
+            for y in range(counts.shape[1]):
+                if i + x != j + y:
+                    assert counts[x, y] == len(np.intersect1d(sets[i + x], sets[j + y]))
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 201), (201, 200), (5, 5)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}, 200: 200, 201: 200}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_neighbours_have_recall_and_exact_scores(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = {}
+    for r in ivfpq.neighbours_of_every_hundredth(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    hits = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = ivfpq.exact(x[q], x)
+        d[q] = np.inf
+        own = got[ids[q]]
+        assert [r.rank for r in own] == list(range(1, 11))
+        assert all(r.score == pytest.approx(d[np.searchsorted(ids, r.vec_id)], abs=1e-12) for r in own)
+        assert [(r.score, r.vec_id) for r in own] == sorted((r.score, r.vec_id) for r in own)
+        hits += len({r.vec_id for r in own} & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(got) and len(got) == (ids % 100 == 0).sum()
+
+
+def test_neighbours_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (200, [0.0, 0.0]), (10, [])]
+    df = spark.createDataFrame([(*r, 7.0) for r in rows], "vec_id long, embedding array<float>, score double")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ivfpq.neighbours_of_every_hundredth(df).orderBy("rank").collect()]
+    assert got == [(100, 1, 1), (100, 2, 2), (100, 3, 3)]
+    assert ivfpq.neighbours_of_every_hundredth(df.limit(0)).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T{i}</title><script>var a="</p>";</script></head><body><header>Site</header>
+<nav><ul><li><a href="/{i}">go {i}</a></li></ul></nav><div class="ad">Buy {i}</div><div class="share">Share this</div>{main}
+<aside>also {i}</aside><div id="comments"><p>first! {i}</p></div><form><p>sign up {i}</p></form><footer>&copy; {i}</footer></body></html>"""
+
+
+def pages(spark, mains, url="http://a.example.org/{i}"):
+    return spark.createDataFrame([(i, url.format(i=i), PAGE.format(i=i, main=m), "clash") for i, m in enumerate(mains)], "page_id long, url string, html string, wrapper string")
+
+
+def test_article_element(spark):
+    mains = [f"<article><h1>Head {i} &amp; co</h1><p>Some <b>bold\n\n text</b> {i}<p>Next&nbsp;one {i}<ul><li>x<li>y {i}</ul></article>" for i in range(5)]
+    got = {r.page_id: r for r in wrapper.extracted(pages(spark, mains)).collect()}
+    assert got[3].text == "Head 3 & co\nSome bold text 3\nNext one 3\nx\ny 3" and got[3].n_chars == len(got[3].text)
+
+
+def test_varying_slots_of_unnamed_elements_and_constant_template(spark):
+    mains = [f"<div class='shell'><div class='top'>Always the same line</div><div class='body'><h2>Title {i}</h2><p>{'words and more ' * 20}{i}</p></div></div>" for i in range(6)]
+    got = {r.page_id: r.text for r in wrapper.extracted(pages(spark, mains)).collect()}
+    assert got[2] == f"Title 2\n{' '.join(('words and more ' * 20).split())} 2"
+
+
+def test_pages_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "http://a.example.org/", ""), (3, "not a url", "<p>bare text <"), (4, "http://b.example.org/x", "<article><p>cut &amp"), (4, "http://b.example.org/x", "<article><p>cut &amp"), (5, "http://c.example.org", "<div>" * 3000 + "deep")], "page_id long, url string, html string")
+    rows = sorted((r.page_id, r.text, r.n_chars) for r in wrapper.extracted(df).collect())
+    assert rows == [(1, "", 0), (2, "", 0), (3, "bare text <", 11), (4, "cut &", 5), (4, "cut &", 5), (5, "deep", 4)]
+    assert wrapper.extracted(df.limit(0)).count() == 0
+
+
+def test_tree_matching_keeps_order():
+    leaf = lambda x: [x, 1, 0, []]
+    a, b = ["r", 0, 0, [leaf("a"), leaf("b"), leaf("c"), leaf("a")]], ["r", 0, 0, [leaf("b"), leaf("a"), leaf("c"), leaf("a"), leaf("d")]]
+    pairs = wrapper.matched(a, b)
+    assert [x[0] for _, x, _ in sorted(pairs, key=lambda p: p[0])][:1] == ["r"] and len(pairs) == 4
+    assert all(x[0] == y[0] for _, x, y in pairs) and len({n for n, *_ in pairs}) == 4
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    lang = corpus_pipeline.language(spark, docs, sf)
+    assert lang.columns == docs.columns and ids(lang) == ids(docs.where("text rlike '[a-zA-Z]'"))
+    clean = corpus_pipeline.toxicity(spark, docs, sf)
+    gone = ids(docs) - ids(clean)
+    assert clean.columns == docs.columns and len(gone) > 50
+    assert sum(labels.get(i) == 0 for i in gone) <= 0.01 * sum(t == 0 for t in labels.values())
+    assert len(corpus_pipeline.STAGES) == 5 and len(queries.QUERIES) == 10
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))

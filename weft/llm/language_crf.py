@@ -35,7 +35,7 @@ UNDETERMINED = "und"
 
 def _slots(kind: int, *codes: np.ndarray) -> np.ndarray:
     """Places in the weight table for features of one kind, from the codes of their characters."""
-    h = np.full(len(codes[0]), np.uint64(kind) * np.uint64(0x9E3779B97F4A7C15))
+    h = np.full(len(codes[0]), kind * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
     for c in codes:
         h = (h ^ c.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
@@ -304,7 +304,7 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", column: str
                 score += ss
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    named = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
+    named = F.pandas_udf(run, "lang_pred string, score double")
     return docs.withColumn(column, named(F.col(text)))
 
 

@@ -159,7 +159,7 @@ def with_toxicity(docs: DataFrame, model: Model, text: str = "text", column: str
         for b in batches:
             yield pd.Series(shared.value.scores(b.fillna("").tolist()), dtype=float)
 
-    return docs.withColumn(column, F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+    return docs.withColumn(column, F.pandas_udf(run, "double")(F.col(text)))
 
 
 def offending(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
