@@ -42,15 +42,15 @@ def delta(a: Column, b: Value) -> Column:
 
 
 def even(x: Column) -> Column:
-    """Up to a whole number, then away from zero to an even one."""
+    """Up to a whole number, then on to an even one. The remainder has the sign of x, so -3 becomes -2."""
     up = F.ceil(x)
-    return F.when(up >= 0, up + up % 2).otherwise(up - F.abs(up % 2))
+    return F.when(up >= 0, up + up % 2).otherwise(up - up % 2)
 
 
 def odd(x: Column) -> Column:
-    """Up to a whole number, then away from zero to an odd one."""
+    """Up to a whole number, then on to an odd one. The remainder has the sign of x, so -3 becomes -5."""
     up = F.ceil(x)
-    return F.when(up >= 0, up + (1 - up % 2)).otherwise(up - (1 - F.abs(up % 2)))
+    return F.when(up >= 0, up + (1 - up % 2)).otherwise(up - (1 - up % 2))
 
 
 def int_(x: Column) -> Column:
