@@ -5,27 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "flagship_revenue_by_nation"
-
-
-def flagship_revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    li = read("lineitem").select("l_orderkey", "l_extendedprice", "l_discount")
-    orders = read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    customer = read("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
-    nation = read("nation").select("n_nationkey", "n_name")
-    joined = li.join(orders, "l_orderkey").join(customer, "o_custkey").join(nation, "n_nationkey")
-    return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("lines"))
+from . import catalog_formulas, catalog_tables
 
-
-QUERIES[FLAGSHIP] = flagship_revenue_by_nation
-ORACLES[FLAGSHIP] = """
-SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
-"""
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = catalog_formulas.QUERIES | catalog_tables.QUERIES
+ORACLES: dict[str, str] = catalog_formulas.ORACLES | catalog_tables.ORACLES
+FLAGSHIP = "example_brand_revenue"
