@@ -14,7 +14,7 @@ from weft.llm import chosen_path, language_crf, packing, secrets, toxicity_mil
 from weft.llm.common import table, written
 
 #: A text whose words belong to its best language by less than this on average is in none of the learned languages.
-LEAST_LANGUAGE = 0.4
+LEAST_LANGUAGE = 0.3
 #: Documents that score so much go.
 TOXIC = 0.5
 

@@ -142,6 +142,13 @@ def test_varying_slots_of_unnamed_elements_and_constant_template(spark):
     assert got[2] == f"Title 2\n{' '.join(('words and more ' * 20).split())} 2"
 
 
+def test_form_around_the_page_and_names_on_the_body(spark):
+    page = "<body class='article-page'><header>Site</header><form><div class='main-menu'>go</div><div id='main-text'><header><h1>T{i}</h1></header><p>{t}{i}</p></div><div class='cookie-notice'>ok?</div></form></body>"
+    df = spark.createDataFrame([(i, f"http://f.example.org/{i}", page.format(i=i, t="long text " * 9)) for i in range(4)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extracted(df).collect()}
+    assert got[1] == f"T1\n{' '.join(('long text ' * 9).split())} 1"
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None), (2, "http://a.example.org/", ""), (3, "not a url", "<p>bare text <"), (4, "http://b.example.org/x", "<article><p>cut &amp"), (4, "http://b.example.org/x", "<article><p>cut &amp"), (5, "http://c.example.org", "<div>" * 3000 + "deep")], "page_id long, url string, html string")
     rows = sorted((r.page_id, r.text, r.n_chars) for r in wrapper.extracted(df).collect())

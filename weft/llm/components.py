@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def _split_join(edges: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """Edges with the row of their node. The second key makes both sides get an exchange for this join alone, so adaptive
+    execution can split the edges of a node that has very many."""
+    part = F.pmod(F.col(key), F.lit(2))
+    return edges.withColumn("_k", part).join(least.withColumn("_k", part), [key, "_k"]).drop("_k")
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node of each node's component, for edges (a, b) of longs.
 
@@ -21,11 +28,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         # Large star: larger neighbours of a node go to its least neighbour (itself counts).
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        large = _split_join(both.where("v > u"), least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         # Small star: a node and its smaller neighbours go to the least of them.
         small = large.where("a < b").distinct()
         low = small.groupBy("b").agg(F.min("a").alias("m"))
-        moved = small.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).unionAll(low.select(F.col("m").alias("x"), F.col("b").alias("y")))
+        moved = _split_join(small, low, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).unionAll(low.select(F.col("m").alias("x"), F.col("b").alias("y")))
         links = written(moved.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
