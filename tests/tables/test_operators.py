@@ -1,6 +1,7 @@
 """Odd rows, refusals and properties of the table operators."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import logic, maths, text, windows
@@ -60,7 +61,8 @@ def test_aggregates(spark):
     assert rows(aggregates.grouped(none, [], {"n": F.count("v"), "s": F.sum("v")})) == [(0, None)]
     df = spark.createDataFrame([(1, 1.0, "x"), (1, 2.0, "y"), (2, None, "x")], "k int, v double, n string")
     assert rows(aggregates.pivoted(df, "k", "n", "v", ["x", "y"], "SUM", "nope")) == [(1, 1.0, 2.0), (2, None, None)]
-    for bad in (lambda: aggregates.aggregate("SUM", "*"), lambda: aggregates.aggregate("MODE", "v"), lambda: aggregates.pivoted(df, "k", "n", "v", ["x"], "COUNT_DISTINCT")):
+    over = F.sum("v").over(Window.partitionBy("k"))
+    for bad in (lambda: aggregates.grouped(df, ["k"], {"x": over}), lambda: aggregates.aggregate("SUM", "*"), lambda: aggregates.aggregate("MODE", "v"), lambda: aggregates.pivoted(df, "k", "n", "v", ["x"], "COUNT_DISTINCT")):
         with pytest.raises(ValueError):
             bad()
 
