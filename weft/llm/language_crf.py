@@ -28,7 +28,7 @@ PER_LANG, WORDS_EACH = 300, 120
 #: Size of the hashed weight table; words kept in each language's lexicon.
 TABLE, LEXICON = 1 << 15, 300
 #: Words whose scores a Python worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: The answer for a text without letters.
 UNDETERMINED = "und"
 

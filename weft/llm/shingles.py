@@ -13,7 +13,7 @@ SHINGLE = 5
 #: Min-wise values of a sketch.
 SKETCH = 128
 #: Words whose hashes a Python worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 _WORDS = re.compile(r"\w+")
 _rng = np.random.default_rng(20_011)

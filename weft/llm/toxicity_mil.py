@@ -30,7 +30,7 @@ LEAST_DOCS, LEAST_Z = 6, 4.0
 #: toxic documents that the sample can't explain don't raise the score of all others.
 BIAS = -9.0
 #: Words whose weights a Python worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 
 
