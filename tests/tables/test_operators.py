@@ -110,6 +110,17 @@ def test_merge_is_idempotent_and_checks_keys(spark, tmp_path):
             bad.checked()
 
 
+def test_append_writes_new_rows_alone(spark, tmp_path):
+    table = upkeep.Table(spark, str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        table.read()
+    for k in range(3):
+        upkeep.append(table, spark.range(k, k + 1))
+    assert rows(table.read()) == [(0,), (1,), (2,)] and len(list((tmp_path / "t").glob("v*"))) == 3
+    assert rows(upkeep.full(table, spark.range(1))) == [(0,)]
+    assert rows(upkeep.add_column(table, "c", "int")) == [(0, None)]
+
+
 def test_empty_destination_is_a_first_run(spark):
     src = spark.createDataFrame([(1,), (None,)], "c int")
     assert upkeep.above_mark(src, src.limit(0), {"column": "c"}).count() == 2

@@ -1,8 +1,8 @@
 """Table upkeep: full loads, views, append, merge and high-water-mark loads on versioned Parquet tables.
 
-A table is a folder with one folder for each version and a pointer file that names the current one. A new version is
-written next to the old, then the pointer is replaced, so a failed job leaves the table as it was and no job overwrites
-what it reads.
+A table is a folder with data folders and a pointer that names those of the current version. New data is written next to
+the old, then the pointer moves on, so a failed job leaves the table as it was and no job overwrites what it reads. An
+append writes the new rows alone.
 """
 
 from __future__ import annotations
@@ -25,31 +25,36 @@ class Table:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self) -> str | None:
+    def _version(self) -> tuple[int, list[str]]:
+        """The number of the current version, 0 for none, and its data folders."""
         try:
             rows = self.spark.read.text(f"{self.path}/current").orderBy(F.desc("value")).limit(1).collect()
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return None
+                return 0, []
             raise
-        return rows[0][0] if rows else None
+        number, *folders = rows[0][0].split(" ") if rows else ("0",)
+        return int(number), folders
 
     def exists(self) -> bool:
-        return self._pointer() is not None
+        return self._version()[0] > 0
 
     def read(self) -> DataFrame:
-        at = self._pointer()
-        if at is None:
+        folders = self._version()[1]
+        if not folders:
             raise ValueError(f"no table at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{at}")
+        return self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders))
 
-    def write(self, df: DataFrame) -> None:
-        """A new version; the pointer is a one-line file that is added when the version is complete."""
-        before = self._pointer()
-        number = int(before.split("-")[0][1:]) + 1 if before else 1
-        at = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{at}")
-        self.spark.createDataFrame([(at,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/current")
+    def write(self, df: DataFrame, keep: bool = False) -> None:
+        """A new version of the rows of ``df``, next to those of the current version if ``keep``.
+
+        The pointer is one line in a file of its own, added when the data is complete; the greatest number counts.
+        """
+        number, folders = self._version()
+        folder = f"v{number + 1:08d}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.path}/{folder}")
+        line = " ".join([f"{number + 1:08d}", *(folders if keep else []), folder])
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/current")
 
 
 def full(table: Table, df: DataFrame) -> DataFrame:
@@ -96,8 +101,12 @@ def add_column(table: Table, name: str, kind: str) -> DataFrame:
 
 
 def append(table: Table, df: DataFrame) -> DataFrame:
-    """All rows of ``df`` below those of the table."""
-    return full(table, table.read().unionByName(df.select(*table.read().columns)) if table.exists() else df)
+    """All rows of ``df`` beside those of the table, by column name; what is there is not written again."""
+    if table.exists():
+        now = table.read()
+        df = df.select(*(F.col(f.name).cast(f.dataType) for f in now.schema.fields))
+    table.write(df, keep=True)
+    return table.read()
 
 
 insert_into = append
