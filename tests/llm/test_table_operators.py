@@ -114,7 +114,7 @@ def test_neighbours_have_recall_and_exact_scores(spark):
 
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (200, [0.0, 0.0]), (10, [])]
+    rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (200, [0.0, 0.0]), (10, []), (3, [0.0, 1.0])]
     df = spark.createDataFrame([(*r, 7.0) for r in rows], "vec_id long, embedding array<float>, score double")
     got = [(r.query_id, r["rank"], r.vec_id) for r in ivfpq.neighbours_of_every_hundredth(df).orderBy("rank").collect()]
     assert got == [(100, 1, 1), (100, 2, 2), (100, 3, 3)]
