@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weft.plans.upkeep import Table, append, checked_keys, full, merged
@@ -25,8 +24,3 @@ def upsert(stream: DataFrame, table: Table, keys: list[str], checkpoint: str, la
             full(table, checked_keys(df, keys, latest_by))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str, late: str) -> DataFrame:
-    """Rows per key and tumbling window; rows later than ``late`` after the newest are dropped by the watermark."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", *keys, "n")
