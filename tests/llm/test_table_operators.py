@@ -156,6 +156,13 @@ def test_pages_odd_rows(spark):
     assert wrapper.extracted(df.limit(0)).count() == 0
 
 
+def test_constant_paragraph_beside_varying_ones(spark):
+    page = "<div id=c><h1>Head {i}</h1><p>First words of {i}</p><p>More words of {i}</p><hr><p>All rights reserved</p><blockquote>Read on <p>Slot {i}</p></blockquote></div>"
+    df = spark.createDataFrame([(i, f"http://p.example.org/{i}", page.format(i=i)) for i in range(5)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extracted(df).collect()}
+    assert got == {i: f"Head {i}\nFirst words of {i}\nMore words of {i}\nSlot {i}" for i in range(5)}
+
+
 def test_tree_matching_keeps_order():
     leaf = lambda x: [x, 1, 0, []]
     a, b = ["r", 0, 0, [leaf("a"), leaf("b"), leaf("c"), leaf("a")]], ["r", 0, 0, [leaf("b"), leaf("a"), leaf("c"), leaf("a"), leaf("d")]]
