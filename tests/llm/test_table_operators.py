@@ -163,6 +163,24 @@ def test_constant_paragraph_beside_varying_ones(spark):
     assert got == {i: f"Head {i}\nFirst words of {i}\nMore words of {i}\nSlot {i}" for i in range(5)}
 
 
+def test_layouts_of_a_host_have_pivots_of_their_own(spark):
+    one = "<body><div class=x><p>Always one</p><div class=t><h2>Title {i}</h2><p>{w} {i}</p></div></div><table><tr><td>Fixed cell</table></body>"
+    two = "<body><section><h3>Always two</h3><div class=u><p>{w} {i}</p></div><hr><p>Rights of two</p></section></body>"
+    words = "words and more " * 20
+    html = [None, "<body><p>Not found</p></body>", *[(one if i % 2 else two).format(i=i, w=words) for i in range(2, 12)], "<body><table><tr><td>Fixed cell</table><p>Odd page</p></body>"]
+    df = spark.createDataFrame([(i, f"http://l.example.org/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extracted(df).collect()}
+    said = " ".join(words.split())
+    assert got[0] == "" and got[1] == "Not found" and got[3] == f"Title 3\n{said} 3" and got[4] == f"{said} 4" and "Odd page" in got[12]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<body><div><h2>Title {i}</h2><p>Text of {i}</p></div></body>"
+    df = spark.createDataFrame([(i, f"http://k.example.org/{i}", page.format(i=max(i - 40, 0))) for i in range(43)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extracted(df).collect()}
+    assert got[5] == "Title 0\nText of 0" and got[42] == "Title 2\nText of 2"
+
+
 def test_tree_matching_keeps_order():
     leaf = lambda x: [x, 1, 0, []]
     a, b = ["r", 0, 0, [leaf("a"), leaf("b"), leaf("c"), leaf("a")]], ["r", 0, 0, [leaf("b"), leaf("a"), leaf("c"), leaf("a"), leaf("d")]]
