@@ -121,6 +121,31 @@ def test_neighbours_odd_rows(spark):
     assert ivfpq.neighbours_of_every_hundredth(df.limit(0)).count() == 0
 
 
+def brute_neighbours(ids, x, q):
+    d = ivfpq.exact(x[q], x)
+    d[q] = np.inf
+    return ids[np.lexsort((ids, d))[:10]].tolist()
+
+
+def neighbours_of(spark, x):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ivfpq.neighbours_of_every_hundredth(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_neighbours_in_groups_of_copies_and_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(7000, 16)).astype(np.float32)
+    x[1000:4000] = x[1000]
+    x[4000:7000] = x[4000] + rng.normal(size=(3000, 16)).astype(np.float32) * 1e-3
+    got, ids = neighbours_of(spark, x), np.arange(len(x))
+    assert got[1000] == list(range(1001, 1011)) and got[2500] == list(range(1000, 1010))
+    near = [len(set(got[q]) & set(brute_neighbours(ids, x.astype(np.float64), q))) for q in range(4000, 7000, 100)]
+    assert sum(near) >= 9 * len(near)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T{i}</title><script>var a="</p>";</script></head><body><header>Site</header>
 <nav><ul><li><a href="/{i}">go {i}</a></li></ul></nav><div class="ad">Buy {i}</div><div class="share">Share this</div>{main}
 <aside>also {i}</aside><div id="comments"><p>first! {i}</p></div><form><p>sign up {i}</p></form><footer>&copy; {i}</footer></body></html>"""

@@ -3,7 +3,9 @@
 Coarse centroids, codebooks and the number of lists to probe are fitted on a bounded sample; every vector is then
 indexed: it goes to the list of its nearest centroid and its residual becomes one byte per subspace. A query visits the
 lists of its nearest centroids, ranks their vectors by asymmetric distance tables (query exact, vectors as codes), and
-the best of each shard are ranked again by exact distance on the original vectors.
+the best of each shard are ranked again by exact distance on the original vectors, as are all others whose code distance
+less the error of their code may still be among the nearest: within the lists probed the result is exact. Equal vectors
+are one entry of the index, with their smallest ids.
 
 Lists are cut into units and units are dealt to shards of about SHARD vectors, and queries into blocks of about as many,
 so no task depends on the size of one list or on the number of queries.
@@ -21,12 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import written
+
 #: Vectors in the sample for fitting (in expectation), lists at most, subspaces and codewords of a subspace.
 SAMPLE, LISTS, SUBSPACES, WORDS = 16_384, 4_096, 16, 256
 #: Vectors of a unit, of a shard, queries of a block (about).
 UNIT, SHARD, BLOCK = 1_024, 8_192, 4_096
-#: Share of sampled true neighbours whose lists must be probed; vectors of a shard ranked again for each query.
+#: Share of sampled true neighbours whose lists must be probed; vectors of a shard ranked again first for each query.
 TARGET, AGAIN = 0.985, 256
+#: Parts that the ids of equal vectors are cut into; queries compared at a time.
+SALTS, TOGETHER = 16, 64
 
 
 def usable(embedding: Column) -> Column:
@@ -67,6 +73,13 @@ class Index:
         rest = x - self.centroids[lists]
         return np.stack([_nearest(rest[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], axis=1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances of the rows of x from what their codes stand for."""
+        rest = x - self.centroids[lists]
+        for s, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
+            rest[:, p] -= b[codes[:, s]]
+        return np.sqrt((rest * rest).sum(1))
+
     def tables(self, q: np.ndarray, number: int) -> np.ndarray:
         """Squared distances (queries, subspaces, codewords) of what queries have beyond a centroid to the codewords."""
         rest = q - self.centroids[number]
@@ -124,24 +137,56 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float32) if len(column) else np.zeros((0, 0), np.float32)
 
 
+def folded(vectors: DataFrame, most: int) -> DataFrame:
+    """(vec_id, embedding, ids): one row for equal vectors, with their ``most`` smallest ids in order; vec_id is the first.
+
+    Equal means equal in two 64-bit hashes. Ids are ranked apart from the vectors, by parts first, so that very many
+    copies of one vector are no single task's.
+    """
+    e = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))  # -0 is 0
+    keyed = vectors.select("vec_id", e.alias("embedding")).select("*", F.xxhash64("embedding").alias("k"), F.xxhash64(F.lit(17), "embedding").alias("l"))
+    ids = keyed.select("k", "l", "vec_id").distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    w = Window.partitionBy("k", "l", "salt").orderBy("vec_id")
+    ids = ids.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    ids = ids.groupBy("k", "l").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, most).alias("ids"))
+    one = keyed.groupBy("k", "l").agg(F.min("embedding").alias("embedding"))
+    return one.join(ids, ["k", "l"]).select(F.col("ids")[0].alias("vec_id"), "embedding", "ids")
+
+
+def _firsts(order: np.ndarray, d: np.ndarray, ids: list, own: int, neighbours: int) -> list[tuple[float, int]]:
+    """The nearest (distance, id) of rows in order of distance, ids other than ``own`` once; ties to smaller ids."""
+    seen: dict[int, float] = {}
+    last = -1.0
+    for k in order:
+        if len(seen) >= neighbours and d[k] > last:
+            break
+        last = d[k]
+        for i in ids[k]:
+            if i != own:
+                seen.setdefault(int(i), float(last))
+    return sorted((x, i) for i, x in seen.items())[:neighbours]
+
+
 def searched(vectors: DataFrame, queries: DataFrame, neighbours: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest vectors found for each query, by Euclidean distance.
 
     vectors, queries: (vec_id, embedding); other columns are not used. A query's own vec_id is no candidate; ties go to
     the smaller vec_id. Null, zero or non-finite vectors take no part, nor do vectors whose length is not the commonest
-    (of equally common lengths the smaller). A repeated query id is asked once, and
+    (of equally common lengths the smaller), nor rows without vec_id. A repeated query id is asked once, and
     rows of one vec_id are one candidate (the nearest of them). Fewer candidates than ``neighbours``: all
     of them, as all lists of so small a table are probed.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    take = lambda df: df.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    take = lambda df: df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     vectors, queries = take(vectors), take(queries)
     size = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if size is None:
         return empty
     vectors = vectors.where(F.size("embedding") == size["d"])
     queries = queries.where(F.size("embedding") == size["d"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # One id more than asked for: a query's own is no candidate.
+    vectors = written(folded(vectors, neighbours + 1), "vectors")
     index, total = fitted(vectors, neighbours)
     model = spark.sparkContext.broadcast(index)
 
@@ -151,9 +196,11 @@ def searched(vectors: DataFrame, queries: DataFrame, neighbours: int = 10) -> Da
             x = _matrix(b["embedding"])
             lists = _nearest(x.astype(np.float64), m.centroids) if len(b) else np.zeros(0, np.int64)
             codes = m.codes(x.astype(np.float64), lists) if len(b) else np.zeros((0, 1), np.uint8)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": list(x), "list": lists, "codes": [c.tobytes() for c in codes]})
+            errors = m.errors(x.astype(np.float64), lists, codes) if len(b) else np.zeros(0)
+            yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": list(x), "ids": b["ids"], "list": lists, "codes": [c.tobytes() for c in codes], "error": errors})
 
-    indexed = vectors.mapInPandas(assign, "vec_id long, embedding array<float>, list int, codes binary")
+    entry = "vec_id long, embedding array<float>, ids array<long>, list int, codes binary, error double"
+    indexed = vectors.mapInPandas(assign, entry)
     # Units of each list: one number a list, at most LISTS of them. Assigning again is cheaper than keeping the table.
     counts = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     units = np.ones(len(index.centroids), np.int64)
@@ -188,43 +235,46 @@ def searched(vectors: DataFrame, queries: DataFrame, neighbours: int = 10) -> Da
         m = model.value
         out = []
         if len(qs) and len(vs):
-            x, q, ids = _matrix(vs["embedding"]), _matrix(qs["query"]), vs["vec_id"].to_numpy()
+            x, q, ids = _matrix(vs["embedding"]), _matrix(qs["query"]), vs["ids"].to_numpy()
             codes = np.frombuffer(b"".join(vs["codes"]), np.uint8).reshape(len(vs), -1)
-            lists = vs["list"].to_numpy()
-            askers: dict[int, list[int]] = {}
-            for i, ls in enumerate(qs["lists"]):
-                for n in ls:
-                    askers.setdefault(int(n), []).append(i)
-            near: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(qs))]
-            for n in np.unique(lists).tolist():
-                rows = np.flatnonzero(lists == n)
-                asked = askers.get(n, [])
-                for i in range(0, len(asked), 256):
-                    some = asked[i : i + 256]
-                    table = m.tables(q[some].astype(np.float64), n)
-                    sums = np.zeros((len(some), len(rows)), np.float32)
+            lists, errors = vs["list"].to_numpy(), vs["error"].to_numpy()
+            rows_of = {int(n): np.flatnonzero(lists == n) for n in np.unique(lists)}
+            for start in range(0, len(qs), TOGETHER):
+                some = range(start, min(start + TOGETHER, len(qs)))
+                askers: dict[int, list[int]] = {}
+                for a in some:
+                    for n in qs["lists"].iloc[a]:
+                        if int(n) in rows_of:
+                            askers.setdefault(int(n), []).append(a)
+                near: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+                for n, asked in askers.items():
+                    rows = rows_of[n]
+                    table = m.tables(q[asked].astype(np.float64), n)
+                    sums = np.zeros((len(asked), len(rows)), np.float32)
                     for s in range(codes.shape[1]):
                         sums += table[:, s][:, codes[rows, s]]
-                    for j, a in enumerate(some):
-                        if len(rows) > AGAIN:
-                            best = np.argpartition(sums[j], AGAIN - 1)[:AGAIN]
-                            near[a].append((rows[best], sums[j][best]))
-                        else:
-                            near[a].append((rows, sums[j]))
-            for a, found in enumerate(near):
-                if not found:
-                    continue
-                rows, sums = (np.concatenate(z) for z in zip(*found, strict=True))
-                if len(rows) > AGAIN:
-                    rows = rows[np.argpartition(sums, AGAIN - 1)[:AGAIN]]
-                rows = rows[ids[rows] != qs["query_id"].iloc[a]]
-                d = exact(q[a], x[rows])
-                keep = np.lexsort((ids[rows], d))
-                keep = keep[np.sort(np.unique(ids[rows[keep]], return_index=True)[1])][:neighbours]
-                out += [(qs["query_id"].iloc[a], ids[rows[k]], d[k]) for k in keep]
+                    for a, row in zip(asked, sums, strict=True):
+                        near.setdefault(a, []).append((rows, row))
+                for a, parts in near.items():
+                    rows, sums = (np.concatenate(z) for z in zip(*parts, strict=True))
+                    # No vector is nearer than its code less the error of the code (and of the sums).
+                    far = np.sqrt(np.maximum(sums.astype(np.float64), 0))
+                    least = far - errors[rows] - 1e-4 * (far + errors[rows]) - 1e-6 * np.linalg.norm(q[a])
+                    own = int(qs["query_id"].iloc[a])
+                    first = np.argpartition(sums, AGAIN - 1)[:AGAIN] if len(rows) > AGAIN else np.arange(len(rows))
+                    d = np.full(len(rows), np.inf)
+                    d[first] = exact(q[a], x[rows[first]])
+                    best = _firsts(first[np.argsort(d[first], kind="stable")], d, ids[rows], own, neighbours)
+                    bound = best[-1][0] if len(best) == neighbours else np.inf
+                    more = np.flatnonzero((least <= bound) & np.isinf(d))
+                    if len(more):
+                        d[more] = exact(q[a], x[rows[more]])
+                        done = np.flatnonzero(np.isfinite(d))
+                        best = _firsts(done[np.argsort(d[done], kind="stable")], d, ids[rows], own, neighbours)
+                    out += [(own, i, z) for z, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    vs = indexed.mapInPandas(shard, "vec_id long, embedding array<float>, list int, codes binary, shard long")
+    vs = indexed.mapInPandas(shard, f"{entry}, shard long")
     vs = vs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     qs = queries.mapInPandas(probe, "query_id long, query array<float>, shard long, lists array<int>")
     qs = qs.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
