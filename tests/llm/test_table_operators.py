@@ -146,6 +146,21 @@ def test_neighbours_in_groups_of_copies_and_near_copies(spark):
     assert sum(near) >= 9 * len(near)
 
 
+def test_neighbours_of_outliers_in_skewed_lists(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(4000, 16)) * 0.05).astype(np.float32)
+    # Pairs far from all others: their own lists hold fewer than ten vectors.
+    for k in range(0, 4000, 400):
+        x[k] = rng.normal(size=16) * 50
+        x[k + 1] = x[k] + np.float32(0.01)
+    got, ids = neighbours_of(spark, x), np.arange(len(x))
+    assert len(got) == 40 and all(len(g) == 10 for g in got.values())
+    assert sum(len(set(g) & set(brute_neighbours(ids, x.astype(np.float64), q))) for q, g in got.items()) >= 0.9 * 400
+    assert all(got[k][0] == k + 1 for k in range(0, 4000, 400))
+    monkeypatch.setattr(ivfpq, "TARGET", 0.0)  # one list each, unless that holds too few
+    assert {len(g) for g in neighbours_of(spark, x).values()} == {10}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T{i}</title><script>var a="</p>";</script></head><body><header>Site</header>
 <nav><ul><li><a href="/{i}">go {i}</a></li></ul></nav><div class="ad">Buy {i}</div><div class="share">Share this</div>{main}
 <aside>also {i}</aside><div id="comments"><p>first! {i}</p></div><form><p>sign up {i}</p></form><footer>&copy; {i}</footer></body></html>"""

@@ -118,8 +118,7 @@ def fit(x: np.ndarray, total: int, neighbours: int = 10, seed: int = 3) -> Index
         place[order] = np.arange(len(order))
         ranks += place[lists[near]].tolist()
     probes = int(np.quantile(ranks, TARGET)) + 1 if ranks else 1
-    # A table that one shard holds is probed as a whole.
-    return Index(centroids, parts, books, len(centroids) if total <= SHARD // 4 else probes)
+    return Index(centroids, parts, books, probes)
 
 
 def fitted(vectors: DataFrame, neighbours: int = 10, sample: int = SAMPLE) -> tuple[Index, int]:
@@ -174,7 +173,7 @@ def searched(vectors: DataFrame, queries: DataFrame, neighbours: int = 10) -> Da
     the smaller vec_id. Null, zero or non-finite vectors take no part, nor do vectors whose length is not the commonest
     (of equally common lengths the smaller), nor rows without vec_id. A repeated query id is asked once, and
     rows of one vec_id are one candidate (the nearest of them). Fewer candidates than ``neighbours``: all
-    of them, as all lists of so small a table are probed.
+    of them. A query probes as many lists as the index says, and on until they hold enough candidates.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -208,22 +207,30 @@ def searched(vectors: DataFrame, queries: DataFrame, neighbours: int = 10) -> Da
         units[number] = -(-n // UNIT)
     shards = int(max(1, -(-total // SHARD)))
     first = np.concatenate([[0], np.cumsum(units)[:-1]])
-    layout = spark.sparkContext.broadcast((units, first, shards))
+    # Candidates of each list. An id with several vectors counts in one list alone, so no sum of lists says too much.
+    own = indexed.select(F.explode("ids").alias("id"), "list").groupBy("id").agg(F.min("list").alias("list"))
+    held = np.zeros(len(index.centroids), np.int64)
+    for r in own.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
+        held[r["list"]] = r["n"]
+    layout = spark.sparkContext.broadcast((units, first, shards, held))
     blocks = int(max(1, -(-queries.count() // BLOCK)))
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, first, shards = layout.value
+        units, first, shards, _ = layout.value
         for b in batches:
             lists, ids = b["list"].to_numpy(), b["vec_id"].to_numpy()
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             yield b.assign(shard=(first[lists] + (mixed % units[lists].astype(np.uint64)).astype(np.int64)) % shards)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, (units, first, shards) = model.value, layout.value
+        m, (units, first, shards, held) = model.value, layout.value
         for b in batches:
             out = []
             for key, q in zip(b["vec_id"], _matrix(b["embedding"]).astype(np.float64), strict=True):
-                near = np.argsort(exact(q, m.centroids), kind="stable")[: m.probes]
+                near = np.argsort(exact(q, m.centroids), kind="stable")
+                # Enough for ``neighbours`` besides the query itself.
+                enough = int(np.searchsorted(np.cumsum(held[near]), neighbours + 1)) + 1
+                near = near[: max(m.probes, enough)]
                 where: dict[int, set[int]] = {}
                 for n in near.tolist():
                     for u in range(min(int(units[n]), shards)):
