@@ -253,6 +253,18 @@ def test_secrets(spark, none):
     assert secrets.found(none, model, []).count() == 0 and secrets.dictionary_of(none) == []
 
 
+def test_each_place_of_a_value_is_judged(spark):
+    h = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    text = f'commit {h} mends it. Then token = "{h}" was set.'
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = secrets.trained(secrets.example_findings(spark), [])
+    rows = sorted((r.start, r.is_secret, r.occurrences) for r in secrets.found(df, model, []).where(f"value = '{h}'").collect())
+    assert rows == [(7, False, 2), (text.rindex(h), True, 2)]
+    assert h not in secrets.redacted(df, model, []).first().text
+    odd = spark.createDataFrame([(1, r"password=a\Eb\Q$1.x9 and password=a\Eb\Q$1.x9")], "doc_id long, text string")
+    assert [r.start for r in secrets.found(odd, model, []).orderBy("start").collect()] == [9, 34]
+
+
 def test_forest_expression_equals_the_model(spark):
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.sql import functions as F

@@ -35,7 +35,7 @@ FEATURES = ("length", "transitions", "distinct", "digits", "upper", "hex", "cove
 
 
 def candidates(text: Column) -> Column:
-    """The distinct candidates of a text, as array<struct<value, start (from 1), before, after>> at their first place.
+    """The candidates of a text at every place, as array<struct<value, start (from 1), before, after>>: value by value.
 
     A null text has none. Runs count if they hold a letter and a digit; sentence stops at their ends do not belong.
     """
@@ -46,15 +46,22 @@ def candidates(text: Column) -> Column:
     named = F.filter(named, lambda v: F.length(v) >= 6)
     every = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0)), named, runs))
 
-    def placed(v: Column) -> Column:
-        start = F.position(v, text)
+    def placed(v: Column, start: Column) -> Column:
         return F.struct(
             v.alias("value"), start.alias("start"),
             F.substring(text, F.greatest(start - BEFORE, F.lit(1)), F.least(start - 1, F.lit(BEFORE))).alias("before"),
             F.substring(text, start + F.length(v), F.lit(AFTER)).alias("after"),
         )
 
-    return F.transform(every, placed)
+    def places(v: Column) -> Column:
+        quoted = F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        pieces = F.split(text, quoted, -1)
+        between = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+        last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1) + F.length(v), F.lit(1))
+        starts = F.aggregate(between, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(last(acc) + F.length(x))))
+        return F.transform(starts, lambda start: placed(v, start))
+
+    return F.flatten(F.transform(every, places))
 
 
 def features(x: Column, dictionary: list[str]) -> Column:
@@ -149,9 +156,9 @@ def scored(text: Column, model: RandomForestClassificationModel, dictionary: lis
 
 
 def found(docs: DataFrame, model: RandomForestClassificationModel, dictionary: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, length, occurrences, value, score, is_secret): one row per document and distinct candidate.
+    """(key, start, length, occurrences, value, score, is_secret): one row per place of a candidate in a document.
 
-    start is the first place in characters, from 0; null and empty texts give no row; other columns are not used.
+    start is the place in characters, from 0; occurrences counts the places of the value in the document; null and empty texts give no row; other columns are not used.
     """
     d = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     d = d.select("k", "t", F.explode(scored(F.col("t"), model, dictionary)).alias("s"))
@@ -161,11 +168,14 @@ def found(docs: DataFrame, model: RandomForestClassificationModel, dictionary: l
 
 
 def redacted(docs: DataFrame, model: RandomForestClassificationModel, dictionary: list[str], text: str = "text") -> DataFrame:
-    """``docs`` with every occurrence of a secret in ``text`` replaced by REDACTED; all rows and columns stay."""
-    secrets = F.filter(scored(F.col(text), model, dictionary), lambda x: x["score"] >= 0.5)
+    """``docs`` with every occurrence of a secret in ``text`` replaced by REDACTED; all rows and columns stay.
+
+    A value that is a secret at one of its places goes everywhere.
+    """
+    secrets = F.array_distinct(F.transform(F.filter(scored(F.col(text), model, dictionary), lambda x: x["score"] >= 0.5), lambda x: x["value"]))
     # Longer values first, so that one within another leaves no rest.
-    longest = F.array_sort(secrets, lambda a, b: F.length(b["value"]) - F.length(a["value"]))
-    return docs.withColumn(text, F.when(F.col(text).isNotNull(), F.aggregate(longest, F.col(text), lambda t, x: F.replace(t, x["value"], F.lit(REDACTED)))))
+    longest = F.array_sort(secrets, lambda a, b: F.length(b) - F.length(a))
+    return docs.withColumn(text, F.when(F.col(text).isNotNull(), F.aggregate(longest, F.col(text), lambda t, x: F.replace(t, x, F.lit(REDACTED)))))
 
 
 def secrets_of_documents(docs: DataFrame) -> DataFrame:
