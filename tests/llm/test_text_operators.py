@@ -253,6 +253,13 @@ def test_secrets(spark, none):
     assert secrets.found(none, model, []).count() == 0 and secrets.dictionary_of(none) == []
 
 
+def test_dictionary_counts_all_documents(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(9000).select(F.when(F.col("id") < 5000, F.lit("copied words")).otherwise(F.concat(F.lit("rare number "), F.col("id").cast("string"))).alias("text"))
+    assert secrets.dictionary_of(df, words=2) == ["copied", "words"] and secrets.dictionary_of(df) == ["copied", "number", "rare", "words"]
+
+
 def test_each_place_of_a_value_is_judged(spark):
     h = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     text = f'commit {h} mends it. Then token = "{h}" was set.'

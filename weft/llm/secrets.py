@@ -15,9 +15,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Trees and their depth; labelled findings that are built for training; words of the dictionary and documents it is
-#: taken from at most (in expectation).
-TREES, TREE_DEPTH, EXAMPLES, DICTIONARY, DICTIONARY_DOCS = 20, 6, 6_400, 1_000, 2_000
+#: Trees and their depth; labelled findings that are built for training; words of the dictionary.
+TREES, TREE_DEPTH, EXAMPLES, DICTIONARY = 20, 6, 6_400, 1_000
 #: Characters before and after a candidate that count as its neighbourhood.
 BEFORE, AFTER = 64, 24
 REDACTED = "[SECRET]"
@@ -119,12 +118,9 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     return d.select(pick(0).alias("text"), pick(1).cast("int").alias("label"))
 
 
-def dictionary_of(docs: DataFrame, text: str = "text", words: int = DICTIONARY, most_docs: int = DICTIONARY_DOCS) -> list[str]:
-    """Words of three letters or more that most documents have, from a bounded sample of documents chosen by hash."""
-    total = docs.count()
-    u = F.pmod(F.xxhash64(text), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = docs.where(F.col(text).isNotNull() & (u < F.lit(min(1.0, most_docs / max(total, 1)))))
-    found = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]{3,}\b"), F.lit(0)))).alias("w"))
+def dictionary_of(docs: DataFrame, text: str = "text", words: int = DICTIONARY) -> list[str]:
+    """Words of three letters or more that most documents have, counted over all documents."""
+    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]{3,}\b"), F.lit(0)))).alias("w"))
     return sorted(r["w"] for r in found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).collect())
 
 
