@@ -3,12 +3,14 @@
 Coarse centroids, codebooks and the number of lists to probe are fitted on a bounded sample; every vector is then
 indexed: it goes to the list of its nearest centroid and its residual becomes one byte per subspace. A query visits the
 lists of its nearest centroids, ranks their vectors by asymmetric distance tables (query exact, vectors as codes), and
-the best of each shard are ranked again by exact distance on the original vectors, as are all others whose code distance
+the best of each unit are ranked again by exact distance on the original vectors, as are all others whose code distance
 less the error of their code may still be among the nearest: within the lists probed the result is exact. Equal vectors
 are one entry of the index, with their smallest ids.
 
-Lists are cut into units and units are dealt to shards of about SHARD vectors, and queries into blocks of about as many,
-so no task depends on the size of one list or on the number of queries.
+Lists are cut into units of about UNIT vectors, and each vector is shuffled once, to its unit. A query goes to the units
+of the lists that it probes. Only a list that more than BLOCK queries probe has its vectors copied, once for each BLOCK of
+them, so no task depends on the size of one list or on the number of queries. Lists grow with the square root of the
+number of vectors, and the sample that they are fitted on with them, up to stated bounds.
 """
 
 from __future__ import annotations
@@ -21,15 +23,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .common import written
 
-#: Vectors in the sample for fitting (in expectation), lists at most, subspaces and codewords of a subspace.
-SAMPLE, LISTS, SUBSPACES, WORDS = 16_384, 4_096, 16, 256
-#: Vectors of a unit, of a shard, queries of a block (about).
-UNIT, SHARD, BLOCK = 1_024, 8_192, 4_096
-#: Share of sampled true neighbours whose lists must be probed; vectors of a shard ranked again first for each query.
+#: Lists at most, vectors in the sample for each list, and for small tables; numbers that the sample holds at most.
+LISTS, EACH, SAMPLE, NUMBERS = 16_384, 16, 16_384, 1 << 25
+#: Subspaces and codewords of a subspace.
+SUBSPACES, WORDS = 16, 256
+#: Vectors of a unit, and queries of a block (about).
+UNIT, BLOCK = 8_192, 4_096
+#: Share of sampled true neighbours whose lists must be probed; vectors of a unit ranked again first for each query.
 TARGET, AGAIN = 0.985, 256
 #: Parts that the ids of equal vectors are cut into; queries compared at a time.
 SALTS, TOGETHER = 16, 64
@@ -101,7 +106,7 @@ def fit(x: np.ndarray, total: int, neighbours: int = 10, seed: int = 3) -> Index
     """Fit on sampled vectors; ``total`` is the number of all vectors."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float64)
-    centroids = kmeans(x, int(min(LISTS, max(1, round(math.sqrt(total))), max(1, len(x) // 16))), rng)
+    centroids = kmeans(x, int(min(lists_for(total), max(1, len(x) // EACH))), rng)
     parts = [p for p in np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1])) if len(p)]
     some = x[rng.permutation(len(x))[:8192]]
     rest = some - centroids[_nearest(some, centroids)]
@@ -121,19 +126,26 @@ def fit(x: np.ndarray, total: int, neighbours: int = 10, seed: int = 3) -> Index
     return Index(centroids, parts, books, probes)
 
 
-def fitted(vectors: DataFrame, neighbours: int = 10, sample: int = SAMPLE) -> tuple[Index, int]:
-    """The index model of (vec_id, embedding) rows that are all usable and of one length, and their number."""
+def lists_for(total: int) -> int:
+    """The number of lists for so many vectors."""
+    return min(LISTS, max(1, round(math.sqrt(total))))
+
+
+def fitted(vectors: DataFrame, length: int, neighbours: int = 10) -> tuple[Index, int]:
+    """The index model of distinct usable vectors of one length, and their number.
+
+    The sample has EACH vectors for each list, SAMPLE at least, and NUMBERS numbers at most.
+    """
     total = vectors.count()
-    u = F.pmod(F.xxhash64("vec_id", F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = vectors.where(u < F.lit(min(1.0, sample / max(total, 1)))).toArrow()
-    ids = rows["vec_id"].to_numpy()
-    x = np.array(rows["embedding"].to_pylist(), np.float64).reshape(len(ids), -1)
-    order = np.argsort(ids, kind="stable")
-    return fit(x[order], total, neighbours), total
+    sample = min(max(SAMPLE, EACH * lists_for(total)), NUMBERS // max(length, 1))
+    u = F.pmod(F.xxhash64("embedding", F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = vectors.where(u < F.lit(min(1.0, sample / max(total, 1)))).limit(2 * sample).toArrow()
+    x = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+    return fit(x[np.lexsort(x.T[::-1])] if len(x) else x, total, neighbours), total
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float32) if len(column) else np.zeros((0, 0), np.float32)
+    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
 def folded(vectors: DataFrame, most: int) -> DataFrame:
@@ -142,7 +154,7 @@ def folded(vectors: DataFrame, most: int) -> DataFrame:
     Equal means equal in two 64-bit hashes. Ids are ranked apart from the vectors, by parts first, so that very many
     copies of one vector are no single task's.
     """
-    e = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))  # -0 is 0
+    e = F.transform("embedding", lambda x: x + F.lit(0).cast("float"))  # -0 is 0
     keyed = vectors.select("vec_id", e.alias("embedding")).select("*", F.xxhash64("embedding").alias("k"), F.xxhash64(F.lit(17), "embedding").alias("l"))
     ids = keyed.select("k", "l", "vec_id").distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
     w = Window.partitionBy("k", "l", "salt").orderBy("vec_id")
@@ -170,122 +182,134 @@ def searched(vectors: DataFrame, queries: DataFrame, neighbours: int = 10) -> Da
     """(query_id, rank, vec_id, score): the nearest vectors found for each query, by Euclidean distance.
 
     vectors, queries: (vec_id, embedding); other columns are not used. A query's own vec_id is no candidate; ties go to
-    the smaller vec_id. Null, zero or non-finite vectors take no part, nor do vectors whose length is not the commonest
-    (of equally common lengths the smaller), nor rows without vec_id. A repeated query id is asked once, and
-    rows of one vec_id are one candidate (the nearest of them). Fewer candidates than ``neighbours``: all
-    of them. A query probes as many lists as the index says, and on until they hold enough candidates.
+    the smaller vec_id. Null, zero or non-finite vectors take no part, nor do rows without vec_id. A query is compared with
+    vectors of its own length; each length has an index of its own (lengths must be few). A repeated query id of one length
+    is asked once, and rows of one vec_id are one candidate (the nearest of them). Fewer candidates than ``neighbours``: all
+    of them. A query probes as many lists as the index says, and on until they hold enough candidates. Vectors of float
+    stay so, others are double; scores are computed in double precision.
     """
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    take = lambda df: df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+    def take(df: DataFrame) -> DataFrame:
+        element = df.schema["embedding"].dataType.elementType
+        e = F.col("embedding") if isinstance(element, T.FloatType) else F.col("embedding").cast("array<double>")
+        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
+        return df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+
     vectors, queries = take(vectors), take(queries)
-    size = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if size is None:
-        return empty
-    vectors = vectors.where(F.size("embedding") == size["d"])
-    queries = queries.where(F.size("embedding") == size["d"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    found = empty
+    for r in queries.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect():
+        same = F.size("embedding") == r["d"]
+        own = _of_length(vectors.where(same), queries.where(same), r["d"], neighbours)
+        found = own if found is empty else found.unionByName(own)
+    return found
+
+
+def _of_length(vectors: DataFrame, queries: DataFrame, length: int, neighbours: int) -> DataFrame:
+    spark = vectors.sparkSession
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     # One id more than asked for: a query's own is no candidate.
     vectors = written(folded(vectors, neighbours + 1), "vectors")
-    index, total = fitted(vectors, neighbours)
+    index, total = fitted(vectors, length, neighbours)
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = spark.sparkContext.broadcast(index)
+    kinds = {c: dict(df.dtypes)["embedding"] for c, df in (("vectors", vectors), ("queries", queries))}
+    entry = f"vec_id long, embedding {kinds['vectors']}, ids array<long>, list int, codes binary, error double"
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for b in batches:
-            x = _matrix(b["embedding"])
-            lists = _nearest(x.astype(np.float64), m.centroids) if len(b) else np.zeros(0, np.int64)
-            codes = m.codes(x.astype(np.float64), lists) if len(b) else np.zeros((0, 1), np.uint8)
-            errors = m.errors(x.astype(np.float64), lists, codes) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": list(x), "ids": b["ids"], "list": lists, "codes": [c.tobytes() for c in codes], "error": errors})
-
-    entry = "vec_id long, embedding array<float>, ids array<long>, list int, codes binary, error double"
-    indexed = vectors.mapInPandas(assign, entry)
-    # Units of each list: one number a list, at most LISTS of them. Assigning again is cheaper than keeping the table.
+            if len(b):
+                x = _matrix(b["embedding"]).astype(np.float64)
+                lists = _nearest(x, m.centroids)
+                codes = m.codes(x, lists)
+                yield b.assign(list=lists, codes=[c.tobytes() for c in codes], error=m.errors(x, lists, codes))
+
+    indexed = vectors.select("vec_id", "embedding", "ids").mapInPandas(assign, entry)
+    # One number a list, at most LISTS of them. Assigning again is cheaper than keeping the table.
     counts = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    units = np.ones(len(index.centroids), np.int64)
-    for number, n in counts.items():
-        units[number] = -(-n // UNIT)
-    shards = int(max(1, -(-total // SHARD)))
-    first = np.concatenate([[0], np.cumsum(units)[:-1]])
     # Candidates of each list. An id with several vectors counts in one list alone, so no sum of lists says too much.
     own = indexed.select(F.explode("ids").alias("id"), "list").groupBy("id").agg(F.min("list").alias("list"))
     held = np.zeros(len(index.centroids), np.int64)
     for r in own.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
         held[r["list"]] = r["n"]
-    layout = spark.sparkContext.broadcast((units, first, shards, held))
-    blocks = int(max(1, -(-queries.count() // BLOCK)))
+    candidates = spark.sparkContext.broadcast(held)
 
-    def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, first, shards, _ = layout.value
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = model.value
+        for b in batches:
+            lists = []
+            for q in b["embedding"]:
+                near = np.argsort(exact(q, m.centroids), kind="stable")
+                # Enough for ``neighbours`` besides the query itself.
+                enough = int(np.searchsorted(np.cumsum(candidates.value[near]), neighbours + 1)) + 1
+                lists.append(near[: max(m.probes, enough)])
+            yield pd.DataFrame({"query_id": b["vec_id"], "query": b["embedding"], "lists": lists})
+
+    asked = written(queries.mapInPandas(probe, f"query_id long, query {kinds['queries']}, lists array<int>"), "asked")
+    asked = asked.select("query_id", "query", F.explode("lists").alias("list"))
+    units, blocks = np.ones(len(index.centroids), np.int64), np.ones(len(index.centroids), np.int64)
+    for number, n in counts.items():
+        units[number] = -(-n // UNIT)
+    for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
+        blocks[r["list"]] = -(-r["n"] // BLOCK)
+    layout = spark.sparkContext.broadcast((units, blocks))
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Vectors with their unit, for each block of the queries of their list."""
+        units, blocks = layout.value
         for b in batches:
             lists, ids = b["list"].to_numpy(), b["vec_id"].to_numpy()
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            yield b.assign(shard=(first[lists] + (mixed % units[lists].astype(np.uint64)).astype(np.int64)) % shards)
+            b = b.assign(unit=(mixed % units[lists].astype(np.uint64)).astype(np.int64))
+            for k in range(int(blocks[lists].max()) if len(b) else 0):
+                yield b[blocks[lists] > k].assign(block=k)
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, (units, first, shards, held) = model.value, layout.value
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Queries for each unit of a list."""
+        units, blocks = layout.value
         for b in batches:
-            out = []
-            for key, q in zip(b["vec_id"], _matrix(b["embedding"]).astype(np.float64), strict=True):
-                near = np.argsort(exact(q, m.centroids), kind="stable")
-                # Enough for ``neighbours`` besides the query itself.
-                enough = int(np.searchsorted(np.cumsum(held[near]), neighbours + 1)) + 1
-                near = near[: max(m.probes, enough)]
-                where: dict[int, set[int]] = {}
-                for n in near.tolist():
-                    for u in range(min(int(units[n]), shards)):
-                        where.setdefault(int((first[n] + u) % shards), set()).add(n)
-                out += [(key, q.astype(np.float32), s, sorted(ls)) for s, ls in sorted(where.items())]
-            yield pd.DataFrame(out, columns=["query_id", "query", "shard", "lists"])
+            lists, ids = b["list"].to_numpy(), b["query_id"].to_numpy()
+            mixed = (ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
+            b = b.assign(block=(mixed % blocks[lists].astype(np.uint64)).astype(np.int64))
+            for k in range(int(units[lists].max()) if len(b) else 0):
+                yield b[units[lists] > k].assign(unit=k)
 
     def search(key: tuple, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        m = model.value
+        """The nearest vectors of one unit for the queries of one block."""
         out = []
         if len(qs) and len(vs):
+            m, number = model.value, int(key[0])
             x, q, ids = _matrix(vs["embedding"]), _matrix(qs["query"]), vs["ids"].to_numpy()
             codes = np.frombuffer(b"".join(vs["codes"]), np.uint8).reshape(len(vs), -1)
-            lists, errors = vs["list"].to_numpy(), vs["error"].to_numpy()
-            rows_of = {int(n): np.flatnonzero(lists == n) for n in np.unique(lists)}
+            errors, own_ids = vs["error"].to_numpy(), qs["query_id"].tolist()
             for start in range(0, len(qs), TOGETHER):
-                some = range(start, min(start + TOGETHER, len(qs)))
-                askers: dict[int, list[int]] = {}
-                for a in some:
-                    for n in qs["lists"].iloc[a]:
-                        if int(n) in rows_of:
-                            askers.setdefault(int(n), []).append(a)
-                near: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-                for n, asked in askers.items():
-                    rows = rows_of[n]
-                    table = m.tables(q[asked].astype(np.float64), n)
-                    sums = np.zeros((len(asked), len(rows)), np.float32)
-                    for s in range(codes.shape[1]):
-                        sums += table[:, s][:, codes[rows, s]]
-                    for a, row in zip(asked, sums, strict=True):
-                        near.setdefault(a, []).append((rows, row))
-                for a, parts in near.items():
-                    rows, sums = (np.concatenate(z) for z in zip(*parts, strict=True))
+                table = m.tables(q[start : start + TOGETHER].astype(np.float64), number)
+                sums = np.zeros((len(table), len(vs)), np.float32)
+                for s in range(codes.shape[1]):
+                    sums += table[:, s][:, codes[:, s]]
+                for a, row in enumerate(sums, start):
                     # No vector is nearer than its code less the error of the code (and of the sums).
-                    far = np.sqrt(np.maximum(sums.astype(np.float64), 0))
-                    least = far - errors[rows] - 1e-4 * (far + errors[rows]) - 1e-6 * np.linalg.norm(q[a])
-                    own = int(qs["query_id"].iloc[a])
-                    first = np.argpartition(sums, AGAIN - 1)[:AGAIN] if len(rows) > AGAIN else np.arange(len(rows))
-                    d = np.full(len(rows), np.inf)
-                    d[first] = exact(q[a], x[rows[first]])
-                    best = _firsts(first[np.argsort(d[first], kind="stable")], d, ids[rows], own, neighbours)
+                    far = np.sqrt(np.maximum(row.astype(np.float64), 0))
+                    least = far - errors - 1e-4 * (far + errors) - 1e-6 * np.linalg.norm(q[a])
+                    first = np.argpartition(row, AGAIN - 1)[:AGAIN] if len(row) > AGAIN else np.arange(len(row))
+                    d = np.full(len(row), np.inf)
+                    d[first] = exact(q[a], x[first])
+                    best = _firsts(first[np.argsort(d[first], kind="stable")], d, ids, own_ids[a], neighbours)
                     bound = best[-1][0] if len(best) == neighbours else np.inf
                     more = np.flatnonzero((least <= bound) & np.isinf(d))
                     if len(more):
-                        d[more] = exact(q[a], x[rows[more]])
+                        d[more] = exact(q[a], x[more])
                         done = np.flatnonzero(np.isfinite(d))
-                        best = _firsts(done[np.argsort(d[done], kind="stable")], d, ids[rows], own, neighbours)
-                    out += [(own, i, z) for z, i in best]
+                        best = _firsts(done[np.argsort(d[done], kind="stable")], d, ids, own_ids[a], neighbours)
+                    out += [(own_ids[a], i, z) for z, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    vs = indexed.mapInPandas(shard, f"{entry}, shard long")
-    vs = vs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    qs = queries.mapInPandas(probe, "query_id long, query array<float>, shard long, lists array<int>")
-    qs = qs.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    found = qs.groupBy("shard", "block").cogroup(vs.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    vs = indexed.mapInPandas(dealt, f"{entry}, unit long, block long")
+    qs = asked.mapInPandas(sent, f"query_id long, query {kinds['queries']}, list int, block long, unit long")
+    place = ["list", "unit", "block"]
+    found = qs.groupBy(*place).cogroup(vs.groupBy(*place)).applyInPandas(search, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
