@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,14 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a local test session) a temporary folder is taken, once per session.
+    Where the setting is absent, a session whose driver runs all tasks (``local[..]``) takes a temporary folder, once;
+    a cluster without it is an error, as its executors would write where no one else reads.
     """
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
         place = spark.sparkContext.getCheckpointDir()
-        if not place:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
-            place = spark.sparkContext.getCheckpointDir()
     return place.rstrip("/")
 
 
@@ -44,18 +45,34 @@ def bucket_of_id(column: Column | str, modulus: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def hash_sample(df: DataFrame, key: str, by: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each value of ``by`` (all rows of a smaller class), chosen by a hash of ``key``.
+def bounded_sample(df: DataFrame, key: str, by: str, per_class: int) -> DataFrame:
+    """``per_class`` keys of each value of ``by`` (all keys of a smaller class), chosen by a hash of ``key``: one row each.
 
-    The class counts cover all rows; the choice needs no sort and no shuffle of wide rows.
-    ``by`` must have few values.
+    Rows that share key and class are one (the least of them by the other columns), so the bound holds however often a key
+    is repeated. The class counts cover all rows; ``by`` must have few values.
     """
-    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    keyed = df.where(F.col(key).isNotNull())
+    counts = {r[by]: r["n"] for r in keyed.groupBy(by).agg(F.approx_count_distinct(key, 0.02).alias("n")).collect()}
     share = F.lit(0.0)
     for value, n in counts.items():
-        share = F.when(F.col(by).eqNullSafe(F.lit(value)), F.lit(min(1.0, per_class / n))).otherwise(share)
+        share = F.when(F.col(by).eqNullSafe(F.lit(value)), F.lit(min(1.0, 1.2 * per_class / n))).otherwise(share)
     u = F.pmod(F.xxhash64(F.col(key), F.lit(7919)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.where(u < share)
+    rest = [c for c in df.columns if c not in (key, by)]
+    some = keyed.where(u < share).groupBy(by, key).agg(F.min(F.struct(*rest)).alias("_r")) if rest else keyed.where(u < share).select(by, key).distinct()
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(7919)), key))
+    chosen = some.withColumn("_nth", nth).where(F.col("_nth") <= per_class)
+    return chosen.select(key, by, *([F.col(f"_r.{c}").alias(c) for c in rest] if rest else []))
+
+
+def as_text(column: str) -> Column:
+    """An id as text. Python workers take a null beside whole numbers as floating point, which loses digits of large ids;
+    ids go in as text and come back by :func:`from_text`."""
+    return F.col(column).cast("string")
+
+
+def from_text(column: str, kind: str, name: str) -> Column:
+    """The id of type ``kind`` that :func:`as_text` wrote."""
+    return F.col(column).cast(kind).alias(name)
 
 
 def text_slices(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
@@ -70,4 +87,29 @@ def text_slices(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple
         yield start, len(texts)
 
 
-WORD = re.compile(r"[^\W\d_]+")
+_LETTERS, _WORD = re.compile(r"[A-Za-z]+"), re.compile(r"[^\W\d_]+")
+
+
+def letter_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the runs of letters (``str.isalpha``) of a text."""
+    for m in _WORD.finditer(text):
+        said, start = m.group(), m.start()
+        if said.isalpha():
+            yield m.span()
+            continue
+        # The pattern takes figures such as a half or a Roman eight for letters.
+        at = None
+        for i, c in enumerate(said + " "):
+            if c.isalpha():
+                at = i if at is None else at
+            elif at is not None:
+                yield start + at, start + i
+                at = None
+
+
+def letter_words(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    if text.isascii():
+        return _LETTERS.findall(text)
+    found = _WORD.findall(text)
+    return found if all(map(str.isalpha, found)) else [text[i:j] for i, j in letter_spans(text)]

@@ -11,6 +11,7 @@ labelling is one narrow pass over all rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,35 +22,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bucket_of_id, hash_sample, text_slices
+from .common import as_text, bounded_sample, bucket_of_id, from_text, letter_spans, letter_words, text_slices
 
-#: Documents of each language that the fit takes at most (in expectation), and words of each of them.
-PER_LANG, WORDS_EACH = 300, 120
+#: Documents of each language that the fit takes at most, each whole.
+PER_LANG = 300
 #: Size of the hashed weight table; words kept in each language's lexicon.
 TABLE, LEXICON = 1 << 15, 300
 #: Words whose scores a Python worker keeps.
 KEPT_WORDS = 200_000
 #: The answer for a text without letters.
 UNDETERMINED = "und"
+#: Size of the tables of character counts; weight of the shorter context, and the chance of a character never seen.
+COUNTS, BACK_OFF, UNSEEN = 1 << 17, 2.0, 1e-3
+#: A text is foreign if its words are less likely than those of training texts by so many standard deviations.
+DEVIATIONS = 10.0
+CODES = re.compile(r"\S*\d\S*")
 
 
-def _slots(kind: int, *codes: np.ndarray) -> np.ndarray:
-    """Places in the weight table for features of one kind, from the codes of their characters."""
+def _slots(kind: int, *codes: np.ndarray, size: int = TABLE) -> np.ndarray:
+    """Places in a table of ``size`` for features of one kind, from the codes of their characters."""
     h = np.full(len(codes[0]), kind * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
     for c in codes:
         h = (h ^ c.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-    return (h % np.uint64(TABLE)).astype(np.int64)
+    return (h % np.uint64(size)).astype(np.int64)
 
 
 def features(words: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(slot, word number) of all features of the words, in lower case: the word, its first and last one to three
-    characters, its character pairs and triples with borders, and the lexicons that hold it.
-
-    Of a word beyond 40 characters the first and last 20 count.
-    """
+    characters, its character pairs and triples with borders, and the lexicons that hold it."""
     low = [w.lower() for w in words]
-    low = [w if len(w) <= 40 else w[:20] + w[-20:] for w in low]
     sizes = np.array([len(w) for w in low], dtype=np.int64) + 2
     codes = np.frombuffer("".join([f"^{w}$" for w in low]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(sizes)
@@ -70,14 +72,74 @@ def features(words: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarra
     return np.concatenate(slots), np.concatenate(owners)
 
 
+class Spelling:
+    """How words of each language are spelled: the chance of a character after the two before it, from training words.
+
+    It answers what the chain cannot, as that knows its own labels only: whether a text is in any of these languages.
+    ``normal`` holds, for each language, the mean of the words' values in training texts that were left out of the counts,
+    their deviation, and that of the texts' means.
+    """
+
+    def __init__(self, languages: int) -> None:
+        self.counts = [np.zeros((COUNTS, languages), np.float32) for _ in range(3)]
+        self.normal = np.zeros((languages, 3))
+
+    @staticmethod
+    def _places(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Slots of each character with two, one and no character before it, and the word that each belongs to."""
+        low = [w.lower() for w in words]
+        sizes = np.array([len(w) for w in low], dtype=np.int64) + 3
+        codes = np.frombuffer("".join([f"^^{w}$" for w in low]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(len(low)), sizes)
+        at = np.flatnonzero(owner[:-2] == owner[2:]) if len(owner) > 2 else np.zeros(0, np.int64)
+        a, b, c = codes[at], codes[at + 1], codes[at + 2]
+        return [_slots(23, a, b, c, size=COUNTS), _slots(22, b, c, size=COUNTS), _slots(24, a, b, size=COUNTS), _slots(21, b, size=COUNTS)], owner[at]
+
+    def learn(self, words: list[str], language: int) -> None:
+        (three, two, context, one), _ = self._places(words)
+        for table, slots in zip(self.counts, (three, two), strict=False):
+            np.add.at(table[:, language], slots, 1)
+        np.add.at(self.counts[2][:, language], np.concatenate([context, one]), 1)
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """(words, languages): mean log chance of a word's characters and its end."""
+        (three, two, context, one), owner = self._places(words)
+        shorter = (self.counts[1][two] + BACK_OFF * UNSEEN) / (self.counts[2][one] + BACK_OFF)
+        longer = np.log((self.counts[0][three] + BACK_OFF * shorter) / (self.counts[2][context] + BACK_OFF))
+        n = np.maximum(np.bincount(owner, minlength=len(words)), 1)
+        return np.stack([np.bincount(owner, longer[:, k], len(words)) / n for k in range(longer.shape[1])], axis=1)
+
+    def deviation(self, mean: float, words: int, language: int) -> float:
+        """By how many standard deviations a text of so many words lies below training texts."""
+        usual, of_words, of_texts = self.normal[language]
+        return float((usual - mean) / np.sqrt(of_texts**2 + of_words**2 / max(words, 1) + 1e-9))
+
+
+def spelling_of(texts: list[tuple[list[str], int]], languages: int) -> Spelling:
+    """From (words, language) of training texts; what is normal is measured on each half by the counts of the other."""
+    whole, halves = Spelling(languages), [Spelling(languages), Spelling(languages)]
+    for i, (ws, k) in enumerate(texts):
+        whole.learn(ws, k)
+        halves[i % 2].learn(ws, k)
+    seen: list[list[np.ndarray]] = [[] for _ in range(languages)]
+    for i, (ws, k) in enumerate(texts):
+        seen[k].append(halves[1 - i % 2].values(ws)[:, k])
+    for k, values in enumerate(seen):
+        if values:
+            every, means = np.concatenate(values), np.array([v.mean() for v in values if len(v) >= 20] or [v.mean() for v in values])
+            whole.normal[k] = means.mean(), every.std(), means.std()
+    return whole
+
+
 @dataclass
 class Model:
-    """Weights (TABLE x labels), transitions (logs) and the lexicon words with the slots of their languages."""
+    """Weights (TABLE x labels), transitions (logs), the lexicon words with the slots of their languages, and spelling."""
 
     labels: list[str]
     weights: np.ndarray
     transitions: np.ndarray
     lexicon: dict[str, list[int]]
+    spelling: Spelling | None = None
 
     def scores(self, words: list[str]) -> np.ndarray:
         """(words, labels)"""
@@ -109,7 +171,7 @@ def _chain(alpha0: np.ndarray, emit: np.ndarray, transitions: np.ndarray) -> tup
     return unary, pairs, np.log(scale).sum() + top.sum(), float(b)
 
 
-def fit(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 6, steps: int = 60) -> Model:
+def fit(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 2, steps: int = 60) -> Model:
     """Fit on (text, language) pairs.
 
     Each language's words are dealt into spans and spans of two documents follow one another in the training sequences,
@@ -117,8 +179,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 6, steps: i
     no labels and every answer is ``und``.
     """
     rng = np.random.default_rng(seed)
-    words = [(WORD.findall(t), lang) for t, lang in samples]
-    words = [(w[(at := int(rng.integers(0, max(1, len(w) - WORDS_EACH + 1)))) : at + WORDS_EACH], lang) for w, lang in words if w]
+    words = [(w, lang) for t, lang in samples if (w := letter_words(t))]
     labels = sorted({lang for _, lang in words})
     n = len(labels)
     model = Model(labels, np.zeros((TABLE, n)), np.zeros((n, n)), {})
@@ -172,6 +233,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 6, steps: i
             t_squares += g * g
             trans += 0.1 * g / np.sqrt(t_squares)
     model.weights = weights[:TABLE].astype(np.float32)
+    model.spelling = spelling_of([(w, labels.index(lang)) for w, lang in words], n)
     return model
 
 
@@ -230,43 +292,60 @@ class Labeller:
         self.model = model
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.labels)))
+        self.spelled = np.zeros((0, len(model.labels)))
 
     def word_ids(self, words: list[str]) -> np.ndarray:
         if len(self.known) > KEPT_WORDS:
-            self.known, self.scores = {}, self.scores[:0]
+            self.known, self.scores, self.spelled = {}, self.scores[:0], self.spelled[:0]
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
             self.scores = np.concatenate([self.scores, self.model.scores(new)])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def words(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray]:
-        """The words of the texts and the posteriors of all of them, end to end."""
-        split = [WORD.findall(t) for t in texts]
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of words of the texts; the numbers of the words (of ``word_ids``) and their posteriors, end to end."""
+        split = [letter_words(t) for t in texts]
         sizes = np.array([len(w) for w in split], dtype=np.int64)
         ids = self.word_ids([w for ws in split for w in ws])
         first = np.zeros(len(ids), bool)
         first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        return split, posteriors(self.scores[ids], first, self.model)
+        return sizes, ids, posteriors(self.scores[ids], first, self.model)
 
-    def documents(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The language of each text and the mean posterior of it over the text's words."""
+    def documents(self, texts: list[str], foreign: bool = False) -> tuple[list[str], list[float], list[float]]:
+        """The language of each text, the mean posterior of it over the text's words and, if asked for, by how many
+        deviations the text's spelling is unlike the languages that its words got (else 0)."""
         if not self.model.labels:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        split, post = self.words(texts)
-        sizes = np.array([len(w) for w in split], dtype=np.int64)
-        total = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, axis=0)])
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        sizes, ids, post = self.words(texts)
         ends = np.cumsum(sizes)
-        mean = (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)[:, None]
-        best = mean.argmax(axis=1)
+
+        def mean(x: np.ndarray) -> np.ndarray:
+            total = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
+            return (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)[:, None]
+
+        score = mean(post)
+        best = score.argmax(axis=1)
         lang = [self.model.labels[k] if s else UNDETERMINED for k, s in zip(best, sizes, strict=True)]
-        return lang, [float(min(1.0, max(0.0, m[k]))) if s else 0.0 for m, k, s in zip(mean, best, sizes, strict=True)]
+        far = [0.0] * len(texts)
+        if foreign and self.model.spelling:
+            if len(self.spelled) < len(self.known):
+                new = list(self.known)[len(self.spelled) :]
+                self.spelled = np.concatenate([self.spelled, self.model.spelling.values(new)])
+            value = mean((self.spelled[ids] * post).sum(axis=1, keepdims=True))[:, 0]
+            far = [self.model.spelling.deviation(v, s, k) if s else 0.0 for v, s, k in zip(value, sizes, best, strict=True)]
+            # Pieces of keys and codes are no words of any language: such texts are judged without them.
+            again = {i: said for i, f in enumerate(far) if f >= DEVIATIONS and (said := CODES.sub(" ", texts[i])) != texts[i]}
+            if again:
+                for i, (name, f) in zip(again, zip(*self.documents(list(again.values()), True)[::2], strict=True), strict=True):
+                    far[i] = far[i] if name == UNDETERMINED else min(far[i], f)
+        return lang, [float(min(1.0, max(0.0, m[k]))) if s else 0.0 for m, k, s in zip(score, best, sizes, strict=True)], far
 
 
 def trained(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Model:
-    """Fit on labelled documents whose fold (crc32 of the id, modulo 3) is not 1, about ``per_lang`` of each language."""
+    """Fit on labelled documents whose fold (crc32 of the id, modulo 3) is not 1, at most ``per_lang`` of each language."""
     labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("y")).where(F.col("y").isNotNull() & F.col("t").isNotNull() & (bucket_of_id("k", 3) != 1))
-    rows = hash_sample(labelled, "k", "y", per_lang).collect()
+    rows = bounded_sample(labelled, "k", "y", per_lang).collect()
     return fit([(r["t"], r["y"]) for r in sorted(rows, key=lambda r: (r["k"], r["t"]))])
 
 
@@ -284,27 +363,30 @@ def identified(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "
         for b in batches:
             texts = b["text"].fillna("").tolist()
             for i, j in text_slices(texts, 2_000_000):
-                lang, score = labeller.documents(texts[i:j])
+                lang, score, _ = labeller.documents(texts[i:j])
                 yield pd.DataFrame({"key": b["key"].iloc[i:j].to_numpy(), "lang_pred": lang, "score": score})
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    out = docs.select(as_text(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key string, lang_pred string, score double")
+    return out.select(from_text("key", kind, key), "lang_pred", "score")
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text", column: str = "_language") -> DataFrame:
-    """``docs`` with a struct column (lang_pred, score) beside its own columns, which stay as they are."""
+    """``docs`` with a struct column (lang_pred, score, foreign) beside its own columns, which stay as they are.
+
+    foreign: by how many standard deviations the spelling of the text's words is less likely than in training texts; above
+    ``DEVIATIONS`` the text is in none of the learned languages.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value)
         for b in batches:
-            texts, lang, score = b.fillna("").tolist(), [], []
+            texts, parts = b.fillna("").tolist(), []
             for i, j in text_slices(texts, 2_000_000):
-                ls, ss = labeller.documents(texts[i:j])
-                lang += ls
-                score += ss
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+                parts.append(pd.DataFrame(dict(zip(("lang_pred", "score", "foreign"), labeller.documents(texts[i:j], True), strict=True))))
+            yield pd.concat(parts) if parts else pd.DataFrame({"lang_pred": [], "score": [], "foreign": []})
 
-    named = F.pandas_udf(run, "lang_pred string, score double")
+    named = F.pandas_udf(run, "lang_pred string, score double, foreign double")
     return docs.withColumn(column, named(F.col(text)))
 
 
@@ -318,15 +400,16 @@ def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for b in batches:
             rows = []
             for k, t in zip(b["key"], b["text"].fillna(""), strict=True):
-                places = [m.span() for m in WORD.finditer(t)]
+                places = list(letter_spans(t))
                 if not places or not shared.value.labels:
                     continue
-                best = labeller.words([t])[1].argmax(axis=1)
+                best = labeller.words([t])[2].argmax(axis=1)
                 cuts = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)]
                 rows += [(k, places[i][0], places[j - 1][1], shared.value.labels[best[i]], j - i) for i, j in zip(cuts, cuts[1:], strict=False)]
             yield pd.DataFrame(rows, columns=["key", "start", "end", "lang", "n_words"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, start int, end int, lang string, n_words int").withColumnRenamed("key", key)
+    out = docs.select(as_text(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key string, start int, end int, lang string, n_words int")
+    return out.select(from_text("key", kind, key), "start", "end", "lang", "n_words")
 
 
 def language_of_documents(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_text, from_text
+
 #: Payloads are padded with this byte value to a positive multiple of TILE bytes (24 rows of 24 samples).
 PAD, WIDTH, TILE = 255, 24, 576
 
@@ -151,7 +153,7 @@ def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "items": [items_of(h) for h in b["html"]]})
 
-    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(parse, f"key {kind}, items {ITEMS}").select(F.col("key").alias(key), "items")
+    return pages.select(as_text(key).alias("key"), F.col(html).alias("html")).mapInPandas(parse, f"key string, items {ITEMS}").select(from_text("key", kind, key), "items")
 
 
 def references(seqs: DataFrame, key: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import as_text, text_slices, written
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -35,9 +35,19 @@ def _chars(*kinds: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] in kinds)
 
 
-#: Texts of these characters alone are split here, with the tokenizer's own pattern; others by the tokenizer. All are in
-#: composed form, and their lower case is the same in every Unicode version.
-_PLAIN = re.compile(f"[\\t\\n\\r {''.join(re.escape(chr(c)) for c in range(0x21, 0x250) if c not in (0x7F, 0x130) and not 0x80 <= c <= 0xA0)}‐-‧€]*")
+def _plain_chars() -> str:
+    """Characters whose words are split here: white space of ASCII, and visible characters up to U+024F that are in
+    composed form and whose lower case is such a character too, of the same kind in every Unicode version."""
+    kept = []
+    for c in map(chr, [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)]):
+        low = c.lower()
+        if len(low) == 1 and (ord(low) < 0x250) and unicodedata.normalize("NFC", c) == c and unicodedata.category(c)[0] == unicodedata.category(low)[0]:
+            kept.append(c)
+    return "".join(map(re.escape, kept))
+
+
+#: Texts of these characters alone are split here, with the tokenizer's own pattern; others by the tokenizer.
+_PLAIN = re.compile(f"[{_plain_chars()}‐-‧€]*")
 _L, _N = _chars("L"), _chars("N")
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 
@@ -54,34 +64,49 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             self.last[i] = piece.endswith("</w>")
 
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def learn(self, words: list[str]) -> None:
-        """Add the ids of new words; a thousand are encoded together and parted where a word's last piece stands."""
+        """Add the ids of new words; a thousand are encoded together and parted where a word's last piece stands. Where
+        that does not part them into as many, each is encoded by itself."""
         for i in range(0, len(words), 1000):
             some = words[i : i + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
-            if len(cuts) != len(some):
-                raise ValueError("a word has no last piece")
             data = ids.tobytes()
-            self.known.update((w, data[a:b]) for w, a, b in zip(some, [0, *cuts], cuts, strict=False))
+            if len(cuts) == len(some):
+                self.words.update((w, data[a:b]) for w, a, b in zip(some, [0, *cuts], cuts, strict=False))
+            else:
+                self.words.update((w, self.encoded(w)) for w in some)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers."""
+        """Ids as little-endian unsigned 32-bit numbers.
+
+        No word of the tokenizer's goes over white space, so the ids of what stands between white space are kept; only
+        new ones are split into words.
+        """
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        split = [_SPLIT.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        self.learn(list({w for ws in split for w in ws} - self.known.keys()))
+        split = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
+        new = list({w for ws in split for w in ws} - self.known.keys())
+        parts = [_SPLIT.findall(w) for w in new]
+        self.words = {}
+        self.learn(list({w for ws in parts for w in ws}))
+        own = self.words.__getitem__
+        self.known.update((w, b"".join(map(own, ws))) for w, ws in zip(new, parts, strict=True))
         get = self.known.__getitem__
-        return [b"".join(map(get, ws)) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, p, ws in zip(texts, plain, split, strict=True)]
+        return [b"".join(map(get, ws)) if p else self.encoded(t) for t, p, ws in zip(texts, plain, split, strict=True)]
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
@@ -112,7 +137,8 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY)
                         seen[n] += 1
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    out = docs.select(as_text("doc_id").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @dataclass
@@ -262,8 +288,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset[own] = off[k] + within % each[k] * n
             yield b.drop(columns="nth").assign(sequence_id=sequence, offset=offset)
 
-    numbered = pieces.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("base")).alias("nth"))
-    return numbered.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    numbered = pieces.join(base, ["part", "length"]).select(as_text("doc_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("base")).alias("nth"))
+    placed = numbered.mapInPandas(place, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def packed_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:

@@ -22,13 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import as_text, from_text, text_slices
 
 MARK = "▁"
 #: Line ends are never part of a piece, so they part words as well.
 WORDS = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-#: Words whose ids a Python worker keeps.
-KEPT_WORDS = 400_000
+#: Words whose ids, and pairs of pieces whose borders, a Python worker keeps.
+KEPT_WORDS, KEPT_PAIRS = 400_000, 600_000
 
 
 class Pieces:
@@ -128,16 +128,21 @@ class Pieces:
                 j += 1
 
     def encode_sorted(self, words: list[str]) -> Iterator[bytes]:
-        """Ids (int32, little-endian) of sorted distinct words; each depth of the stack is a prefix of the current word."""
-        last: list[str] = [""]  # the last piece of each prefix's encoding
-        code: list[bytes] = [b""]  # the ids of each prefix
+        """Ids (int32, little-endian) of sorted distinct words; each depth of the stack is a prefix of the current word.
+
+        A prefix keeps the last piece of its encoding, that piece's ids and the prefix before it, so the stack grows with
+        the length of a word; a word's ids are gathered backwards from its end.
+        """
+        last: list[str] = [""]
+        code: list[bytes] = [b""]
+        back: list[int] = [0]
         before = ""
         ends, apart = self.ends, self.apart
         for w in words:
             k, most = 0, min(len(w), len(before))
             while k < most and w[k] == before[k]:
                 k += 1
-            del last[k + 1 :], code[k + 1 :]
+            del last[k + 1 :], code[k + 1 :], back[k + 1 :]
             for end in range(k + 1, len(w) + 1):
                 start = end - 1
                 while start >= 0 and (ids := ends.get(piece := w[start:end])) is not None:
@@ -147,15 +152,21 @@ class Pieces:
                         if fits is None:
                             fits = self.stays_apart(prior, piece)
                         if fits:
-                            last.append(piece)
-                            code.append(code[start] + ids)
                             break
                     start -= 1
                 else:  # a character without a piece: its bytes
-                    last.append(w[end - 1])
-                    code.append(code[end - 1] + b"".join(self.byte_ids[x].to_bytes(4, "little") for x in w[end - 1].encode()))
+                    start, piece = end - 1, w[end - 1]
+                    ids = b"".join([self.byte_ids[x].to_bytes(4, "little") for x in piece.encode()])
+                last.append(piece)
+                code.append(ids)
+                back.append(start)
             before = w
-            yield code[len(w)]
+            found, at = [], len(w)
+            while at:
+                found.append(code[at])
+                at = back[at]
+            found.reverse()
+            yield b"".join(found)
 
 
 def marked(text: str) -> list[str]:
@@ -174,6 +185,7 @@ class Codec:
         split = [marked(t) for t in texts]
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
+        if len(self.pieces.apart) > KEPT_PAIRS:
             self.pieces.apart.clear()
         new = sorted({w for ws in split for w in ws} - self.known.keys())
         self.known.update(zip(new, self.pieces.encode_sorted(new), strict=True))
@@ -207,5 +219,6 @@ def encoded(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "
                     "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back], "round_trip": [t == u for t, u in zip(back, texts[i:j], strict=True)],
                 })
 
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, n_ids int, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean")
-    return out.withColumnRenamed("key", key)
+    out = docs.select(as_text(key).alias("key"), F.col(text).alias("text"))
+    out = out.mapInPandas(run, "key string, n_ids int, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return out.select(from_text("key", kind, key), "n_ids", "ids", "ids_crc32", "decoded_sha256", "round_trip")

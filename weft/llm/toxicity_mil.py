@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bucket_of_id, hash_sample, text_slices
+from .common import as_text, bounded_sample, bucket_of_id, from_text, letter_words, text_slices
 
-#: Labelled documents of each class that the fit takes (in expectation), and features that it keeps.
+#: Labelled documents of each class that the fit takes at most, and features that it keeps.
 PER_CLASS, FEATURES = 1500, 2000
 #: A feature counts if so many sampled documents have it and its shares in the classes differ by so many standard errors.
 LEAST_DOCS, LEAST_Z = 6, 4.0
@@ -65,7 +65,7 @@ class Model:
         low = text.lower()
         same = len(low) == len(text)  # a few letters change length in lower case
         for m in SENTENCE.finditer(text):
-            words = WORD.findall(low[m.start() : m.end()] if same else m.group().lower())
+            words = letter_words(low[m.start() : m.end()] if same else m.group().lower())
             if words:
                 places.append(m.span())
                 sums.append(sum(self.word_weights(list(dict.fromkeys(words)))))
@@ -82,7 +82,7 @@ class Model:
 
 def fit(samples: list[tuple[str, int]], steps: int = 250, seed: int = 5) -> Model:
     """Fit on (text, label) pairs. Without both labels in the sample every score is that of an empty sentence."""
-    bags = [[WORD.findall(s.lower()) for s in SENTENCE.findall(t)] for t, _ in samples]
+    bags = [[letter_words(s.lower()) for s in SENTENCE.findall(t)] for t, _ in samples]
     bags = [[list(dict.fromkeys(ws)) for ws in b if ws] for b in bags]
     y = np.array([label for _, label in samples], dtype=float)
     n1, n0 = y.sum(), len(y) - y.sum()
@@ -128,11 +128,13 @@ def fit(samples: list[tuple[str, int]], steps: int = 250, seed: int = 5) -> Mode
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """Fit on labelled documents whose fold (crc32 of the id, modulo 5) is not 0, about ``per_class`` of each label.
 
-    The sample of ids is bounded, so it is broadcast; null labels and null texts teach nothing.
+    Null labels and null texts teach nothing; of rows that share an id one text counts.
     """
     folds = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (bucket_of_id("k", 5) != 0))
-    chosen = hash_sample(folds, "k", "y", per_class)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen), "k").collect()
+    # Two ids at most a class and key, and one text each: the rows that reach the driver are bounded.
+    chosen = bounded_sample(folds, "k", "y", per_class)
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(chosen.select("k").distinct(), "k", "left_semi")
+    rows = texts.groupBy("k").agg(F.min("t").alias("t")).join(chosen, "k").collect()
     return fit([(r["t"], r["y"]) for r in sorted(rows, key=lambda r: (r["k"], r["y"], r["t"]))])
 
 
@@ -147,8 +149,8 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             for i, j in text_slices(texts):
                 yield pd.DataFrame({"key": b["key"].iloc[i:j].to_numpy(), "score": shared.value.scores(texts[i:j])})
 
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, score double")
-    return out.select(F.col("key").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = docs.select(as_text(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key string, score double")
+    return out.select(from_text("key", kind, key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def with_toxicity(docs: DataFrame, model: Model, text: str = "text", column: str = "_toxicity") -> DataFrame:
@@ -175,7 +177,8 @@ def offending(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
                 rows += [(k, *places[i], float(p[i])) for i in np.flatnonzero(p >= least)]
             yield pd.DataFrame(rows, columns=["key", "start", "end", "score"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, start int, end int, score double").withColumnRenamed("key", key)
+    out = docs.select(as_text(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key string, start int, end int, score double")
+    return out.select(from_text("key", kind, key), "start", "end", "score")
 
 
 def toxicity_of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
