@@ -112,6 +112,35 @@ def test_neighbours_have_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 10 * len(got) and len(got) == (ids % 100 == 0).sum()
 
 
+def test_neighbours_of_many_vectors_probe_a_part_of_the_lists(spark, monkeypatch):
+    """24,000 vectors around the given ones: recall by the share of lists that the index probes; small units and blocks."""
+    given = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], np.float64)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([given + rng.normal(size=given.shape) * 0.5 * given.std(0) for _ in range(12)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ivfpq, "UNIT", 64)
+    monkeypatch.setattr(ivfpq, "BLOCK", 16)
+    seen = []
+    fitted = ivfpq.fitted
+    monkeypatch.setattr(ivfpq, "fitted", lambda *a: seen.append(fitted(*a)) or seen[-1])
+    got = {}
+    for r in ivfpq.neighbours_of_every_hundredth(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    index, ids, hits = seen[0][0], np.arange(len(x)), 0
+    assert index.probes < 0.5 * len(index.centroids) and len(index.centroids) == round(len(x) ** 0.5)
+    for q in range(0, len(x), 100):
+        hits += len({r.vec_id for r in got[q]} & set(brute_neighbours(ids, x, q)))
+        assert all(r.score == pytest.approx(np.linalg.norm(x[q] - x[r.vec_id]), abs=1e-13) for r in got[q])
+    assert hits >= 0.9 * 10 * len(got) and len(got) == len(x) // 100
+
+
+def test_neighbours_of_each_length(spark):
+    rows = [(100, [1.0, 0.1]), (1, [1.0, 0.15]), (200, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 4.0]), (300, [5.0]), (None, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.score) for r in ivfpq.neighbours_of_every_hundredth(df).orderBy("query_id").collect()]
+    assert got == [(100, 1, 0.15 - 0.1), (200, 2, 1.0)]
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (200, [0.0, 0.0]), (10, []), (3, [0.0, 1.0])]

@@ -4,9 +4,11 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from weft.llm import chat, language_crf, media, packing, secrets, toxicity_mil
 from weft.llm import sentencepiece_trie as sp_trie
@@ -157,18 +159,38 @@ def test_unstored_digest_keeps_its_place(spark):
     assert r.position == 1 and r.media_bytes is None
 
 
+def chat_by_sql(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    return sorted(map(repr, con.execute(f"SELECT conv_id, perspective, segment, part, n_turns, text, mask FROM ({chat.PERSPECTIVES_SQL})").fetchall()))
+
+
 def test_chat_odd_rows(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "a", "x"), (1, 1, "a", "x"), (1, 2, None, None), (2, 0, "system", "only"), (None, 0, "a", "n"), (1, 200, "b", "far"), (3, None, "a", "")]
+    rows = [(1, 0, "system", "s"), (1, 1, "a", "x"), (1, 1, "a", "x"), (1, 2, None, None), (2, 0, "system", "only"), (None, 0, "a", "n"), (1, 2000, "b", "far"), (3, None, "a", "ok"), (3, None, "a", "ok"), (3, -1, "a", "before")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, perspective string")
     got = chat.perspectives(df).collect()
     one = {(r.perspective, r.segment): r for r in got if r.conv_id == 1}
     assert set(one) == {(p, s) for p in ("a", "b", "unknown") for s in (0, 3)}
     r = one["a", 0]
-    assert r.n_turns == 3 and [r.text[m.start : m.end] for m in r.mask] == ["x<|im_end|>\n"]
+    assert r.n_turns == 4 and [r.text[m.start : m.end] for m in r.mask] == ["x<|im_end|>\n"] * 2
     assert "<|im_start|>user name=unknown\n<|im_end|>" in r.text and r.text.startswith("<|im_start|>system\ns")
     assert [(x.perspective, x.mask) for x in got if x.conv_id == 2] == [(None, [])]
-    assert [x.perspective for x in got if x.conv_id is None] == ["a"] and [x.segment for x in got if x.conv_id == 3] == [-1]
+    assert [x.perspective for x in got if x.conv_id is None] == ["a"] and sorted((x.segment or 0, x.n_turns) for x in got if x.conv_id == 3) == [(-1, 1), (0, 2)]
     assert chat.perspectives(df.limit(0)).count() == 0
+    flat = chat.perspectives(df).withColumn("mask", chat.mask_text(F.col("mask")))
+    assert sorted(repr(tuple(r)) for r in flat.collect()) == chat_by_sql(rows)
+
+
+def test_chat_keeps_every_turn_of_crowded_segments(spark, monkeypatch):
+    """Null and repeated turn numbers and equal rows: the parts of a segment together are all its turns, in order."""
+    rng = random.Random(8)
+    rows = [(c, rng.choice([None, None, 3, 3, 4, 900]), rng.choice(["a", "b", "system"]), rng.choice(["ok", "yes", f"t{i}"])) for i in range(4000) for c in (rng.choice([None, 7, 7, 7]),)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.perspectives(df).withColumn("mask", chat.mask_text(F.col("mask")))
+    found = got.collect()
+    assert max(r.n_turns for r in found) <= chat.SEGMENT and sum(r.n_turns for r in found) == 2 * len(rows)
+    assert sorted(repr(tuple(r)) for r in found) == chat_by_sql(rows)
 
 
 def test_packing_places(spark, docs, odd, none):
