@@ -13,16 +13,14 @@ from pyspark.sql import functions as F
 from weft.llm import chosen_path, language_crf, packing, secrets, toxicity_mil
 from weft.llm.common import table, written
 
-#: A text whose words belong to its best language by less than this on average is in none of the learned languages.
-LEAST_LANGUAGE = 0.3
 #: Documents that score so much go.
 TOXIC = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without letters and texts in none of the learned languages."""
+    """Drop texts without letters and texts whose words are spelled like none of the learned languages."""
     seen = language_crf.with_language(docs, language_crf.trained(docs))
-    kept = (F.col("_language.lang_pred") != language_crf.UNDETERMINED) & (F.col("_language.score") >= LEAST_LANGUAGE)
+    kept = (F.col("_language.lang_pred") != language_crf.UNDETERMINED) & (F.col("_language.foreign") < language_crf.DEVIATIONS)
     return seen.where(kept).drop("_language")
 
 
