@@ -4,10 +4,15 @@ Candidates are runs of key-like characters, values assigned to names such as ``p
 described by its length, the transitions between its kinds of characters, the share of it that dictionary words cover,
 the path around it and its neighbouring words. The forest is trained on labelled findings and turned into a Column
 expression, so a scan or a redaction is one narrow pass of DataFrame functions: no Python, no shuffle.
+
+A text is cut once at its candidates, into pieces that alternate between what lies between and the candidates. Each
+candidate is judged where it stands, by the pieces around it, and a redaction joins the pieces again, so the work follows
+the length of the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -22,9 +27,10 @@ BEFORE, AFTER = 64, 24
 REDACTED = "[SECRET]"
 
 # Patterns of candidates, names and formats.
-KEY_RUN = r"[A-Za-z0-9+/_~.\-]{12,}={0,2}"
+KEY_RUN = r"[A-Za-z0-9+_~][A-Za-z0-9+/_~.\-]{10,}[A-Za-z0-9+_~]={0,2}"
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|auth|bearer|credentials?)"
-ASSIGNED = rf"(?i){NAMES}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;<>]{{6,}})"
+ASSIGNING = rf"(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
+VALUE = r"[^\s\"',;<>\x01\x02]{5,}[^\s\"',;<>.)\]}\x01\x02]"
 BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----"
 FORMATS = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{12,}|gh[pousr]_|xox[abpr]-|sk-|AIza|eyJ|glpat-|-----BEGIN )"
 DOUBT = r"(?i)\b(?:commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|id|version|isbn|revision|rev|etag|build|ref)\b[\W_]{0,3}\Z"
@@ -33,38 +39,76 @@ SHAM = r"(?i)(?:example|sample|dummy|placeholder|changeme|your[_\-]|test|fake|x{
 FEATURES = ("length", "transitions", "distinct", "digits", "upper", "hex", "covered", "slashes", "dots", "dashes", "address", "named", "doubted", "format", "sham")
 
 
-def candidates(text: Column) -> Column:
-    """The candidates of a text at every place, as array<struct<value, start (from 1), before, after>>: value by value.
+#: Marks around candidates, and how texts that hold such characters themselves are written meanwhile.
+MARK, ESCAPES = "\u0001", (("\u0002", "\u0002\u0004"), ("\u0001", "\u0002\u0003"))
+#: Pieces before or after a candidate that hold its neighbourhood in any case; lengths that are summed at once.
+AROUND, TOGETHER = 32, 256
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def pieces(text: Column) -> Column:
+    """The text as array<string>, in whose places from 0, by four: text between, a value after a name or a private-key block,
+    nothing, a run of key-like characters; one of the latter two is empty.
 
-    A null text has none. Runs count if they hold a letter and a digit; sentence stops at their ends do not belong.
+    Values and blocks are marked first, then runs in the rest. A null text has one empty piece.
     """
     text = F.coalesce(text, F.lit(""))
-    runs = F.transform(F.regexp_extract_all(text, F.lit(KEY_RUN), F.lit(0)), lambda v: F.regexp_replace(v, r"^[.\-/]+|[.\-/]+$", ""))
-    runs = F.filter(runs, lambda v: (F.length(v) >= 12) & v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
-    named = F.transform(F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)), lambda v: F.regexp_replace(v, r"[.)\]}]+$", ""))
-    named = F.filter(named, lambda v: F.length(v) >= 6)
-    every = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0)), named, runs))
-
-    def placed(v: Column, start: Column) -> Column:
-        return F.struct(
-            v.alias("value"), start.alias("start"),
-            F.substring(text, F.greatest(start - BEFORE, F.lit(1)), F.least(start - 1, F.lit(BEFORE))).alias("before"),
-            F.substring(text, start + F.length(v), F.lit(AFTER)).alias("after"),
-        )
-
-    def places(v: Column) -> Column:
-        quoted = F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        pieces = F.split(text, quoted, -1)
-        between = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-        last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1) + F.length(v), F.lit(1))
-        starts = F.aggregate(between, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(last(acc) + F.length(x))))
-        return F.transform(starts, lambda start: placed(v, start))
-
-    return F.flatten(F.transform(every, places))
+    for plain, escaped in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    named = F.regexp_replace(text, F.lit(f"({BLOCK})|({ASSIGNING})({VALUE})"), F.lit(f"$2{MARK}$1$3{MARK}"))
+    marked = F.regexp_replace(named, F.lit(f"{MARK}([^{MARK}]*){MARK}|({KEY_RUN})"), F.lit(f"{MARK}$1{MARK}{MARK}$2{MARK}"))
+
+    def unescaped(x: Column) -> Column:
+        for plain, escaped in reversed(ESCAPES):
+            x = F.replace(x, F.lit(escaped), F.lit(plain))
+        return x
+
+    return F.transform(F.split(marked, MARK, -1), unescaped)
+
+
+def _is_candidate(x: Column, i: Column) -> Column:
+    """Whether piece ``x`` at place ``i`` is a candidate: runs need a letter and a digit."""
+    return ((i % 4 == 1) & (x != "")) | ((i % 4 == 3) & x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
+
+
+def _described(p: Column, x: Column, i: Column) -> Column:
+    """Piece ``x`` at place ``i`` of ``p`` as struct<value, before, after>."""
+    near = F.slice(p, F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND)))
+    before = F.right(F.array_join(F.transform(near, lambda y: F.right(y, F.lit(BEFORE))), ""), F.lit(BEFORE))
+    after = F.left(F.array_join(F.transform(F.slice(p, i + 2, AROUND), lambda y: F.left(y, F.lit(AFTER))), ""), F.lit(AFTER))
+    return F.struct(x.alias("value"), before.alias("before"), after.alias("after"))
+
+
+def _start(lengths: Column, sums: Column, i: Column) -> Column:
+    """The sum of the first ``i`` lengths, from sums of TOGETHER of them each."""
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    block = F.floor(i / TOGETHER).cast("int")
+    return add(F.slice(sums, F.lit(1), block)) + add(F.slice(lengths, block * TOGETHER + 1, i % TOGETHER))
+
+
+def candidates(text: Column) -> Column:
+    """The candidates of a text in order, as array<struct<value, start (from 0), before, after>>. A null text has none."""
+
+    def listed(p: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: _is_candidate(F.get(p, i), i))
+        known = F.transform(places, lambda i: F.struct(i.alias("i"), _described(p, F.get(p, i), i).alias("x")))
+        lengths = F.transform(p, lambda x: F.length(x).cast("long"))
+
+        def summed(ls: Column) -> Column:
+            sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(ls) / TOGETHER).cast("int")), lambda b: F.aggregate(F.slice(ls, b * TOGETHER + 1, TOGETHER), F.lit(0).cast("long"), lambda a, x: a + x))
+            return let(sums, lambda ss: F.transform(known, lambda c: F.struct(c["x"]["value"].alias("value"), _start(ls, ss, c["i"]).alias("start"), c["x"]["before"].alias("before"), c["x"]["after"].alias("after"))))
+
+        return let(lengths, summed)
+
+    return let(pieces(text), listed)
 
 
 def features(x: Column, dictionary: list[str]) -> Column:
-    """The features of one candidate (a struct of :func:`candidates`), as array<double> in the order of FEATURES."""
+    """The features of one candidate (a struct of value, before, after), as array<double> in the order of FEATURES."""
     v, before = x["value"], x["before"]
     n = F.length(v).cast("double")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9"), "[^aA9]", ".")
@@ -145,33 +189,30 @@ def forest(model: RandomForestClassificationModel, f: Column) -> Column:
     return reduce(lambda a, b: a + b, trees) / len(trees)
 
 
-def scored(text: Column, model: RandomForestClassificationModel, dictionary: list[str]) -> Column:
-    """array<struct<value, start, score>> of a text's candidates."""
-    described = F.transform(candidates(text), lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), features(x, dictionary).alias("f")))
-    return F.transform(described, lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), forest(model, x["f"]).alias("score")))
+def score(x: Column, model: RandomForestClassificationModel, dictionary: list[str]) -> Column:
+    """The forest's score of one candidate."""
+    return let(features(x, dictionary), lambda f: forest(model, f))
 
 
 def found(docs: DataFrame, model: RandomForestClassificationModel, dictionary: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, length, occurrences, value, score, is_secret): one row per place of a candidate in a document.
+    """(key, start, length, value, score, is_secret): one row per place of a candidate in a document.
 
-    start is the place in characters, from 0; occurrences counts the places of the value in the document; null and empty texts give no row; other columns are not used.
+    start is the place in characters, from 0; a value that stands at several places is judged at each. Null and empty texts
+    give no row; other columns are not used.
     """
-    d = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    d = d.select("k", "t", F.explode(scored(F.col("t"), model, dictionary)).alias("s"))
-    v = F.col("s.value")
-    times = (F.length("t") - F.length(F.replace(F.col("t"), v, F.lit("")))) / F.length(v)
-    return d.select(F.col("k").alias(key), (F.col("s.start") - 1).cast("long").alias("start"), F.length(v).alias("length"), times.cast("int").alias("occurrences"), v.alias("value"), F.col("s.score").alias("score"), (F.col("s.score") >= 0.5).alias("is_secret"))
+    d = docs.select(F.col(key).alias("k"), F.explode(candidates(F.col(text))).alias("s")).select("k", "s", score(F.col("s"), model, dictionary).alias("score"))
+    return d.select(F.col("k").alias(key), F.col("s.start").alias("start"), F.length("s.value").alias("length"), F.col("s.value").alias("value"), "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
 def redacted(docs: DataFrame, model: RandomForestClassificationModel, dictionary: list[str], text: str = "text") -> DataFrame:
-    """``docs`` with every occurrence of a secret in ``text`` replaced by REDACTED; all rows and columns stay.
+    """``docs`` with the secrets in ``text`` replaced by REDACTED, each where it was found; all rows and columns stay."""
 
-    A value that is a secret at one of its places goes everywhere.
-    """
-    secrets = F.array_distinct(F.transform(F.filter(scored(F.col(text), model, dictionary), lambda x: x["score"] >= 0.5), lambda x: x["value"]))
-    # Longer values first, so that one within another leaves no rest.
-    longest = F.array_sort(secrets, lambda a, b: F.length(b) - F.length(a))
-    return docs.withColumn(text, F.when(F.col(text).isNotNull(), F.aggregate(longest, F.col(text), lambda t, x: F.replace(t, x, F.lit(REDACTED)))))
+    def clean(p: Column) -> Column:
+        secret = lambda x, i: let(_described(p, x, i), lambda c: score(c, model, dictionary) >= 0.5)
+        kept = lambda x, i: F.when(_is_candidate(x, i), F.when(secret(x, i), F.lit(REDACTED)).otherwise(x)).otherwise(x)
+        return F.array_join(F.transform(p, kept), "")
+
+    return docs.withColumn(text, F.when(F.col(text).isNotNull(), let(pieces(F.col(text)), clean)))
 
 
 def secrets_of_documents(docs: DataFrame) -> DataFrame:
