@@ -1,6 +1,8 @@
 """Operators that join rows: results against brute force, odd rows; and the pipeline."""
 
+import html
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -236,8 +238,8 @@ def test_layouts_of_a_host_have_pivots_of_their_own(spark):
     one = "<body><div class=x><p>Always one</p><div class=t><h2>Title {i}</h2><p>{w} {i}</p></div></div><table><tr><td>Fixed cell</table></body>"
     two = "<body><section><h3>Always two</h3><div class=u><p>{w} {i}</p></div><hr><p>Rights of two</p></section></body>"
     words = "words and more " * 20
-    html = [None, "<body><p>Not found</p></body>", *[(one if i % 2 else two).format(i=i, w=words) for i in range(2, 12)], "<body><table><tr><td>Fixed cell</table><p>Odd page</p></body>"]
-    df = spark.createDataFrame([(i, f"http://l.example.org/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    source = [None, "<body><p>Not found</p></body>", *[(one if i % 2 else two).format(i=i, w=words) for i in range(2, 12)], "<body><table><tr><td>Fixed cell</table><p>Odd page</p></body>"]
+    df = spark.createDataFrame([(i, f"http://l.example.org/{i}", h) for i, h in enumerate(source)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in wrapper.extracted(df).collect()}
     said = " ".join(words.split())
     assert got[0] == "" and got[1] == "Not found" and got[3] == f"Title 3\n{said} 3" and got[4] == f"{said} 4" and "Odd page" in got[12]
@@ -250,6 +252,67 @@ def test_copies_of_a_page_are_no_template(spark):
     assert got[5] == "Title 0\nText of 0" and got[42] == "Title 2\nText of 2"
 
 
+def host_pages(spark, page, n=6):
+    return spark.createDataFrame([(i, f"http://h.example.org/{i}", page.format(i=i, w="words and more " * 9)) for i in range(n)], "page_id long, url string, html string")
+
+
+def test_constant_parts_inside_the_article_element_are_template(spark):
+    """Same pages, aligned and by themselves: what alignment decides is in the one text and not in the other."""
+    page = "<body><main><h1>Head {i}</h1><p class=by>Filed under News, printed on paper</p><p>{w}{i}</p><section><p>Follow us on all channels</p><p class=z>Never miss a story</p></section></main></body>"
+    df, said = host_pages(spark, page), " ".join(("words and more " * 9).split())
+    got = {r.page_id: r.text for r in wrapper.extracted(df).collect()}
+    assert got == {i: f"Head {i}\n{said} {i}" for i in range(6)}
+    alone = {r.page_id: wrapper.article(r.html, None) for r in df.collect()}
+    assert all("Filed under" in t and "Never miss" in t for t in alone.values())
+    # Two pages are too few to tell template from text.
+    assert all("Filed under" in r.text for r in wrapper.extracted(df.limit(2)).collect())
+
+
+@pytest.mark.parametrize("frame", ['<body class="single has-sidebar">{{}}</body>', '<body class="no-comments">{{}}</body>', '<body><article class="post has-comments">{{}}</article></body>', '<body><div class="widget-page search-off">{{}}</div></body>', '<body class="ad"><div class="with-sidebar content">{{}}</div><div class="sidebar">Side {i}</div></body>'])
+def test_names_of_the_page_and_of_the_article_do_not_empty_it(spark, frame):
+    df = host_pages(spark, frame.replace("{{}}", "<h1>Head {i}</h1><p>{w}{i}</p><div class='share-buttons'>Share {i}</div>"), 4)
+    said = " ".join(("words and more " * 9).split())
+    assert {r.page_id: r.text for r in wrapper.extracted(df).collect()} == {i: f"Head {i}\n{said} {i}" for i in range(4)}
+
+
+def test_copies_of_an_article_in_other_frames_are_no_template(spark):
+    page = "<body><nav><a href=/>go {i}</a></nav><article><h1>The same</h1><p>Copied text of an article</p></article><footer>{i}</footer></body>"
+    assert {r.text for r in wrapper.extracted(host_pages(spark, page)).collect()} == {"The same\nCopied text of an article"}
+
+
+def test_article_of_the_given_pages(spark):
+    """The text of the article element, whose parts are all slots in these pages."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in wrapper.extracted(rows).collect()}
+    for r in rows.collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)
+        assert inner and " ".join(got[r.page_id].split()) == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner[1])).split())
+
+
+def largest_alignment(a, b):
+    """The size of a largest alignment by trying every choice."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max([best(xs[1:], ys)] + [largest_alignment(xs[0], ys[k]) + best(xs[1:], ys[k + 1 :]) for k in range(len(ys)) if xs[0][0] == ys[k][0]])
+
+    return 1 + best(a[3], b[3])
+
+
+def test_tree_matching_is_largest():
+    rng = random.Random(7)
+    grown = lambda depth: [rng.choice("ab"), 1, 0, [grown(depth - 1) for _ in range(rng.randint(0, 3) if depth else 0)]]
+    for _ in range(300):
+        a, b = grown(3), grown(3)
+        pairs = wrapper.matched(a, b)
+        assert len(pairs) == largest_alignment(a, b)
+        order = list(wrapper._preorder(a))
+        assert all(order[n] is x and x[0] == y[0] for n, x, y in pairs) and len({id(y) for *_, y in pairs}) == len(pairs)
+
+
 def test_tree_matching_keeps_order():
     leaf = lambda x: [x, 1, 0, []]
     a, b = ["r", 0, 0, [leaf("a"), leaf("b"), leaf("c"), leaf("a")]], ["r", 0, 0, [leaf("b"), leaf("a"), leaf("c"), leaf("a"), leaf("d")]]
