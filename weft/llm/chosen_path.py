@@ -1,19 +1,22 @@
 """Similarity join of documents on word shingles by chosen paths.
 
-Sets of five-word shingles are sketched by min-wise values, whose agreeing places are as the Jaccard similarity. From a
-root, a set goes down to a child for each place that a hash of (node, place, value) chooses, ``BRANCH`` places on average.
-Similar sets choose the same children often, unlike sets rarely. A node with few sets is compared by brute force, a larger
-one is split further, and runs from other roots repeat this until the target recall. The comparison takes the sketches
-first and the whole shingle sets of what remains, so the links are exact; only a pair that no run brings together is lost.
+Sets of five-word shingles are sketched by min-wise values: each is a token that the set's hash order samples, and the
+sketches' agreeing places are as the Jaccard similarity. From a root, a set goes down to a child for each sampled token
+that a hash of (node, place, value) chooses, ``BRANCH`` tokens on average. Similar sets share tokens and so children often,
+unlike sets rarely. A node with few sets is compared by brute force, a larger one is split further, and runs from other
+roots repeat this until the target recall: :func:`runs_for` gives their number.
 
 With 128 places and similarity 0.8, sets meet at a child with probability 1 - exp(-1.28) = 0.72, and 0.60 and 0.54 one
-and two levels further down; ten runs miss 3e-6, 1e-4 and 5e-4 of such pairs.
+and two levels further down; ten runs miss 3e-6, 1e-4 and 5e-4 of such pairs. Of the pairs that meet, the comparison takes
+those whose sketches agree at ``FIRST_AGREE`` of the first places and at ``AGREE`` of all (a pair at the threshold fails
+that with probability 2e-7), and compares their whole shingle sets, so links that are found are exact.
 
 Copies (equal sets) are one set for all of this. A pair that meets at several nodes is handled at the least of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +29,27 @@ from .components import components
 from .shingles import SKETCH, Shingler, digest, jaccard_counts, mix, sketch
 
 SIMILARITY = 0.8
-RUNS, BRANCH, DEPTH = 10, 1.6, 3
+#: Share of the pairs at the threshold that some run must bring together, even at the deepest level.
+TARGET = 0.9995
+BRANCH, DEPTH = 1.6, 3
 #: Sets of a node that is compared at once; a larger node is split, and at the last level compared block by block.
 BLOCK = 1024
-#: Equal places that a pair's sketches need: 0.8 of 128, less 5.4 standard deviations.
-AGREE = 78
+#: Equal places that a pair's sketches need: 0.8 of 128, less 5.4 standard deviations; of the first places, less 6.
+AGREE, FIRST, FIRST_AGREE = 78, 32, 12
+#: Sets on each side of a unit whose whole shingle sets are compared.
+CHUNK = 256
+
+
+def runs_for(target: float = TARGET, similarity: float = SIMILARITY, depth: int = DEPTH) -> int:
+    """Runs that bring together at least ``target`` of the pairs of this similarity that must go down ``depth`` levels.
+
+    Sets that share a node share a child with probability 1 - exp(-BRANCH * similarity); further down a pair meets if one of
+    its shared children leads on (a branching process).
+    """
+    meet = 1.0
+    for _ in range(depth):
+        meet = 1 - math.exp(-BRANCH * similarity * meet)
+    return max(1, math.ceil(math.log(1 - target) / math.log(1 - meet) - 1e-9))
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +78,7 @@ def _matrix(column: pd.Series, kind: type) -> np.ndarray:
 
 
 def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    roots = mix(np.arange(1, RUNS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    roots = mix(np.arange(1, runs_for() + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
     for b in batches:
         for i in range(0, len(b), 2048):
             some = b.iloc[i : i + 2048]
@@ -106,13 +125,15 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks, n, reps = _matrix(g["marks"], np.uint8), g["n"].to_numpy(), g["rep"].to_numpy()
         xs, ys = [], []
         for i in range(0, len(left), 64):
-            rows = left[i : i + 64]
-            agree = (marks[rows][:, None, :] == marks[right][None, :, :]).sum(axis=2)
-            sizes = np.minimum(n[rows][:, None], n[right][None, :]) >= SIMILARITY * np.maximum(n[rows][:, None], n[right][None, :]) - 1e-9
-            x, y = np.nonzero((agree >= AGREE) & sizes)
-            xs.append(rows[x])
-            ys.append(right[y])
-        x, y = np.concatenate(xs), np.concatenate(ys)
+            rows, others = left[i : i + 64], right[i:] if low == high else right
+            sizes = np.minimum(n[rows][:, None], n[others][None, :]) >= SIMILARITY * np.maximum(n[rows][:, None], n[others][None, :]) - 1e-9
+            x, y = np.nonzero(sizes & ((marks[rows, :FIRST][:, None, :] == marks[others, :FIRST][None, :, :]).sum(axis=2, dtype=np.uint8) >= FIRST_AGREE))
+            x, y = rows[x], others[y]
+            for j in range(0, len(x), 65_536):
+                agree = (marks[x[j : j + 65_536]] == marks[y[j : j + 65_536]]).sum(axis=1, dtype=np.uint8) >= AGREE
+                xs.append(x[j : j + 65_536][agree])
+                ys.append(y[j : j + 65_536][agree])
+        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))
         if low == high:
             x, y = x[x < y], y[x < y]
         if not len(x):
@@ -131,8 +152,11 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 there[members] = True
                 free &= ~(there[x] & there[y])
         x, y = x[free], y[free]
-        if len(x):
-            out.append((f"{node}/{low}/{high}", reps[x].astype(np.int64).tobytes(), reps[y].astype(np.int64).tobytes()))
+        # Whole sets are long: a unit has CHUNK of them on each side.
+        chunk = x // CHUNK * len(g) + y // CHUNK
+        for c in np.unique(chunk).tolist():
+            own = chunk == c
+            out.append((f"{node}/{low}/{high}/{c}", reps[x[own]].astype(np.int64).tobytes(), reps[y[own]].astype(np.int64).tobytes()))
         if len(out) >= 200:
             yield pd.DataFrame(out, columns=["unit", "a", "b"])
             out = []
