@@ -59,6 +59,34 @@ def test_join_equals_brute_force(spark):
     assert kept == {c for c, _ in got.values()}
 
 
+def test_a_group_beyond_one_unit(spark):
+    rng = random.Random(21)
+    texts = near_texts(600, 3, rng, words=70)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.joined(docs).collect()}
+    want = brute_links(dict(enumerate(texts)))
+    found, every = sum(n for _, n in got.values()), sum(n for _, n in want.values())
+    assert every > 10_000 and chosen_path.TARGET * every <= found and all(got[k][1] <= want[k][1] for k in got)
+
+
+def test_runs_reach_the_target_recall():
+    """Simulated on sketches whose places agree as a similarity of 0.8 has it."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    a = rng.integers(0, 1 << 32, (n, shingles.SKETCH)).astype(np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 32, a.shape).astype(np.uint32))
+    met = np.zeros(n, bool)
+    for root in shingles.mix(np.arange(1, chosen_path.runs_for() + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)):
+        nodes = [(np.full(n, root), np.arange(n))] * 2
+        for _ in range(chosen_path.DEPTH):
+            below = [chosen_path._children(at, m[own]) for (at, own), m in zip(nodes, (a, b), strict=True)]
+            nodes = [(node.view(np.uint64), own[row]) for (row, node), (_, own) in zip(below, nodes, strict=True)]
+        left, right = ({(int(x), int(o)) for x, o in zip(at, own, strict=True)} for at, own in nodes)
+        met[[o for _, o in left & right]] = True
+    assert met.mean() >= chosen_path.TARGET - 0.001
+    assert chosen_path.runs_for() == 10 and chosen_path.runs_for(0.9) < 5
+
+
 def test_large_nodes_are_split_and_compared_by_blocks(spark, monkeypatch):
     """Small blocks, set on the driver and in fresh workers through the module's names, reach every level."""
     rng = random.Random(4)
