@@ -1,10 +1,13 @@
 """Odd rows, refusals and properties of the table operators."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weft.functions import logic, maths, text, windows
+from weft.functions import dates, logic, maths, text, windows
 from weft.operators import aggregates, cleaning, filters, joins, sets, windowing
 from weft.plans import history, models, upkeep
 from weft.sources import tables as sources
@@ -116,11 +119,126 @@ def test_append_writes_new_rows_alone(spark, tmp_path):
         table.read()
     for k in range(3):
         upkeep.append(table, spark.range(k, k + 1))
-    assert rows(table.read()) == [(0,), (1,), (2,)] and len(list((tmp_path / "t").glob("v*"))) == 3
+    assert rows(table.read()) == [(0,), (1,), (2,)] and len(list((tmp_path / "t").glob("v-*"))) == 3
     assert rows(upkeep.full(table, spark.range(1))) == [(0,)]
     assert rows(upkeep.add_column(table, "c", "int")) == [(0, None)]
 
 
+def test_merge_writes_touched_buckets_alone(spark, tmp_path):
+    table, load = upkeep.Table(spark, str(tmp_path / "t")), upkeep.Load("INCREMENTAL", ("id",))
+    df = spark.range(2000).withColumn("v", F.lit("a"))
+    upkeep.run(df, table, load)
+    before = set((tmp_path / "t").glob("v-*"))
+    out = upkeep.run(spark.createDataFrame([(5, "b"), (5000, "c")], "id long, v string"), table, load)
+    (new,) = set((tmp_path / "t").glob("v-*")) - before
+    assert len(list(new.glob(f"{upkeep.BUCKET}=*"))) <= 2
+    assert out.count() == 2001 and rows(out.where("v <> 'a'")) == [(5, "b"), (5000, "c")]
+    assert upkeep.run(df.limit(0), table, load).count() == 2001
+    assert rows(upkeep.add_column(table, "w", "int").where("id = 5")) == [(5, "b", None)]
+    out = upkeep.run(spark.createDataFrame([(5, "d", 7)], "id long, v string, w int"), table, load)
+    assert out.count() == 2001 and rows(out.where("w = 7")) == [(5, "d", 7)]
+    assert table.vacuum() > 0 and table.read().count() == 2001 and len(table._versions()) == 1
+    empty = upkeep.Table(spark, str(tmp_path / "e"))
+    assert upkeep.run(df.limit(0), empty, load).count() == 0 and upkeep.run(df, empty, load).count() == 2000
+
+
+def test_two_writers_cannot_take_one_version(spark, tmp_path):
+    a, b = (upkeep.Table(spark, str(tmp_path / "t")) for _ in range(2))
+    a.write(spark.range(1))
+    number, parts, keys = a._version()
+    b.write(spark.range(2))
+    with pytest.raises(upkeep.Conflict):
+        a._commit(number + 1, parts, keys)
+    assert rows(a.read()) == [(0,), (1,)]
+
+
+def test_null_keys_are_one_another(spark, tmp_path):
+    old = spark.createDataFrame([(None, "n"), (1, "a"), (2, "")], "k int, v string")
+    assert upkeep.changed_rows(old, old, {"key_columns": ["k"]}).count() == 0
+    new = spark.createDataFrame([(None, "m"), (1, "a"), (2, None)], "k int, v string")
+    assert rows(upkeep.changed_rows(new, old, {"key_columns": ["k"]})) == [(2, None), (None, "m")]
+    table, load = upkeep.Table(spark, str(tmp_path / "t")), upkeep.Load("INCREMENTAL", ("k",), "checksum", {"key_columns": ["k"]})
+    upkeep.run(old, table, load)
+    for _ in range(2):
+        assert rows(upkeep.run(new, table, load)) == [(1, "a"), (2, None), (None, "m")]
+
+
+def test_overrides_and_fallback(spark, tmp_path):
+    table, load = upkeep.Table(spark, str(tmp_path / "t")), upkeep.Load("INCREMENTAL", ("k",), "full_scan")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    upkeep.run(df, table, load)
+    assert rows(upkeep.run(df.where("k = 1"), table, load, materialization="TABLE")) == [(1, "a")]
+    assert rows(upkeep.run(df, table, load, materialization="VIEW")) == rows(df) and table.read().count() == 1
+
+    def fails(*_):
+        raise RuntimeError("no delta")
+
+    assert rows(upkeep.run_or_reload(df, table, load, strategy="custom", options={"function": fails})) == rows(df)
+    with pytest.raises(ValueError):
+        upkeep.run_or_reload(df.unionAll(df), table, load, strategy="custom", options={"function": fails})
+    only = upkeep.run(df.withColumn("v", F.lit("z")), table, load, strategy="custom", options={"function": lambda s, d, o: s.where("k = 2")})
+    assert rows(only) == [(1, "a"), (2, "z")]
+
+
+def test_filter_values_follow_the_column(spark):
+    df = spark.createDataFrame([("12", 12, "true"), ("abc", 3, "x"), ("012", 5, "12")], "c string, n int, b string")
+    got = lambda *c: [r.n for r in filters.where(df, [filters.Condition(*c)]).orderBy("n").collect()]
+    assert got("c", "EQ", "12") == [12] and got("c", "IN", "12,abc") == [3, 12] and got("c", "NEQ", 12) == [3, 5] and got("n", "IN", "3, 5") == [3, 5]
+    assert got("b", "EQ", "true") == [12] and got("n", "GT", "4") == [5, 12] and got("c", "BETWEEN", ["0", "2"]) == [5, 12]
+
+
+def test_windows_in_aggregates_are_known_by_the_plan(spark):
+    df = spark.range(4).withColumn("a OVER b", F.col("id") % 2)
+    assert rows(aggregates.grouped(df, ["a OVER b"], {"x": F.max(F.lit(" OVER "))})) == [(0, " OVER "), (1, " OVER ")]
+    for bad in (F.sum("id").over(Window.partitionBy("a OVER b")), F.row_number().over(Window.orderBy("a OVER b")), F.sum(F.sum("id")).over(Window.partitionBy("a OVER b"))):
+        with pytest.raises(ValueError):
+            aggregates.grouped(df, ["a OVER b"], {"x": bad})
+    with pytest.raises(ValueError):
+        windowing.with_windows(df, [windowing.WindowColumn("r", "ROW_NUMBER", order=(("id", "asc"),))])
+    assert windowing.with_windows(df, [windowing.WindowColumn("r", "ROW_NUMBER", order=(("id", "asc"),), whole_table=True)]).count() == 4
+
+
+def test_quantiles_of_whole_columns(spark):
+    rng = random.Random(3)
+    values = [rng.choice([None, 1.5, 7.25, rng.uniform(-9, 9)]) for _ in range(501)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = maths.with_statistics(df, a=maths.median("v"), b=maths.quantile("v", 0.137), c=maths.quantile("v", 1.0), n=F.count("v")).first()
+    there = np.array([v for v in values if v is not None])
+    assert [got.a, got.b, got.c] == pytest.approx(np.quantile(there, [0.5, 0.137, 1.0]).tolist()) and got.n == len(there)
+    assert maths.with_statistics(df.limit(0).unionAll(spark.createDataFrame([(None,)], "v double")), a=maths.median("v")).first().a is None
+
+
+def test_units_of_truncation():
+    with pytest.raises(ValueError):
+        dates.date_trunc(F.lit("2024-01-01"), "moon")
+
+
+def test_downstream_models_load_what_they_need(spark):
+    built = []
+    m = {n: models.Model(n, i, lambda *d: d[0]) for n, i in {"a": ("src",), "b": ("a",), "c": ("b", "d"), "d": ("src",)}.items()}
+    df = spark.range(1)
+    models.run(m, {"src": df}, ["b"], keep=lambda n, x: built.append(n) or x, load=lambda n: built.append(f"load {n}") or df)
+    assert built == ["load a", "load d", "b", "c"]
+
+
+def test_kept_marks_and_plans(spark, tmp_path):
+    table = upkeep.Table(spark, str(tmp_path / "marks"))
+    one, two = spark.range(5), spark.range(9)
+    assert upkeep.advance_kept(one, "id", "long", table).first().rows == 5
+    second = upkeep.advance_kept(two, "id", "long", table).first()
+    assert (second.old_value, second.new_value, second.rows) == ("4", "8", 4)
+    third = upkeep.advance_kept(two.limit(0), "id", "long", table).first()
+    assert (third.old_value, third.new_value, third.rows) == ("8", "8", 0) and table.read().count() == 3
+    plans = models.compiled(spark, {"m": two.where("id > 3")}, upkeep.Table(spark, str(tmp_path / "plans"))).collect()
+    assert [p.model for p in plans] == ["m"] and "Filter" in plans[0].plan
+
+
+def test_history_refuses_repeated_keys(spark):
+    h, a = history.History(("k",), check=("v",)), spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(ValueError):
+        history.advanced(history.first(a, h, "2024-01-01"), spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string"), h, "2024-02-01")
+
+
 def test_empty_destination_is_a_first_run(spark):
     src = spark.createDataFrame([(1,), (None,)], "c int")
     assert upkeep.above_mark(src, src.limit(0), {"column": "c"}).count() == 2
@@ -174,6 +292,14 @@ def test_seeds(spark, tmp_path):
     assert sources.sample(long).first().s.endswith("...(truncated)") and rows(sources.columns(long)) == [("s", "string", True, "String")]
 
 
+def test_jdbc(spark, tmp_path):
+    """A database that Spark brings along, in memory of this process."""
+    url = f"jdbc:derby:memory:{tmp_path.name};create=true"
+    spark.range(100).selectExpr("id", "'n' || id AS name").write.jdbc(url, "things", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    df = sources.jdbc(spark, url, "things", "ID", 0, 100, 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert df.rdd.getNumPartitions() == 4 and df.count() == 100 and df.where("ID = 7").first()[1] == "n7"
+
+
 def test_dump_and_restore(spark, tmp_path):
     df = spark.range(5)
     upkeep.dump({"r": df}, str(tmp_path / "d"))

@@ -24,6 +24,26 @@ def type_name(name: str) -> str:
     return TYPE_NAMES.get(name.strip().upper(), name)
 
 
+def typed(c: Value, *names: str) -> Column:
+    """Whether an expression is of one of these types; known before the query runs."""
+    return F.typeof(col(c)).isin(*names)
+
+
+def whole(*cs: Value) -> Column:
+    """Whether all are of whole-number types."""
+    out = F.lit(True)
+    for c in cs:
+        out = out & typed(c, "tinyint", "smallint", "int", "bigint")
+    return out
+
+
+def as_text(c: Value) -> Column:
+    """As text; floating-point numbers of 1e-4 to 1e15 without exponent."""
+    s = col(c).cast("string")
+    plain = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when(typed(c, "double", "float") & s.rlike(r"^-?\d\.\d+E([7-9]|1[0-4]|-4)$"), plain).otherwise(s)
+
+
 def cast(c: Value, name: str) -> Column:
     """CAST: bad input is an error under ANSI rules; see ``try_cast``."""
     return col(c).cast(type_name(name))

@@ -92,6 +92,16 @@ def microsecond(d: Column) -> Column:
     return F.pmod(F.unix_micros(d.cast("timestamp")), F.lit(1_000_000))
 
 
+# Names of units in upper case and the units of truncation.
+UNITS = {
+    "YEAR": "year", "YEARS": "year", "Y": "year", "QUARTER": "quarter", "Q": "quarter", "MONTH": "month", "MONTHS": "month", "M": "month", "WEEK": "week", "WEEKS": "week", "W": "week", "DAY": "day", "DAYS": "day", "D": "day",
+    "HOUR": "hour", "HOURS": "hour", "H": "hour", "MINUTE": "minute", "MINUTES": "minute", "SECOND": "second", "SECONDS": "second", "S": "second",
+}
+
+
 def date_trunc(d: Column, unit: str) -> Column:
-    """Year to second, with quarter and week (Monday); ``M`` is month."""
-    return F.date_trunc("month" if unit == "M" else unit, d)
+    """Year to second, with quarter and week (Monday), by any name of UNITS in any case; other units are an error."""
+    known = UNITS.get(unit.strip().strip("\"'").strip().upper())
+    if known is None:
+        raise ValueError(f"unknown unit {unit}")
+    return F.date_trunc(known, d)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegralType, StringType
 
-from .base import Value, col, type_name
+from .base import col, type_name, typed, Value
 
 
 def if_(condition: Column, a: Value, b: Value, kind: str | None = None) -> Column:
@@ -101,8 +101,16 @@ def isinf(c: Column) -> Column:
     return F.abs(c.cast("double")) == F.lit(float("inf"))
 
 
+#: What a text must look like to be a number; others are told apart without the cost of a failed cast.
+_WHOLE, _REAL = r"^[\x00-\x20]*[+-]?\d+[\x00-\x20]*$", r"(?i)^[\x00-\x20]*[+-]?(\d|\.\d|inf|nan)"
+
+
 def try_cast(c: Column, name: str) -> Column:
-    return c.try_cast(type_name(name))
+    """The cast, or null where it fails."""
+    kind = type_name(name)
+    pattern = _WHOLE if kind in ("tinyint", "smallint", "int", "bigint") else _REAL if kind in ("float", "double") or kind.startswith("decimal") else None
+    tried = c.try_cast(kind)
+    return tried if pattern is None else F.when(~typed(c, "string") | c.cast("string").rlike(pattern), tried)
 
 
 def coalesce(*values: Value) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import add, mul
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Value, col
+from weft.shared import kept
+
+from .base import Value, col, whole
 
 abs_, acos, asin, atan, atan2 = F.abs, F.acos, F.asin, F.atan, F.atan2
 ceiling, cos, cot, degrees, exp, floor = F.ceil, F.cos, F.cot, F.degrees, F.exp, F.floor
@@ -29,11 +32,15 @@ def bitxor(a: Column, b: Value) -> Column:
 
 
 def bitlshift(a: Column, n: Value) -> Column:
-    return (a * F.pow(F.lit(2.0), col(n))).cast("long")
+    """``a`` times 2 to the n; exact for whole numbers, and an error beyond 64 bits."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), col(n).cast("int"))
+    return F.when(whole(a, n) & col(n).between(0, 62), a.cast("long") * one).otherwise((a * F.pow(F.lit(2.0), col(n))).cast("long"))
 
 
 def bitrshift(a: Column, n: Value) -> Column:
-    return F.floor(a / F.pow(F.lit(2.0), col(n))).cast("long")
+    """The whole part, downward, of ``a`` by 2 to the n; exact for whole numbers."""
+    shifted = F.call_function("shiftright", a.cast("long"), col(n).cast("int"))
+    return F.when(whole(a, n) & col(n).between(0, 63), shifted).otherwise(F.floor(a / F.pow(F.lit(2.0), col(n))).cast("long"))
 
 
 def delta(a: Column, b: Value) -> Column:
@@ -78,12 +85,19 @@ def product(*xs: Value) -> Column:
 
 
 def quotient(a: Column, b: Value) -> Column:
-    return F.floor(a / F.nullif(col(b), F.lit(0)))
+    """The quotient rounded down; exact for whole numbers, null for a divisor of 0."""
+    b = F.nullif(col(b), F.lit(0))
+    x, y = F.when(b < 0, -a.cast("long")).otherwise(a.cast("long")), F.abs(b.cast("long"))
+    return F.when(whole(a, b), F.call_function("div", x - F.pmod(x, y), y)).otherwise(F.floor(a / b))
 
 
-def round_(x: Column, n: int | None) -> Column:
-    """Rounded as a double; n null is 0, and is held to -15 .. 15."""
-    return F.round(x.cast("double"), max(-15, min(15, n or 0)))
+def round_(x: Column, n: Value) -> Column:
+    """Rounded as a double; n null is 0, and is held to -15 .. 15. n may be an expression."""
+    x = x.cast("double")
+    if not isinstance(n, Column):
+        return F.round(x, max(-15, min(15, int(n or 0))))
+    places = F.least(F.greatest(F.coalesce(n.cast("int"), F.lit(0)), F.lit(-15)), F.lit(15))
+    return reduce(lambda rest, k: F.when(places == k, F.round(x, k)).otherwise(rest), range(-15, 16), F.lit(None).cast("double"))
 
 
 def rounddown(x: Column, n: int = 0) -> Column:
@@ -137,7 +151,16 @@ def random(seed: int | None = None) -> Column:
     return F.rand(seed)
 
 
-# Statistics of a whole column on every row. Any number of them costs one aggregate and the join of its single row.
+# Statistics of a whole column on every row. Any number of them costs one aggregate and the join of its single row;
+# quantiles take another pass each.
+
+
+@dataclass(frozen=True)
+class Quantile:
+    """The value below which a share ``q`` of a column lies, between two values by linear interpolation."""
+
+    c: str
+    q: float
 
 
 def max_of(c: str) -> Column:
@@ -148,12 +171,12 @@ def min_of(c: str) -> Column:
     return F.min(c)
 
 
-def median(c: str) -> Column:
-    return F.median(c)
+def median(c: str) -> Quantile:
+    return Quantile(c, 0.5)
 
 
-def quantile(c: str, q: float) -> Column:
-    return F.percentile(c, q)
+def quantile(c: str, q: float) -> Quantile:
+    return Quantile(c, q)
 
 
 def variance(c: str) -> Column:
@@ -168,7 +191,31 @@ def cov(a: str, b: str) -> Column:
     return F.covar_samp(a, b)
 
 
-def with_statistics(df: DataFrame, **statistics: Column) -> DataFrame:
-    """``df`` with whole-table statistics on every row, by name: one aggregate, whose one row is joined."""
-    row = df.agg(*(c.alias(name) for name, c in statistics.items()))
-    return df.join(F.broadcast(row))
+def _quantile_row(df: DataFrame, wanted: Quantile, name: str) -> DataFrame:
+    """One row with an exact quantile; null without values.
+
+    Values are counted, the counts are range-partitioned, and ranks are running sums inside a partition after the totals
+    of those before, so no task holds the column. NaN counts as the greatest value.
+    """
+    counts = df.where(F.col(wanted.c).isNotNull()).groupBy(F.col(wanted.c).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    # Another evaluation may cut the ranges elsewhere, so the partitions are kept by value.
+    part = kept(counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("p")))
+    totals = part.groupBy("p").agg(F.sum("n").alias("t"))
+    before = totals.select("p", (F.sum("t").over(Window.orderBy("p")) - F.col("t")).alias("before"), F.sum("t").over(Window.partitionBy(F.lit(1))).alias("all"))
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+    ranked = part.join(before, "p").select("v", "all", (F.col("before") + upto).alias("last"), (F.col("before") + upto - F.col("n")).alias("first"))
+    at = F.lit(wanted.q) * (F.col("all") - 1)
+    holds = lambda k: F.max(F.when((F.col("first") <= k) & (k < F.col("last")), F.col("v")))
+    row = ranked.agg(holds(F.floor(at)).alias("lo"), holds(F.ceil(at)).alias("hi"), F.max(at - F.floor(at)).alias("part"))
+    return row.select((F.col("lo") + F.when(F.col("part") > 0, (F.col("hi") - F.col("lo")) * F.col("part")).otherwise(0.0)).alias(name))
+
+
+def with_statistics(df: DataFrame, **statistics: Column | Quantile) -> DataFrame:
+    """``df`` with whole-table statistics on every row, by name: one aggregate, whose one row is joined, and one row for
+    each quantile."""
+    plain = {n: c for n, c in statistics.items() if not isinstance(c, Quantile)}
+    out = df.join(F.broadcast(df.agg(*(c.alias(n) for n, c in plain.items())))) if plain else df
+    for n, c in statistics.items():
+        if isinstance(c, Quantile):
+            out = out.join(F.broadcast(_quantile_row(df, c, n)))
+    return out.select(*df.columns, *statistics)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import Value, col
+from .base import Value, as_text, col
 
 
 def divide(a: Column, b: Value) -> Column:
@@ -47,7 +47,7 @@ def minus(a: Column) -> Column:
 
 def concat(a: Value, b: Value) -> Column:
     """``a & b``: both as text; null if either is."""
-    return F.concat(col(a).cast("string"), col(b).cast("string"))
+    return F.concat(as_text(a), as_text(b))
 
 
 def equal(a: Column, b: Value) -> Column:

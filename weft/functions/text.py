@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import Value, col
+from .base import Value, as_text, col
 
 #: What trimming takes away.
 SPACE = " \t\n\r\f\v"
@@ -34,7 +34,7 @@ ascii_ = code
 
 def concatenate(*xs: Value) -> Column:
     """As text; null if any part is."""
-    return F.concat(*(col(x).cast("string") for x in xs))
+    return F.concat(*map(as_text, xs))
 
 
 concat = concatenate
@@ -44,18 +44,18 @@ def exact(a: Value, b: Value) -> Column:
     return col(a).cast("string") == col(b).cast("string")
 
 
-def find(needle: str, s: Column, start: int = 1) -> Column:
-    """Place of the first match from ``start`` on, 0 if absent; case counts."""
-    return F.locate(needle, s, start)
+def find(needle: Value, s: Column, start: Value = 1) -> Column:
+    """Place of the first match from ``start`` on, 0 if absent; case counts. Any argument may be an expression."""
+    return F.call_function("locate", col(needle), s, col(start).cast("int"))
 
 
-def search(needle: str, s: Column) -> Column:
-    return F.locate(needle, s)
+def search(needle: Value, s: Column) -> Column:
+    return find(needle, s)
 
 
 def fixed(x: Column, n: int | None = None) -> Column:
-    """Rounded, as text; without n a whole number."""
-    return F.round(x).cast("long").cast("string") if n is None else F.round(x, n).cast("string")
+    """Rounded, as text without exponent; without n a whole number. Without n, a number of 1e38 or more gives null."""
+    return F.round(x).try_cast("decimal(38,0)").cast("string") if n is None else as_text(F.round(x, n))
 
 
 def left(s: Column, n: int = 1) -> Column:

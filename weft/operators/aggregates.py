@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -31,11 +32,17 @@ def grouped(df: DataFrame, keys: list[str], columns: dict[str, Column], having:
     ``columns`` are aggregates or arithmetic of aggregates, by name. ``having`` may use them and the ``hidden``
     aggregates, which do not appear in the result. Without keys there is one group, also of an empty table.
     """
-    for name, c in columns.items():
-        if " OVER " in str(c).upper():
-            raise ValueError(f"{name}: a window call is no aggregate")
     both = {**columns, **(hidden or {})}
-    out = df.groupBy(*keys).agg(*(c.alias(n) for n, c in both.items()))
+    try:
+        out = df.groupBy(*keys).agg(*(c.alias(n) for n, c in both.items()))
+        plan = out._jdf.queryExecution().analyzed()
+    except AnalysisException as e:
+        raise ValueError(f"no aggregate: {e}") from e
+    # Window calls stand above the grouping in the plan, whatever columns and literals are called.
+    while plan.nodeName() != "Aggregate":
+        if plan.nodeName() == "Window":
+            raise ValueError("a window call is no aggregate")
+        plan = plan.children().head()
     if having is not None:
         out = out.where(having({n: F.col(n) for n in both}) if callable(having) and not isinstance(having, Column) else having)
     out = out.select(*keys, *columns)

@@ -8,11 +8,19 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, StringType, TimestampNTZType, TimestampType
 
 
-def typed(value: Any) -> Any:
-    """A value given as text as boolean, whole number, float or text, by its looks."""
-    if not isinstance(value, str):
+#: Types of columns that texts are compared with as they are: Spark reads them as dates and times where needed.
+_AS_GIVEN = (StringType, DateType, TimestampType, TimestampNTZType)
+
+
+def typed(value: Any, kind: DataType | None = None) -> Any:
+    """A value given as text as boolean, whole number, float or text, by its looks; as text for a column of texts or times,
+    where a number is written as text too."""
+    if isinstance(kind, StringType) and isinstance(value, int | float) and not isinstance(value, bool):
+        return str(value)
+    if not isinstance(value, str) or isinstance(kind, _AS_GIVEN):
         return value
     if value.strip().lower() in ("true", "false"):
         return value.strip().lower() == "true"
@@ -36,33 +44,38 @@ class Condition:
     right: Any = None
     joined: str = "AND"
 
-    def column(self) -> Column:
+    def column(self, df: DataFrame) -> Column:
+        """The condition on ``df``, whose type of the left side says how values are read."""
         c = F.col(self.left) if isinstance(self.left, str) else self.left
         op = self.operator.upper()
         if op not in _TESTS:
             raise ValueError(f"unknown operator {self.operator}")
-        return _TESTS[op](c, self.right)
+        kind, right = df.select(c).schema[0].dataType, self.right
+        if op in ("IN", "NOTIN"):
+            right = [typed(x.strip() if isinstance(x, str) else x, kind) for x in (right.split(",") if isinstance(right, str) else right)]
+        elif op == "BETWEEN":
+            right = [_one(x, kind) for x in right]
+        elif op in _COMPARED:
+            right = _one(right, kind)
+        return _TESTS[op](c, right)
 
 
-def _one(v: Any) -> Column:
+def _one(v: Any, kind: DataType) -> Column:
     v = v[0] if isinstance(v, list | tuple) and len(v) == 1 else v
-    return v if isinstance(v, Column) else F.lit(typed(v))
-
-
-def _many(v: Any) -> list:
-    return [typed(x.strip() if isinstance(x, str) else x) for x in (v.split(",") if isinstance(v, str) else v)]
+    return v if isinstance(v, Column) else F.lit(typed(v, kind))
 
 
+_COMPARED = ("EQ", "NEQ", "GT", "GTE", "LT", "LTE")
 _TESTS = {
-    "EQ": lambda c, v: c == _one(v),
-    "NEQ": lambda c, v: c != _one(v),
-    "GT": lambda c, v: c > _one(v),
-    "GTE": lambda c, v: c >= _one(v),
-    "LT": lambda c, v: c < _one(v),
-    "LTE": lambda c, v: c <= _one(v),
-    "IN": lambda c, v: c.isin(_many(v)),
-    "NOTIN": lambda c, v: ~c.isin(_many(v)),
-    "BETWEEN": lambda c, v: c.between(_one(v[0]), _one(v[1])),
+    "EQ": lambda c, v: c == v,
+    "NEQ": lambda c, v: c != v,
+    "GT": lambda c, v: c > v,
+    "GTE": lambda c, v: c >= v,
+    "LT": lambda c, v: c < v,
+    "LTE": lambda c, v: c <= v,
+    "IN": lambda c, v: c.isin(v),
+    "NOTIN": lambda c, v: ~c.isin(v),
+    "BETWEEN": lambda c, v: c.between(*v),
     "CONTAINS": lambda c, v: c.like(f"%{v}%"),
     "NOTCONTAINS": lambda c, v: ~c.like(f"%{v}%"),
     "STARTSWITH": lambda c, v: c.like(f"{v}%"),
@@ -75,16 +88,16 @@ _TESTS = {
 }
 
 
-def predicate(conditions: list[Condition]) -> Column:
+def predicate(df: DataFrame, conditions: list[Condition]) -> Column:
     groups: list[list[Column]] = []
     for k, c in enumerate(conditions):
         if k and c.joined.upper() == "AND":
-            groups[-1].append(c.column())
+            groups[-1].append(c.column(df))
         else:
-            groups.append([c.column()])
+            groups.append([c.column(df)])
     return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, g) for g in groups])
 
 
 def where(df: DataFrame, conditions: list[Condition]) -> DataFrame:
     """Rows for which the conditions hold; a null drops the row. No condition keeps all."""
-    return df.where(predicate(conditions)) if conditions else df
+    return df.where(predicate(df, conditions)) if conditions else df

@@ -20,7 +20,8 @@ class WindowColumn:
     """A window function by name with its partition, order and rows frame.
 
     ``c``: a column name or an expression. Frames: without bounds the whole partition; with one bound the other is
-    unbounded; ranks, LAG and LEAD take none. A window without partition keys puts all rows into one task.
+    unbounded; ranks, LAG and LEAD take none. A window without partition keys would put all rows into one task: it is an
+    error unless ``whole_table`` says that the table is small.
     """
 
     name: str
@@ -31,9 +32,12 @@ class WindowColumn:
     offset: int = 1
     preceding: int | str | None = None
     following: int | str | None = None
+    whole_table: bool = False
 
     def column(self, df: DataFrame) -> Column:
         kind = self.function.upper()
+        if not self.partition and not self.whole_table:
+            raise ValueError(f"{self.name}: a window needs partition keys, or whole_table for a small table")
         w = Window.partitionBy(*self.partition)
         if self.order:
             w = w.orderBy(*order_keys(list(self.order)))

@@ -46,6 +46,8 @@ LOGIC = {
     "f_isnan": (lambda d: logic.isnan(C("l_tax")), "isnan(l_tax)"),
     "f_isinf": (lambda d: logic.isinf(C("l_tax")), "isinf(l_tax)"),
     "f_try_cast": (lambda d: logic.try_cast(C("l_returnflag"), "INTEGER"), "TRY_CAST(l_returnflag AS INTEGER)"),
+    "f_try_cast_texts": (lambda d: logic.try_cast(F.concat(F.when(C("l_linenumber") > 2, "").otherwise(C("l_returnflag")), C("l_partkey").cast("string")), "BIGINT"), "TRY_CAST(CASE WHEN l_linenumber > 2 THEN '' ELSE l_returnflag END || l_partkey AS BIGINT)"),
+    "f_try_cast_real": (lambda d: logic.try_cast(F.concat(F.when(C("l_linenumber") > 2, "-").otherwise("x"), C("l_quantity").cast("string")), "DOUBLE"), "TRY_CAST(CASE WHEN l_linenumber > 2 THEN '-' ELSE 'x' END || l_quantity AS DOUBLE)"),
     "f_coalesce": (lambda d: logic.coalesce(F.nullif("l_linestatus", F.lit("O")), C("l_returnflag")), "coalesce(nullif(l_linestatus, 'O'), l_returnflag)"),
 }
 OPERATORS = {
@@ -103,8 +105,14 @@ MATHS = {
     "m_power": (lambda d: maths.power(C("c_nationkey"), 3), "pow(c_nationkey, 3)::DOUBLE"),
     "m_product": (lambda d: maths.product(C("c_custkey"), C("c_nationkey"), 2), "c_custkey * c_nationkey * 2"),
     "m_quotient": (lambda d: maths.quotient(C("c_custkey"), C("c_nationkey")), "CAST(floor(c_custkey / nullif(c_nationkey, 0)) AS BIGINT)"),
+    "m_quotient_large": (lambda d: maths.quotient(C("c_custkey") + 9007199254740993, 2), "(c_custkey + 9007199254740993) // 2"),
+    "m_quotient_below": (lambda d: maths.quotient(C("c_custkey") - 50, -7), "CAST(floor((c_custkey - 50) / -7.0) AS BIGINT)"),
+    "m_quotient_real": (lambda d: maths.quotient(C("c_acctbal"), 3.5), "CAST(floor(c_acctbal / 3.5) AS BIGINT)"),
+    "m_bitlshift_large": (lambda d: maths.bitlshift(C("c_custkey") + 9007199254740993, 2), "(c_custkey + 9007199254740993) * 4"),
+    "m_bitrshift_large": (lambda d: maths.bitrshift(C("c_custkey") + 9007199254740993, 1), "(c_custkey + 9007199254740993) // 2"),
     "m_radians": (lambda d: R(maths.radians(C("c_custkey"))), "round(radians(c_custkey), 6)"),
     "m_round": (lambda d: maths.round_(C("c_custkey") / 8, 2), "round(c_custkey / 8, 2)"),
+    "m_round_by": (lambda d: maths.round_(C("c_acctbal"), C("c_custkey") % 3), "CASE c_custkey % 3 WHEN 0 THEN round(c_acctbal) WHEN 1 THEN round(c_acctbal, 1) ELSE round(c_acctbal, 2) END"),
     "m_rounddown": (lambda d: maths.rounddown(C("c_acctbal"), 1), "floor(c_acctbal * 10.0::DOUBLE) / 10.0::DOUBLE"),
     "m_roundup": (lambda d: maths.roundup(C("c_acctbal"), 1), "ceil(c_acctbal * 10.0::DOUBLE) / 10.0::DOUBLE"),
     "m_trunc": (lambda d: maths.trunc(C("c_acctbal"), 1), "CASE WHEN c_acctbal < 0 THEN ceil(c_acctbal * 10.0::DOUBLE) ELSE floor(c_acctbal * 10.0::DOUBLE) END / 10.0::DOUBLE"),
@@ -132,8 +140,12 @@ TEXT = {
     "t_concat": (lambda d: text.concat(C("p_brand"), C("p_size")), "p_brand || p_size"),
     "t_exact": (lambda d: text.exact(C("p_brand"), "Brand#11"), "p_brand = 'Brand#11'"),
     "t_find": (lambda d: text.find("a", C("p_name")), "CAST(strpos(p_name, 'a') AS INTEGER)"),
+    "t_find_columns": (lambda d: text.find(F.left("p_type", F.lit(1)), C("p_brand"), C("p_size") % 3 + 1), "CAST(CASE WHEN strpos(substr(p_brand, p_size % 3 + 1), left(p_type, 1)) = 0 THEN 0 ELSE strpos(substr(p_brand, p_size % 3 + 1), left(p_type, 1)) + p_size % 3 END AS INTEGER)"),
     "t_search": (lambda d: text.search("e", C("p_type")), "CAST(strpos(p_type, 'e') AS INTEGER)"),
     "t_fixed": (lambda d: text.fixed(C("p_size")), "CAST(p_size AS VARCHAR)"),
+    "t_fixed_large": (lambda d: text.fixed(C("p_partkey") * 1.0 + 12345678.5, 2), "CAST(p_partkey + 12345678.5::DOUBLE AS VARCHAR)"),
+    "t_fixed_whole": (lambda d: text.fixed(F.lit(1e20)), "'100000000000000000000'"),
+    "t_concat_doubles": (lambda d: text.concatenate(C("p_retailprice") * 100000, "/", C("p_size") / 4), "CAST(p_retailprice * 100000 AS VARCHAR) || '/' || CAST(p_size / 4 AS VARCHAR)"),
     "t_left": (lambda d: text.left(C("p_name"), 3), "left(p_name, 3)"),
     "t_right": (lambda d: text.right(C("p_name"), 3), "right(p_name, 3)"),
     "t_mid": (lambda d: text.mid(C("p_name"), 2, 4), "substr(p_name, 2, 4)"),
@@ -204,6 +216,7 @@ DATES = {
     "d_microsecond": (lambda d: dates.microsecond(C(O)), "CAST(microsecond(o_orderdate) % 1000000 AS BIGINT)"),
     "d_trunc_week": (lambda d: dates.date_trunc(C(O), "week"), "CAST(date_trunc('week', o_orderdate) AS TIMESTAMP)"),
     "d_trunc_month": (lambda d: dates.date_trunc(C(O), "M"), "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)"),
+    "d_trunc_codes": (lambda d: F.concat_ws(" ", *(dates.date_trunc(C(O), u).cast("string") for u in ("Y", "Q", "w", "D", "h", "minutes", "S"))), "concat_ws(' ', " + ", ".join(f"strftime(date_trunc('{u}', o_orderdate), '%Y-%m-%d %H:%M:%S')" for u in ("year", "quarter", "week", "day", "hour", "minute", "second")) + ")"),
     "d_past": (lambda d: (dates.now() > C(O)) & (dates.today() > C(O).cast("date")), "true"),
 }
 BASE = {
@@ -244,14 +257,14 @@ def table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     r = lambda c: F.round(c, 4)
     return maths.with_statistics(
-        d, s_max=maths.max_of("p_retailprice"), s_min=maths.min_of("p_retailprice"), s_median=r(maths.median("p_size")), s_quantile=r(maths.quantile("p_size", 0.9)),
+        d, s_max=maths.max_of("p_retailprice"), s_min=maths.min_of("p_retailprice"), s_median=maths.median("p_size"), s_quantile=maths.quantile("p_size", 0.9), s_price_median=maths.median("p_retailprice"),
         s_variance=r(maths.variance("p_size")), s_stddev=r(maths.stddev("p_size")), s_cov=r(maths.cov("p_size", "p_partkey")),
     )
 
 
 STATISTICS_SQL = """
 SELECT p_partkey, p_size, p_retailprice, s.* FROM part, (SELECT max(p_retailprice) AS s_max, min(p_retailprice) AS s_min,
-  round(median(p_size), 4) AS s_median, round(quantile_cont(p_size, 0.9), 4) AS s_quantile, round(var_samp(p_size), 4) AS s_variance,
+  CAST(median(p_size) AS DOUBLE) AS s_median, CAST(quantile_cont(p_size, 0.9) AS DOUBLE) AS s_quantile, CAST(median(p_retailprice) AS DOUBLE) AS s_price_median, round(var_samp(p_size), 4) AS s_variance,
   round(stddev_samp(p_size), 4) AS s_stddev, round(covar_samp(p_size, p_partkey), 4) AS s_cov FROM part) s
 """
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -310,9 +313,131 @@ def upkeep_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.advance(_read(spark, sf_dir, "orders"), "o_orderdate", CUT, "timestamp")
 
 
-@_add("SELECT * FROM (VALUES ('o_orderkey', 'sequence'), ('o_custkey', 'sequence'), ('o_orderdate', 'timestamp')) t(\"column\", kind)")
+@_add("""SELECT 'o_orderkey' AS "column", 'sequence' AS kind, 0.9::DOUBLE AS score, CAST(min(o_orderkey) AS VARCHAR) AS least, CAST(max(o_orderkey) AS VARCHAR) AS greatest, count(*) - count(o_orderkey) AS nulls, count(*) AS rows FROM orders
+UNION ALL SELECT 'o_custkey', 'sequence', 0.9::DOUBLE, CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR), count(*) - count(o_custkey), count(*) FROM orders
+UNION ALL SELECT 'o_orderdate', 'timestamp', 0.9::DOUBLE, strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S'), strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S'), count(*) - count(o_orderdate), count(*) FROM orders""")
 def upkeep_key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upkeep.key_candidates(_read(spark, sf_dir, "orders")).select("column", "kind")
+    return upkeep.key_candidates(_read(spark, sf_dir, "orders")).drop("distinct_about")
+
+
+@_add("""SELECT "column", abs(about - n) <= 0.2 * n AS near FROM (SELECT 'o_orderkey' AS "column", count(DISTINCT o_orderkey) AS n, count(DISTINCT o_orderkey) AS about FROM orders
+UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'o_orderdate', count(DISTINCT o_orderdate), count(DISTINCT o_orderdate) FROM orders)""")
+def upkeep_key_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    names = ["o_orderkey", "o_custkey", "o_orderdate"]
+    n = o.agg(*(F.count_distinct(c).alias(c) for c in names)).unpivot([], names, "column", "n")
+    return upkeep.key_candidates(o).join(n, "column").select("column", (F.abs(C("distinct_about") - C("n")) <= 0.2 * C("n")).alias("near"))
+
+
+@_add("SELECT c_custkey, c_name, 'view' AS how FROM customer WHERE c_nationkey < 5 UNION ALL SELECT c_custkey, c_name, 'plan' FROM customer WHERE c_nationkey >= 20")
+def upkeep_view_and_ephemeral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, table = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), scratch_table(spark)
+    shown = upkeep.run(c.where("c_nationkey < 5"), table, upkeep.Load("VIEW"), "weft_customers_of_some_nations")
+    inline = upkeep.run(c.where("c_nationkey >= 20"), table, upkeep.Load("EPHEMERAL"))
+    return shown.select("c_custkey", "c_name", F.lit("view").alias("how")).unionByName(inline.select("c_custkey", "c_name", F.lit("plan").alias("how")))
+
+
+@_add("SELECT s_suppkey, s_name, CAST(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END AS INTEGER) AS grade FROM supplier")
+def upkeep_add_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, table = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), scratch_table(spark)
+    upkeep.full(table, s, ["s_suppkey"])
+    upkeep.add_column(table, "grade", "int")
+    graded = s.where("s_suppkey % 2 = 0").withColumn("grade", C("s_suppkey").cast("int"))
+    return upkeep.run(graded, table, upkeep.Load("INCREMENTAL", ("s_suppkey",)))
+
+
+@_add("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def upkeep_dump_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = scratch(spark)
+    upkeep.dump(dict(zip(("nation", "region"), _read(spark, sf_dir, "nation", "region"), strict=True)), place)
+    back = upkeep.restore(spark, ["nation", "region"], place)
+    return back["nation"].join(back["region"], C("n_regionkey") == C("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+@_add("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def upkeep_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, table = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), scratch_table(spark)
+    load = upkeep.Load("INCREMENTAL", ("o_orderkey",))
+    upkeep.run(o, table, load)
+    return upkeep.run(o.where("o_orderstatus = 'F'"), table, load, materialization="TABLE").select("o_orderkey", "o_totalprice")
+
+
+@_add("SELECT event_id, CAST(ts AS DATE) AS day FROM events")
+def upkeep_date_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, table = _read(spark, sf_dir, "events").select("event_id", C("ts").cast("date").alias("day")), scratch_table(spark)
+    load = upkeep.Load("INCREMENTAL", (), "date", {"column": "day"})
+    middle = e.agg(F.date_add(F.min("day"), F.floor(F.datediff(F.max("day"), F.min("day")) / 2).cast("int")).alias("m"))
+    upkeep.run(e.join(F.broadcast(middle), C("day") <= C("m")).drop("m"), table, load)
+    return upkeep.run(e, table, load)
+
+
+@_add("SELECT event_id, user_id FROM events")
+def upkeep_sequence_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, table = _read(spark, sf_dir, "events").select("event_id", "user_id"), scratch_table(spark)
+    load = upkeep.Load("INCREMENTAL", ("event_id",), "sequence", {"column": "event_id"})
+    half = e.agg((F.max("event_id") / 2).alias("h"))
+    upkeep.run(e.join(F.broadcast(half), C("event_id") <= C("h")).drop("h"), table, load)
+    return upkeep.run(e, table, load)
+
+
+@_add("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def upkeep_custom_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, table = _read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), scratch_table(spark)
+    own = {"function": lambda source, destination, options: source.where(C("c_custkey") % options["every"] == 0), "every": 3}
+    load = upkeep.Load("INCREMENTAL", ("c_custkey",), "custom", own)
+    upkeep.run(c, table, load)
+    return upkeep.run(c.withColumn("c_acctbal", C("c_acctbal") + 1), table, load)
+
+
+@_add("SELECT c_custkey, c_name FROM customer")
+def upkeep_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def fails(*_) -> DataFrame:  # noqa: ANN002
+        raise RuntimeError("the delta can't be had")
+
+    c, table = _read(spark, sf_dir, "customer").select("c_custkey", "c_name"), scratch_table(spark)
+    upkeep.full(table, c.where("c_custkey % 2 = 0"), ["c_custkey"])
+    return upkeep.run_or_reload(c, table, upkeep.Load("INCREMENTAL", ("c_custkey",), "custom", {"function": fails}))
+
+
+@_add("SELECT CAST(NULL AS VARCHAR) AS old_value, CAST(max(event_id) FILTER (event_id % 2 = 0 OR event_id < 100) AS VARCHAR) AS new_value, count(*) FILTER (event_id % 2 = 0 OR event_id < 100) AS rows FROM events UNION ALL SELECT a, CAST(b AS VARCHAR), n FROM (SELECT CAST((SELECT max(event_id) FROM events WHERE event_id % 2 = 0 OR event_id < 100) AS VARCHAR) AS a, max(event_id) AS b, count(*) FILTER (event_id > (SELECT max(event_id) FROM events WHERE event_id % 2 = 0 OR event_id < 100)) AS n FROM events)")
+def upkeep_kept_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, table = _read(spark, sf_dir, "events"), scratch_table(spark)
+    upkeep.advance_kept(e.where("event_id % 2 = 0 OR event_id < 100"), "event_id", "long", table)
+    upkeep.advance_kept(e, "event_id", "long", table)
+    return table.read().select("old_value", "new_value", "rows")
+
+
+@_add("SELECT true AS above_old, false AS above_last, true AS first FROM (SELECT count(*) FROM orders)")
+def upkeep_has_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    last = o.agg(F.max("o_orderdate")).first()[0]
+    found = (upkeep.has_new(o, "o_orderdate", CUT), upkeep.has_new(o, "o_orderdate", last), upkeep.has_new(o, "o_orderdate", None))
+    return spark.createDataFrame([found], "above_old boolean, above_last boolean, first boolean")
+
+
+@_add("SELECT r_regionkey, r_name, n FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) ON r_regionkey = n_regionkey")
+def source_seeds_and_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place, schema = scratch(spark), f"weft_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{place}/{schema}'")
+    r, n = _read(spark, sf_dir, "region", "nation")
+    for name, df in (("my region-1.csv", r), ("nations.csv", n)):
+        upkeep.export_csv(df, f"{place}/{name}")
+    for _ in range(2):  # loading again replaces
+        sources.load_seeds(spark, [f"{place}/my region-1.csv", f"{place}/nations.csv"], schema)
+    found = sources.scan(spark, "nations", schema).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    return sources.scan(spark, "my_region_1", schema).join(found, C("r_regionkey") == C("n_regionkey")).select(C("r_regionkey").cast("int").alias("r_regionkey"), "r_name", "n")
+
+
+@_add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 50")
+def source_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.preview(_read(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"], [("o_totalprice", "desc"), ("o_orderkey", "asc")], 50, 2)
+
+
+@_add("SELECT CAST(5 AS BIGINT) AS n, true AS known FROM (SELECT count(*) FROM orders)")
+def source_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    some = sources.sample(o, 5).join(o.select("o_orderkey").distinct(), "o_orderkey", "left_semi")
+    return some.agg(F.count(F.lit(1)).alias("n")).select("n", (C("n") == 5).alias("known"))
 
 
 @_add("SELECT event_id, user_id, value FROM events")
@@ -365,6 +490,51 @@ def models_customer_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.run(_models(), given, ["customer_value"])["customer_value"].select("c_custkey", "c_name", "orders", "total", "lines")
 
 
+@_add("SELECT o_custkey, count(*) AS n FROM orders LEFT JOIN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10 GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1")
+def models_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``facts`` and what is made from it are built anew; ``lines`` is loaded from its table."""
+    m, (li, o), tables = models.Model, _read(spark, sf_dir, "lineitem", "orders"), {}
+    graph = {x.name: x for x in [
+        m("lines", ("lineitem",), lambda d: d.where("l_quantity > 10").select("l_orderkey").distinct()), m("facts", ("orders", "lines"), lambda d, s: d.join(s, C("o_orderkey") == C("l_orderkey"), "left")),
+        m("by_customer", ("facts",), lambda d: d.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))),
+    ]}
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        return upkeep.full(tables.setdefault(name, scratch_table(spark)), df)
+
+    models.run(graph, {"lineitem": li, "orders": o.limit(0)}, keep=keep)
+    return models.run(graph, {"lineitem": li.limit(0), "orders": o}, ["facts"], keep, lambda n: tables[n].read())["by_customer"]
+
+
+@_add("""SELECT * FROM (VALUES ('lineitem', 'order_lines', 'source', 'source', (SELECT count(*) FROM lineitem)), ('orders', 'order_facts', 'source', 'source', (SELECT count(*) FROM orders)), ('order_lines', 'order_facts', 'join', 'model', NULL),
+  ('customer', 'customer_value', 'source', 'source', (SELECT count(*) FROM customer)), ('order_facts', 'customer_value', 'join', 'model', NULL)) t("from", "to", kind, from_is, rows)""")
+def models_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineage with the rows of each source."""
+    counts = reduce(DataFrame.unionByName, [sources.row_count(_read(spark, sf_dir, t)).withColumn("from", F.lit(t)) for t in ("lineitem", "orders", "customer")])
+    return models.lineage(spark, _models()).join(counts, "from", "left").select("from", "to", "kind", "from_is", "rows")
+
+
+@_add("SELECT 'order_lines' AS model, true AS has_grouping, count(*) > 0 AS filled FROM lineitem")
+def models_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = models.run(_models(), {"lineitem": _read(spark, sf_dir, "lineitem")}, ["order_lines"])
+    plans = models.compiled(spark, built, scratch_table(spark))
+    filled = built["order_lines"].agg((F.count(F.lit(1)) > 0).alias("filled"))
+    return plans.join(F.broadcast(filled)).select("model", C("plan").contains("Aggregate").alias("has_grouping"), "filled")
+
+
+@_add("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS INTEGER) AS latest FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey")
+def window_implicit_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windowing.WindowColumn("latest", "ROW_NUMBER", ("o_custkey",), (("o_orderdate", "desc"), ("o_orderkey", "asc")))
+    return windowing.with_windows(_read(spark, sf_dir, "orders"), [w], ordered=True).select("o_custkey", "o_orderkey", "latest")
+
+
+@_add("SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#11', '12') OR p_type = '7' OR (p_size IN (3, 5) AND p_name <> '12')")
+def filter_texts_like_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = filters.Condition
+    d = filters.where(_read(spark, sf_dir, "part"), [q("p_brand", "IN", "Brand#11, 12"), q("p_type", "EQ", "7", "OR"), q("p_size", "IN", "3,5", "OR"), q("p_name", "NEQ", "12")])
+    return d.select("p_partkey", "p_brand")
+
+
 @_add("""SELECT 'price' AS "check", count(*) FILTER (NOT coalesce(o_totalprice > 1000, false)) AS failed FROM orders UNION ALL SELECT 'status', count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) FROM orders
   UNION ALL SELECT 'unique', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)""")
 def models_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

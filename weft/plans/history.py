@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .upkeep import checked_keys
+
 ADDED = ("scd_id", "scd_updated_at", "scd_valid_from", "scd_valid_to")
 
 
@@ -43,8 +45,9 @@ def version_id(h: History, time: Column) -> Column:
 
 
 def first(source: DataFrame, h: History, now: Any) -> DataFrame:
-    """The first snapshot: every row is an open version."""
+    """The first snapshot: every row is an open version. A repeated key is an error; null keys may repeat."""
     h.checked(source)
+    checked_keys(source, list(h.keys))
     t = _time(h, now)
     return source.withColumns({"scd_id": version_id(h, t), "scd_updated_at": t, "scd_valid_from": t, "scd_valid_to": F.lit(None).cast("timestamp")})
 
@@ -54,9 +57,8 @@ def advanced(snapshot: DataFrame, source: DataFrame, h: History, now: Any) -> Da
 
     New keys and changed rows come as open versions; the version before a change is closed at the new one's time. Closed
     versions stay as they are. Source columns that are new are null in older versions; columns that the source has lost
-    are null in newer ones. Null keys are new each time.
+    are null in newer ones. Null keys are new each time. A key that the source repeats is an error.
     """
-    h.checked(source)
     new = first(source, h, now)
     open_, closed = snapshot.where("scd_valid_to IS NULL"), snapshot.where("scd_valid_to IS NOT NULL")
     was = open_.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(h.keys)), F.col("scd_valid_from").alias("_from"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(h.check) if c in snapshot.columns), F.lit(True).alias("_known"))

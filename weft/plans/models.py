@@ -9,6 +9,8 @@ from graphlib import TopologicalSorter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .upkeep import Table, append
+
 
 @dataclass(frozen=True)
 class Model:
@@ -63,11 +65,19 @@ def selected(models: dict[str, Model], include: list[str] = (), exclude: list[st
     return [n for n in order(models) if n in chosen]
 
 
-def run(models: dict[str, Model], sources: dict[str, DataFrame], names: list[str] | None = None, keep: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Build models in order; ``keep`` may write each one and give it back. Inputs that are not run are still built."""
+def run(models: dict[str, Model], sources: dict[str, DataFrame], names: list[str] | None = None, keep: Callable[[str, DataFrame], DataFrame] | None = None, load: Callable[[str], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Build models in order; ``keep`` may write each one and give it back.
+
+    names: only these, with what they are made from, are built. With ``load``, which reads a model that was kept before,
+    these and all that is made from them are built, and what they are made from is loaded.
+    """
     done = dict(sources)
-    wanted = order(models) if names is None else [n for n in order(models) if n in above(models, set(names))]
-    for n in wanted:
+    if names is not None and load is not None:
+        chosen = below(models, set(names))
+        done |= {i: load(i) for i in sorted({i for n in chosen for i in models[n].inputs if i in models} - chosen)}
+    else:
+        chosen = set(models) if names is None else above(models, set(names))
+    for n in (wanted := [n for n in order(models) if n in chosen]):
         df = models[n].build(*(done[i] for i in models[n].inputs))
         done[n] = keep(n, df) if keep else df
     return {n: done[n] for n in wanted}
@@ -98,6 +108,10 @@ def broken_columns(before: DataFrame, after: DataFrame, needed: dict[str, list[s
     return before.sparkSession.createDataFrame(rows, "model string, column string, why string")
 
 
-def compiled(df: DataFrame) -> str:
-    """The plan of a model as text."""
-    return df._jdf.queryExecution().optimizedPlan().toString()
+def compiled(spark: SparkSession, built: dict[str, DataFrame], table: Table) -> DataFrame:
+    """(model, plan, at): the logical plan of each model as text, after analysis, added to a table; returns the new rows."""
+    rows = [(n, df._jdf.queryExecution().analyzed().toString()) for n, df in built.items()]
+    new = spark.createDataFrame(rows, "model string, plan string").withColumn("at", F.current_timestamp())
+    append(table, new)
+    last = table.read()
+    return last.join(last.groupBy("model").agg(F.max("at").alias("at")), ["model", "at"]).select("model", "plan", "at")

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from weft.shared import shared_dir
+
 from .upkeep import Table
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder of ``spark.checkpoint.dir``, or a temporary one where that is not set."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
-        place = spark.sparkContext.getCheckpointDir()
-    return f"{place.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    """A new folder in the shared folder."""
+    return f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def scratch_table(spark: SparkSession) -> Table:

@@ -2,64 +2,169 @@
 
 A table is a folder with data folders and a pointer that names those of the current version. New data is written next to
 the old, then the pointer moves on, so a failed job leaves the table as it was and no job overwrites what it reads. An
-append writes the new rows alone.
+append writes the new rows alone. A keyed table is cut into BUCKETS by a hash of its keys, and a merge writes the buckets
+again that the delta touches, not the others. Two writers can't take the same version: the later one gets an error.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.operators.shaping import visible
 
+#: Parts that a keyed table is cut into, and the column that names a row's.
+BUCKETS, BUCKET = 64, "_bucket"
+
+
+Part = tuple[str, list[int], str]
+
+
+class Conflict(RuntimeError):
+    """Another writer has taken the version."""
+
 
 class Table:
-    """A versioned Parquet table at a path that Spark can reach."""
+    """A versioned Parquet table at a path that Spark can reach.
+
+    A version lists (folder, buckets, schema); a folder without buckets counts whole. Keyed versions hold the column BUCKET
+    as a partition of their folders, which readers do not see.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _version(self) -> tuple[int, list[str]]:
-        """The number of the current version, 0 for none, and its data folders."""
-        try:
-            rows = self.spark.read.text(f"{self.path}/current").orderBy(F.desc("value")).limit(1).collect()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0, []
-            raise
-        number, *folders = rows[0][0].split(" ") if rows else ("0",)
-        return int(number), folders
+    def _files(self):  # noqa: ANN202
+        """Hadoop's file system of the table, which Spark itself writes through."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+    def _versions(self) -> list[int]:
+        files, path = self._files()
+        place = path(f"{self.path}/current")
+        return sorted(int(x.getPath().getName()) for x in files.listStatus(place) if x.getPath().getName().isdigit()) if files.exists(place) else []
+
+    def _version(self, number: int | None = None) -> tuple[int, list[Part], list[str]]:
+        """The number of a version (the current one; 0 for none), its folders with their buckets, and its keys."""
+        numbers = self._versions()
+        if not numbers:
+            return 0, [], []
+        number = number or numbers[-1]
+        lines = [r[0] for r in self.spark.read.text(f"{self.path}/current/{number:08d}").collect()]
+        parts = [(f, [int(x) for x in bs.split(",") if x], schema) for f, bs, schema in (x.split(" ", 2) for x in lines if x.startswith("v-"))]
+        return number, parts, next((x.split(" ", 1)[1].split(" ") for x in lines if x.startswith("keys ")), [])
 
     def exists(self) -> bool:
-        return self._version()[0] > 0
+        return bool(self._versions())
 
     def read(self) -> DataFrame:
-        folders = self._version()[1]
-        if not folders:
+        number, parts, _ = self._version()
+        if not number:
             raise ValueError(f"no table at {self.path}")
-        return self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders))
+        return self._read(parts)
+
+    def _read(self, parts: list[Part]) -> DataFrame:
+        frames = []
+        for folder, buckets, schema in parts:
+            fields = T.StructType.fromJson(json.loads(schema))
+            df = self.spark.read.schema(fields.add(BUCKET, T.IntegerType()) if buckets else fields).parquet(f"{self.path}/{folder}")
+            frames.append(df.where(F.col(BUCKET).isin(buckets)).drop(BUCKET) if buckets else df)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+    def _written(self, df: DataFrame, keys: list[str], buckets: Iterable[int] = range(BUCKETS)) -> Part:
+        folder = f"v-{uuid.uuid4().hex[:12]}"
+        if keys:
+            df.withColumn(BUCKET, bucket_of(keys)).repartition(BUCKETS, BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        else:
+            df.write.parquet(f"{self.path}/{folder}")
+        return folder, sorted(buckets) if keys else [], df.schema.json()
+
+    def _commit(self, number: int, parts: list[Part], keys: list[str]) -> None:
+        """Make a version the current one. Its file is written aside and renamed, which fails if the number is taken."""
+        lines = [f"keys {' '.join(keys)}"] if keys else []
+        lines += [f"{f} {','.join(map(str, bs))} {schema}" for f, bs, schema in parts]
+        aside = f"{self.path}/current/.{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(aside)
+        files, path = self._files()
+        to = path(f"{self.path}/current/{number:08d}")
+        # A rename onto a folder would move into it, so that is looked at first and afterwards.
+        if files.exists(to) or not files.rename(path(aside), to) or files.exists(path(f"{to.toString()}/{aside.rsplit('/', 1)[1]}")):
+            files.delete(path(aside), True)
+            files.delete(path(f"{to.toString()}/{aside.rsplit('/', 1)[1]}"), True)
+            raise Conflict(f"version {number} of {self.path} is taken")
+
+    def write(self, df: DataFrame, keep: bool = False, keys: list[str] | None = None) -> None:
+        """A new version of the rows of ``df``, next to those of the current version if ``keep``; cut by ``keys`` if given."""
+        number, parts, old = self._version()
+        keys = old if keep else (keys or [])
+        own = self._written(df, keys)
+        self._commit(number + 1, [*(parts if keep else []), own], keys)
+
+    def merge(self, delta: DataFrame, keys: list[str]) -> None:
+        """A new version with the rows of ``delta`` in place of those of equal keys. Only touched buckets are written.
+
+        Null keys are equal to one another. A table that is not cut by these keys yet is written anew once. The delta is
+        kept first, as it is read for its buckets and for its rows; at most BUCKETS numbers reach the driver.
+        """
+        number, parts, cut = self._version()
+        now = self._read(parts)
+        if cut != keys:
+            return self._commit(number + 1, [self._written(merged(now, delta, keys), keys)], keys)
+        coming = f"v-{uuid.uuid4().hex[:12]}"
+        delta.select(*now.columns).write.parquet(f"{self.path}/{coming}")
+        delta = self.spark.read.schema(now.schema).parquet(f"{self.path}/{coming}")
+        touched = {r[0] for r in delta.select(bucket_of(keys)).distinct().collect()}
+        if touched:
+            whole = [p for p in parts if not p[1]]
+            old = [(f, [b for b in bs if b in touched], schema) for f, bs, schema in parts if set(bs) & touched]
+            target = self._read(old + whole).select(*now.columns) if old else now.limit(0)
+            own = self._written(merged(target, delta, keys), keys, touched)
+            rest = [(f, left, schema) for f, bs, schema in parts if (left := [b for b in bs if b not in touched])]
+            self._commit(number + 1, [*rest, *whole, own], keys)
+        self._delete([coming])
+        return None
+
+    def _delete(self, folders: list[str]) -> None:
+        files, path = self._files()
+        for f in folders:
+            files.delete(path(f"{self.path}/{f}"), True)
+
+    def vacuum(self, versions: int = 1) -> int:
+        """Delete folders and buckets that none of the last ``versions`` versions has, and older versions; how many.
+
+        Not while others read older versions or write.
+        """
+        numbers, kept = self._versions(), {}
+        for n in numbers[-versions:]:
+            for folder, buckets, _ in self._version(n)[1]:
+                kept.setdefault(folder, set()).update(buckets)
+        files, path = self._files()
+        names = lambda place: [x.getPath().getName() for x in files.listStatus(path(place))]
+        gone = [f for f in names(self.path) if f.startswith("v-") and f not in kept]
+        for folder, buckets in kept.items():
+            gone += [f"{folder}/{x}" for x in names(f"{self.path}/{folder}") if buckets and x.startswith(f"{BUCKET}=") and int(x.split("=")[1]) not in buckets]
+        self._delete(gone + [f"current/{n:08d}" for n in numbers[:-versions]])
+        return len(gone)
 
-    def write(self, df: DataFrame, keep: bool = False) -> None:
-        """A new version of the rows of ``df``, next to those of the current version if ``keep``.
 
-        The pointer is one line in a file of its own, added when the data is complete; the greatest number counts.
-        """
-        number, folders = self._version()
-        folder = f"v{number + 1:08d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{folder}")
-        line = " ".join([f"{number + 1:08d}", *(folders if keep else []), folder])
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/current")
+def bucket_of(keys: list[str]) -> Column:
+    """The bucket of a row, by its keys as text, so that types of equal values don't matter."""
+    return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(BUCKETS)).cast("int")
 
 
-def full(table: Table, df: DataFrame) -> DataFrame:
+def full(table: Table, df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """TABLE: a new version of all rows."""
-    table.write(df)
+    table.write(df, keys=keys)
     return table.read()
 
 
@@ -75,7 +180,8 @@ def ephemeral(df: DataFrame) -> DataFrame:
 
 
 def checked_keys(df: DataFrame, keys: list[str], latest_by: str | None = None) -> DataFrame:
-    """``df`` with one row for each key: repeated keys are an error, or the latest by a column stays. Null keys stay."""
+    """``df`` with one row for each key: repeated keys are an error, or the latest by a column stays. Rows with a null key
+    stay all."""
     has = ~F.greatest(*(F.col(k).isNull() for k in keys), F.lit(False))
     if latest_by:
         rest = [c for c in df.columns if c not in keys]
@@ -86,9 +192,14 @@ def checked_keys(df: DataFrame, keys: list[str], latest_by: str | None = None) -
     return df
 
 
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
 def merged(target: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """Target rows without a match, and all rows of the delta. Null keys match nothing."""
-    return target.join(delta.select(*keys), keys, "left_anti").unionByName(delta.select(*target.columns))
+    """Target rows without a match, and all rows of the delta. Null keys are equal to one another."""
+    new = delta.select(*target.columns)
+    return target.join(delta.select(*keys), _same(target, delta, keys), "left_anti").unionByName(new)
 
 
 def drifted(table: Table, df: DataFrame) -> bool:
@@ -97,7 +208,13 @@ def drifted(table: Table, df: DataFrame) -> bool:
 
 
 def add_column(table: Table, name: str, kind: str) -> DataFrame:
-    return full(table, table.read().withColumn(name, F.lit(None).cast(kind)))
+    """A new column, null in all rows there are: a version with one more folder, which has no rows but the column."""
+    number, parts, keys = table._version()
+    now = table.read()
+    if name in now.columns:
+        raise ValueError(f"the table has a column {name}")
+    table._commit(number + 1, [*parts, table._written(now.limit(0).withColumn(name, F.lit(None).cast(kind)), [])], keys)
+    return table.read()
 
 
 def append(table: Table, df: DataFrame) -> DataFrame:
@@ -141,12 +258,12 @@ def above_mark(source: DataFrame, destination: DataFrame, options: dict[str, Any
 
 
 def changed_rows(source: DataFrame, destination: DataFrame, options: dict[str, Any]) -> DataFrame:
-    """Rows whose key is new or whose other columns differ, by a checksum."""
+    """Rows whose key is new or whose other columns differ, by a checksum. Null keys are equal to one another."""
     keys = options["key_columns"]
     rest = [c for c in source.columns if c not in keys]
-    check = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in rest))
-    known = destination.select(*keys, check.alias("_was"))
-    return source.join(known, keys, "left").where(F.col("_was").isNull() | (F.col("_was") != check)).select(*source.columns)
+    check = F.xxhash64(*(x for c in rest for x in (F.col(c).isNull(), F.col(c).cast("string"))), F.lit(0))
+    known = destination.select(*keys, check.alias("_was")).distinct()
+    return source.join(known, _same(source, known, keys) & (known["_was"] == check), "left_anti")
 
 
 def full_scan(source: DataFrame, destination: DataFrame, options: dict[str, Any]) -> DataFrame:
@@ -184,34 +301,41 @@ class Load:
         return self
 
 
-def run(df: DataFrame, table: Table, load: Load, name: str = "model") -> DataFrame:
+def run(df: DataFrame, table: Table, load: Load, name: str = "model", **override: Any) -> DataFrame:
     """Bring a table up to date with a model's rows.
 
     Incremental: the first run and a change of column names load all; otherwise the strategy picks rows of ``df``, which
-    are merged by key or, without keys, appended.
+    are merged by key or, without keys, appended. ``override`` takes fields of the load for this run alone.
     """
-    load.checked()
+    load = replace(load, **override).checked()
     if load.materialization == "VIEW":
         return view(df, name)
     if load.materialization == "EPHEMERAL":
         return ephemeral(df)
+    keys = list(load.keys)
     if load.materialization == "TABLE" or not table.exists() or drifted(table, df):
-        return full(table, checked_keys(df, list(load.keys), load.latest_by) if load.keys else df)
-    target = table.read()
-    delta = STRATEGIES[load.strategy][0](df, target, load.options or {})
-    if not load.keys:
+        return _whole(df, table, load)
+    delta = STRATEGIES[load.strategy][0](df, table.read(), load.options or {})
+    if not keys:
         return append(table, delta)
-    return full(table, merged(target, checked_keys(delta, list(load.keys), load.latest_by), list(load.keys)))
+    table.merge(checked_keys(delta, keys, load.latest_by), keys)
+    return table.read()
 
 
-def run_or_reload(df: DataFrame, table: Table, load: Load) -> DataFrame:
-    """An incremental run; where it fails, a full load."""
+def _whole(df: DataFrame, table: Table, load: Load) -> DataFrame:
+    keys = list(load.keys)
+    return full(table, checked_keys(df, keys, load.latest_by) if keys else df, keys)
+
+
+def run_or_reload(df: DataFrame, table: Table, load: Load, **override: Any) -> DataFrame:
+    """An incremental run; where it fails, a full load with the same checks. Wrong settings, repeated keys and another
+    writer are no reason to load all."""
     try:
-        return run(df, table, load)
-    except ValueError:
+        return run(df, table, load, **override)
+    except (ValueError, TypeError, Conflict):
         raise
     except Exception:
-        return full(table, df)
+        return _whole(df, table, replace(load, **override))
 
 
 # High-water marks kept outside the table.
@@ -231,6 +355,15 @@ def advance(source: DataFrame, column: str, mark: Any, kind: str) -> DataFrame:
     return row.select(old.cast("string").alias("old_value"), "new_value", "rows")
 
 
+def advance_kept(source: DataFrame, column: str, kind: str, history: Table) -> DataFrame:
+    """:func:`advance` from the last mark of ``history``, a table that takes the row and when it was made; returns the row."""
+    last = history.read().orderBy(F.desc("at")).first() if history.exists() else None
+    row = advance(source, column, last["new_value"] if last else None, kind).withColumn("at", F.current_timestamp())
+    # A run without values keeps the old mark.
+    append(history, row.withColumn("new_value", F.coalesce("new_value", "old_value")))
+    return history.read().orderBy(F.desc("at")).limit(1)
+
+
 def key_candidates(df: DataFrame) -> DataFrame:
     """Columns that may serve as high-water marks, with a score, their range, distinct and null counts: one aggregate."""
     found = []

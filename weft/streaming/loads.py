@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from weft.plans.upkeep import Table, append, checked_keys, full, merged
+from weft.plans.upkeep import Table, append, checked_keys, full
 
 
 def upsert(stream: DataFrame, table: Table, keys: list[str], checkpoint: str, latest_by: str | None = None) -> StreamingQuery:
     """Merge every micro-batch into a table by key (append without keys), until the input at hand is read.
 
-    A batch that is tried again merges the same rows, so a keyed table stays right. Within a batch the latest row of a key
+    A batch that is tried again merges the same rows, so a keyed table stays right; a batch rewrites the buckets it touches. Within a batch the latest row of a key
     counts if ``latest_by`` is given; repeated keys are an error otherwise.
     """
 
@@ -19,8 +19,8 @@ def upsert(stream: DataFrame, table: Table, keys: list[str], checkpoint: str, la
         if not keys:
             append(table, df)
         elif table.exists():
-            full(table, merged(table.read(), checked_keys(df, keys, latest_by), keys))
+            table.merge(checked_keys(df, keys, latest_by), keys)
         else:
-            full(table, checked_keys(df, keys, latest_by))
+            full(table, checked_keys(df, keys, latest_by), keys)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
