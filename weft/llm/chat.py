@@ -84,7 +84,9 @@ def perspectives(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
         plain, crowded = marked.join(keyed, same, "left_anti").drop("_k"), marked.join(keyed, same, "left_semi").drop("_k")
         turns = plain.withColumn("part", F.lit(0).cast("long")).unionByName(_parts(crowded, seg, segment))
     dialogue = turns.groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    each = dialogue.join(speakers, conv, "left").select(*part, "turns", F.explode_outer("speakers").alias("perspective"))
+    # Speakers come by the keys of the parts, so the wide dialogues need no other exchange.
+    sides = turns.select(*part).distinct().join(speakers, conv, "left")
+    each = dialogue.join(sides, part).select(*part, "turns", F.explode_outer("speakers").alias("perspective"))
     pieces = F.transform("turns", lambda t: F.struct(_header(t["role"], F.col("perspective")).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), t["role"].eqNullSafe(F.col("perspective")).alias("own")))
     each = each.select(*part, "perspective", pieces.alias("p"))
     # Ends of the pieces: running sums over at most a segment's turns.
