@@ -75,7 +75,8 @@ def perspectives(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     speakers = turns.where("role <> 'system'").groupBy(*conv).agg(F.sort_array(F.collect_set("role")).alias("speakers"))
     full = written(turns.groupBy(*seg).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > segment).select(*seg), "full-segments")
     if full.isEmpty():
-        turns = turns.withColumn("part", F.lit(0).cast("long"))
+        # A constant is no key: it would part the join's keys from those of the grouping.
+        part = seg
     else:
         # Written, so its size decides whether it is broadcast.
         marked = turns.withColumn("_k", F.pmod("turn", F.lit(2)))
@@ -88,7 +89,8 @@ def perspectives(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     sides = turns.select(*part).distinct().join(speakers, conv, "left")
     each = dialogue.join(sides, part).select(*part, "turns", F.explode_outer("speakers").alias("perspective"))
     pieces = F.transform("turns", lambda t: F.struct(_header(t["role"], F.col("perspective")).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), t["role"].eqNullSafe(F.col("perspective")).alias("own")))
-    each = each.select(*part, "perspective", pieces.alias("p"))
+    number = F.col("part") if "part" in part else F.lit(0).cast("long").alias("part")
+    each = each.select(*seg, number, "perspective", pieces.alias("p"))
     # Ends of the pieces: running sums over at most a segment's turns.
     ends = F.aggregate("p", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x["head"]) + F.length(x["body"]))))
     each = each.withColumn("e", ends)
