@@ -376,6 +376,14 @@ def test_secrets_of_many_places_take_linear_work(spark, plain_forest):
     assert time.time() - start < 120
 
 
+def test_planted_secrets_of_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pattern = re.compile(r"(?:password=|token = \")([0-9a-f]{12,})|\b(AKIA[A-Z0-9]{16})\b|\b(gh[pousr]_\w{20,})")
+    want = {(r.doc_id, m.start(m.lastindex)) for r in docs.collect() for m in pattern.finditer(r.text or "")}
+    got = {(r.doc_id, r.start) for r in secrets.secrets_of_documents(docs).where("is_secret").collect()}
+    assert want and len(want & got) >= 0.95 * len(want) and len(want & got) >= 0.95 * len(got)
+
+
 def test_precision_and_recall_on_other_kinds_than_trained(spark):
     """Planted in texts of the corpus: forms that the training findings lack."""
     rng = random.Random(3)
