@@ -142,6 +142,16 @@ def test_merge_writes_touched_buckets_alone(spark, tmp_path):
     assert upkeep.run(df.limit(0), empty, load).count() == 0 and upkeep.run(df, empty, load).count() == 2000
 
 
+def test_a_table_keeps_its_buckets_and_odd_key_names(spark, tmp_path):
+    df = spark.range(200).select(F.col("id").alias("a key"), F.lit("x").alias("v"))
+    load = upkeep.Load("INCREMENTAL", ("a key",))
+    upkeep.run(df, upkeep.Table(spark, str(tmp_path / "t"), 4), load)
+    again = upkeep.Table(spark, str(tmp_path / "t"))
+    out = upkeep.run(df.where("`a key` < 3").withColumn("v", F.lit("y")), again, load)
+    assert again.buckets == 4 and out.count() == 200 and out.where("v = 'y'").count() == 3
+    assert all(b < 4 for _, bs, _ in again._version()[1] for b in bs)
+
+
 def test_two_writers_cannot_take_one_version(spark, tmp_path):
     a, b = (upkeep.Table(spark, str(tmp_path / "t")) for _ in range(2))
     a.write(spark.range(1))

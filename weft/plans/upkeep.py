@@ -2,7 +2,7 @@
 
 A table is a folder with data folders and a pointer that names those of the current version. New data is written next to
 the old, then the pointer moves on, so a failed job leaves the table as it was and no job overwrites what it reads. An
-append writes the new rows alone. A keyed table is cut into BUCKETS by a hash of its keys, and a merge writes the buckets
+append writes the new rows alone. A keyed table is cut into buckets by a hash of its keys, and a merge writes the buckets
 again that the delta touches, not the others. Two writers can't take the same version: the later one gets an error.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from weft.operators.shaping import visible
 
-#: Parts that a keyed table is cut into, and the column that names a row's.
+#: Parts that a keyed table is cut into unless it is made with another number, and the column that names a row's.
 BUCKETS, BUCKET = 64, "_bucket"
 
 
@@ -37,11 +37,12 @@ class Table:
     """A versioned Parquet table at a path that Spark can reach.
 
     A version lists (folder, buckets, schema); a folder without buckets counts whole. Keyed versions hold the column BUCKET
-    as a partition of their folders, which readers do not see.
+    as a partition of their folders, which readers do not see. A table keeps the number of buckets that it was made with;
+    a large one wants so many that a bucket is what a small merge may write again.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _files(self):  # noqa: ANN202
         """Hadoop's file system of the table, which Spark itself writes through."""
@@ -60,9 +61,22 @@ class Table:
         if not numbers:
             return 0, [], []
         number = number or numbers[-1]
-        lines = [r[0] for r in self.spark.read.text(f"{self.path}/current/{number:08d}").collect()]
+        lines = self._lines(f"{self.path}/current/{number:08d}")
         parts = [(f, [int(x) for x in bs.split(",") if x], schema) for f, bs, schema in (x.split(" ", 2) for x in lines if x.startswith("v-"))]
-        return number, parts, next((x.split(" ", 1)[1].split(" ") for x in lines if x.startswith("keys ")), [])
+        self.buckets, keys = next((json.loads(x.split(" ", 1)[1]) for x in lines if x.startswith("keys ")), (self.buckets, []))
+        return number, parts, keys
+
+    def _lines(self, place: str) -> list[str]:
+        """The few lines of a version, without a Spark job."""
+        files, path = self._files()
+        found: list[str] = []
+        for status in files.listStatus(path(place)):
+            stream = files.open(status.getPath())
+            try:
+                found += bytes(self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode().splitlines()
+            finally:
+                stream.close()
+        return found
 
     def exists(self) -> bool:
         return bool(self._versions())
@@ -81,21 +95,27 @@ class Table:
             frames.append(df.where(F.col(BUCKET).isin(buckets)).drop(BUCKET) if buckets else df)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
-    def _written(self, df: DataFrame, keys: list[str], buckets: Iterable[int] = range(BUCKETS)) -> Part:
+    def _written(self, df: DataFrame, keys: list[str], buckets: Iterable[int] | None = None) -> Part:
+        """The rows of ``df`` in a new folder, by bucket if there are keys. Adaptive execution deals a large bucket to
+        several tasks and several small ones to one."""
         folder = f"v-{uuid.uuid4().hex[:12]}"
         if keys:
-            df.withColumn(BUCKET, bucket_of(keys)).repartition(BUCKETS, BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+            df.withColumn(BUCKET, bucket_of(keys, self.buckets)).hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         else:
             df.write.parquet(f"{self.path}/{folder}")
-        return folder, sorted(buckets) if keys else [], df.schema.json()
+        return folder, sorted(range(self.buckets) if buckets is None else buckets) if keys else [], df.schema.json()
 
     def _commit(self, number: int, parts: list[Part], keys: list[str]) -> None:
         """Make a version the current one. Its file is written aside and renamed, which fails if the number is taken."""
-        lines = [f"keys {' '.join(keys)}"] if keys else []
+        lines = [f"keys {json.dumps([self.buckets, keys])}"] if keys else []
         lines += [f"{f} {','.join(map(str, bs))} {schema}" for f, bs, schema in parts]
         aside = f"{self.path}/current/.{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(aside)
         files, path = self._files()
+        stream = files.create(path(f"{aside}/part-0"), False)
+        try:
+            stream.write(bytearray("\n".join(lines).encode()))
+        finally:
+            stream.close()
         to = path(f"{self.path}/current/{number:08d}")
         # A rename onto a folder would move into it, so that is looked at first and afterwards.
         if files.exists(to) or not files.rename(path(aside), to) or files.exists(path(f"{to.toString()}/{aside.rsplit('/', 1)[1]}")):
@@ -114,7 +134,7 @@ class Table:
         """A new version with the rows of ``delta`` in place of those of equal keys. Only touched buckets are written.
 
         Null keys are equal to one another. A table that is not cut by these keys yet is written anew once. The delta is
-        kept first, as it is read for its buckets and for its rows; at most BUCKETS numbers reach the driver.
+        kept first, as it is read for its buckets and for its rows; one number a touched bucket reaches the driver.
         """
         number, parts, cut = self._version()
         now = self._read(parts)
@@ -123,7 +143,7 @@ class Table:
         coming = f"v-{uuid.uuid4().hex[:12]}"
         delta.select(*now.columns).write.parquet(f"{self.path}/{coming}")
         delta = self.spark.read.schema(now.schema).parquet(f"{self.path}/{coming}")
-        touched = {r[0] for r in delta.select(bucket_of(keys)).distinct().collect()}
+        touched = {r[0] for r in delta.select(bucket_of(keys, self.buckets)).distinct().collect()}
         if touched:
             whole = [p for p in parts if not p[1]]
             old = [(f, [b for b in bs if b in touched], schema) for f, bs, schema in parts if set(bs) & touched]
@@ -157,9 +177,9 @@ class Table:
         return len(gone)
 
 
-def bucket_of(keys: list[str]) -> Column:
+def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
     """The bucket of a row, by its keys as text, so that types of equal values don't matter."""
-    return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(buckets)).cast("int")
 
 
 def full(table: Table, df: DataFrame, keys: list[str] | None = None) -> DataFrame:
