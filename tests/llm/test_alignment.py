@@ -74,8 +74,14 @@ def test_alignment_of_the_given_documents(spark):
     assert all(r[1] for r in got)
 
 
-def test_empty_table_and_links_of_empty_ids(spark):
+def test_empty_table_and_common_ends(spark):
     assert not alignment.alignment_of_documents(spark.createDataFrame([], "doc_id long, text string"), *FILES).collect()
-    data = [b"ab", b"", b"c"]
-    assert alignment.links(([0, 1], [2, 0, 1, 1]), data, data) == [(0, 0), (0, 1), (0, 1), (1, 0), (1, 1), (1, 1)]
-    assert alignment.sliced([5, 6, 7], [8, 9], [1, 2, 4], [2, 4]) == [([5, 6], [8]), ([7], [9])]
+    assert alignment.common_ends([1, 2, 4], [2, 4]) == ([2, 4], [2, 3], [1, 2])
+
+
+def test_ranks_give_the_same_ids(spark):
+    with open(FILES[0]) as f, open(FILES[1], "rb") as g:
+        aligner = alignment.Aligner(f.read(), g.read())
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    assert aligner.ranks is not None
+    assert [aligner.ranks.encode_ordinary(t) for t in texts] == [aligner.a.encode(t, add_special_tokens=False).ids for t in texts]

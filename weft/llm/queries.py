@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, chosen_path, decontamination, ivfpq, language_crf, media, packing, secrets, sentencepiece_trie, toxicity_mil, wrapper
+from . import alignment, chat, chosen_path, conversation_trie, decontamination, ivfpq, language_crf, media, packing, secrets, sentencepiece_trie, toxicity_mil, wrapper
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.hits_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,11 +82,13 @@ QUERIES: dict[str, Query] = {
     "op8_ivfpq_neighbours": op8_ivfpq_neighbours,
     "op9_chosen_path_join": op9_chosen_path_join,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_benchmark_decontamination": op12_benchmark_decontamination,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {
     "op7_chat_perspectives": chat.PERSPECTIVES_SQL,
+    "op11_prefix_trie": conversation_trie.TRIE_SQL,
     "op12_benchmark_decontamination": decontamination.HITS_SQL,
 }
