@@ -203,9 +203,8 @@ def test_windows_in_aggregates_are_known_by_the_plan(spark):
     for bad in (F.sum("id").over(Window.partitionBy("a OVER b")), F.row_number().over(Window.orderBy("a OVER b")), F.sum(F.sum("id")).over(Window.partitionBy("a OVER b"))):
         with pytest.raises(ValueError):
             aggregates.grouped(df, ["a OVER b"], {"x": bad})
-    with pytest.raises(ValueError):
-        windowing.with_windows(df, [windowing.WindowColumn("r", "ROW_NUMBER", order=(("id", "asc"),))])
-    assert windowing.with_windows(df, [windowing.WindowColumn("r", "ROW_NUMBER", order=(("id", "asc"),), whole_table=True)]).count() == 4
+    for small in (False, True):
+        assert rows(windowing.with_windows(df, [windowing.WindowColumn("r", "ROW_NUMBER", order=(("id", "asc"),), whole_table=small)]).select("id", "r")) == [(i, i + 1) for i in range(4)]
 
 
 def test_quantiles_of_whole_columns(spark):
