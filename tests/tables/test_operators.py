@@ -128,9 +128,9 @@ def test_merge_writes_touched_buckets_alone(spark, tmp_path):
     table, load = upkeep.Table(spark, str(tmp_path / "t")), upkeep.Load("INCREMENTAL", ("id",))
     df = spark.range(2000).withColumn("v", F.lit("a"))
     upkeep.run(df, table, load)
-    before = set((tmp_path / "t").glob("v-*"))
+    before = set((tmp_path / "t").glob(f"{upkeep.FOLDER}=*"))
     out = upkeep.run(spark.createDataFrame([(5, "b"), (5000, "c")], "id long, v string"), table, load)
-    (new,) = set((tmp_path / "t").glob("v-*")) - before
+    (new,) = set((tmp_path / "t").glob(f"{upkeep.FOLDER}=*")) - before
     assert len(list(new.glob(f"{upkeep.BUCKET}=*"))) <= 2
     assert out.count() == 2001 and rows(out.where("v <> 'a'")) == [(5, "b"), (5000, "c")]
     assert upkeep.run(df.limit(0), table, load).count() == 2001

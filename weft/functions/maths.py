@@ -8,6 +8,7 @@ from operator import add, mul
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, IntegralType
 
 from weft.shared import kept
 
@@ -151,8 +152,11 @@ def random(seed: int | None = None) -> Column:
     return F.rand(seed)
 
 
-# Statistics of a whole column on every row. Any number of them costs one aggregate and the join of its single row;
-# quantiles take another pass each.
+# Statistics of a whole column on every row. Any number of them costs one aggregate and the join of its single row; all
+# quantiles together take another pass.
+
+#: The type in which whole numbers and decimals are ordered.
+EXACT = "decimal(38,18)"
 
 
 @dataclass(frozen=True)
@@ -191,31 +195,45 @@ def cov(a: str, b: str) -> Column:
     return F.covar_samp(a, b)
 
 
-def _quantile_row(df: DataFrame, wanted: Quantile, name: str) -> DataFrame:
-    """One row with an exact quantile; null without values.
+def _exact(kind: DataType) -> bool:
+    """Whether EXACT holds every value of the type."""
+    return isinstance(kind, IntegralType) or (isinstance(kind, DecimalType) and kind.scale <= 18 and kind.precision - kind.scale <= 20)
+
+
+def _quantile_row(df: DataFrame, wanted: dict[str, Quantile]) -> DataFrame:
+    """One row with exact quantiles, by name; null without values. NaN counts as the greatest value.
 
-    Values are counted, the counts are range-partitioned, and ranks are running sums inside a partition after the totals
-    of those before, so no task holds the column. NaN counts as the greatest value.
+    All columns are one list of (column, value) whose repeats are counted. The counts are range-partitioned and written once,
+    and ranks are running sums inside a partition after the totals of those before, so no task holds a column. Whole numbers
+    and decimals are ordered as decimals, so values that one double stands for stay apart.
     """
-    counts = df.where(F.col(wanted.c).isNotNull()).groupBy(F.col(wanted.c).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    columns = list(dict.fromkeys(w.c for w in wanted.values()))
+    exact = {c: _exact(df.schema[c].dataType) for c in columns}
+    values = [F.struct(F.lit(i).alias("i"), (F.col(c) if exact[c] else F.lit(None)).cast(EXACT).alias("x"), (F.lit(None) if exact[c] else F.col(c)).cast("double").alias("d")) for i, c in enumerate(columns)]
+    each = df.select(F.explode(F.array(*values)).alias("v")).select("v.*").where("x IS NOT NULL OR d IS NOT NULL")
+    counts = each.groupBy("i", "x", "d").agg(F.count(F.lit(1)).alias("n"))
     # Another evaluation may cut the ranges elsewhere, so the partitions are kept by value.
-    part = kept(counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("p")))
-    totals = part.groupBy("p").agg(F.sum("n").alias("t"))
-    before = totals.select("p", (F.sum("t").over(Window.orderBy("p")) - F.col("t")).alias("before"), F.sum("t").over(Window.partitionBy(F.lit(1))).alias("all"))
-    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
-    ranked = part.join(before, "p").select("v", "all", (F.col("before") + upto).alias("last"), (F.col("before") + upto - F.col("n")).alias("first"))
-    at = F.lit(wanted.q) * (F.col("all") - 1)
-    holds = lambda k: F.max(F.when((F.col("first") <= k) & (k < F.col("last")), F.col("v")))
-    row = ranked.agg(holds(F.floor(at)).alias("lo"), holds(F.ceil(at)).alias("hi"), F.max(at - F.floor(at)).alias("part"))
-    return row.select((F.col("lo") + F.when(F.col("part") > 0, (F.col("hi") - F.col("lo")) * F.col("part")).otherwise(0.0)).alias(name))
+    part = kept(counts.repartitionByRange("i", "x", "d").select("i", "x", "d", "n", F.spark_partition_id().alias("p")))
+    totals = part.groupBy("i", "p").agg(F.sum("n").alias("t"))
+    before = totals.select("i", "p", (F.sum("t").over(Window.partitionBy("i").orderBy("p")) - F.col("t")).alias("before"), F.sum("t").over(Window.partitionBy("i")).alias("all"))
+    upto = F.sum("n").over(Window.partitionBy("i", "p").orderBy("x", "d"))
+    ranked = part.join(F.broadcast(before), ["i", "p"]).select("i", "x", "d", "all", (F.col("before") + upto).alias("last"), (F.col("before") + upto - F.col("n")).alias("first"))
+    picked, made = {}, {}
+    for name, w in wanted.items():
+        own, v = F.col("i") == columns.index(w.c), "x" if exact[w.c] else "d"
+        at = F.lit(w.q) * (F.col("all") - 1)
+        holds = lambda k, own=own, v=v: F.max(F.when(own & (F.col("first") <= k) & (k < F.col("last")), F.col(v)))
+        picked |= {f"{name}_lo": holds(F.floor(at)), f"{name}_hi": holds(F.ceil(at)), f"{name}_part": F.max(F.when(own, at - F.floor(at)))}
+        lo, hi, share = (F.col(f"{name}_{k}") for k in ("lo", "hi", "part"))
+        made[name] = lo.cast("double") + F.when(share > 0, (hi - lo).cast("double") * share).otherwise(0.0)
+    return ranked.agg(*(c.alias(n) for n, c in picked.items())).select(*(c.alias(n) for n, c in made.items()))
 
 
 def with_statistics(df: DataFrame, **statistics: Column | Quantile) -> DataFrame:
-    """``df`` with whole-table statistics on every row, by name: one aggregate, whose one row is joined, and one row for
-    each quantile."""
+    """``df`` with whole-table statistics on every row, by name: one aggregate for the plain ones and one for all quantiles,
+    whose single rows are joined."""
     plain = {n: c for n, c in statistics.items() if not isinstance(c, Quantile)}
+    quantiles = {n: c for n, c in statistics.items() if isinstance(c, Quantile)}
     out = df.join(F.broadcast(df.agg(*(c.alias(n) for n, c in plain.items())))) if plain else df
-    for n, c in statistics.items():
-        if isinstance(c, Quantile):
-            out = out.join(F.broadcast(_quantile_row(df, c, n)))
+    out = out.join(F.broadcast(_quantile_row(df, quantiles))) if quantiles else out
     return out.select(*df.columns, *statistics)

@@ -49,19 +49,28 @@ def grouped(df: DataFrame, keys: list[str], columns: dict[str, Column], having:
     return out if after is None else out.where(after)
 
 
+#: New columns that a pivot finds by itself.
+PIVOT_NAMES = 1000
+
+
 def span(c: str, temporal: bool = False) -> Column:
     """MAX - MIN; of dates in whole days."""
     return F.datediff(F.max(c), F.min(c)).cast("long") if temporal else F.max(c) - F.min(c)
 
 
-def pivoted(df: DataFrame, row: str, column: str, value: str, names: list, aggregator: str = "MIN", fill: str | int | None = None) -> DataFrame:
+def pivoted(df: DataFrame, row: str, column: str, value: str, names: list | None = None, aggregator: str = "MIN", fill: str | int | None = None) -> DataFrame:
     """Long to wide: one column for each of ``names``, the aggregate of ``value``.
 
-    The names are given, so one pass is enough and their number is known. ``fill`` stands for missing values of the new
+    Given names make one pass do. Without them a pass finds the values of ``column``, nulls aside; more than PIVOT_NAMES are
+    an error, and no more than that reach the driver. ``fill`` stands for missing values of the new
     columns; for number columns it is used if it is a whole number.
     """
     if aggregator.upper() == "COUNT_DISTINCT":
         raise ValueError("COUNT_DISTINCT is no pivot aggregate")
+    if names is None:
+        names = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(PIVOT_NAMES + 1).collect())
+        if len(names) > PIVOT_NAMES:
+            raise ValueError(f"{column} has more than {PIVOT_NAMES} values")
     out = df.groupBy(row).pivot(column, names).agg(aggregate(aggregator, value))
     if fill is None:
         return out

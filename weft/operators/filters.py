@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
+#: A value that no value of the column's type equals.
+UNREADABLE = object()
+_WHOLE, _NUMBER = re.compile(r"\s*[+-]?\d+\s*"), re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*", re.I)
+_DATE = re.compile(r"\s*[+-]?\d{4,7}(-\d{1,2}(-\d{1,2}([ T].*)?)?)?\s*")
+_TRUTH = dict.fromkeys(("true", "t", "yes", "y", "1"), True) | dict.fromkeys(("false", "f", "no", "n", "0"), False)
 
-#: Types of columns that texts are compared with as they are: Spark reads them as dates and times where needed.
-_AS_GIVEN = (StringType, DateType, TimestampType, TimestampNTZType)
+
+def _number(text: str) -> Any:
+    return int(text) if _WHOLE.fullmatch(text) else float(text) if _NUMBER.fullmatch(text) else UNREADABLE
 
 
 def typed(value: Any, kind: DataType | None = None) -> Any:
-    """A value given as text as boolean, whole number, float or text, by its looks; as text for a column of texts or times,
-    where a number is written as text too."""
+    """A value as the column's type reads it: text as a number, a truth value or a date where the column holds those, and a
+    number as text for a column of texts; UNREADABLE if it is none. Without a type text is read by its looks."""
     if isinstance(kind, StringType) and isinstance(value, int | float) and not isinstance(value, bool):
         return str(value)
-    if not isinstance(value, str) or isinstance(kind, _AS_GIVEN):
+    if not isinstance(value, str) or isinstance(kind, StringType):
         return value
-    if value.strip().lower() in ("true", "false"):
-        return value.strip().lower() == "true"
-    for kind in (int, float):
-        try:
-            return kind(value)
-        except ValueError:
-            continue
-    return value
+    if isinstance(kind, DateType | TimestampType | TimestampNTZType):
+        return value if _DATE.fullmatch(value) else UNREADABLE
+    if isinstance(kind, BooleanType):
+        return _TRUTH.get(value.strip().lower(), UNREADABLE)
+    if isinstance(kind, NumericType):
+        return _number(value)
+    found = _TRUTH[value.strip().lower()] if value.strip().lower() in ("true", "false") else _number(value)
+    return value if found is UNREADABLE else found
 
 
 @dataclass(frozen=True)
 class Condition:
     """``left`` (a column name or an expression), an operator, and a value, a Column or several values.
 
-    ``joined`` says how the condition is tied to the one before it: AND or OR.
+    ``joined`` says how the condition is tied to the one before it: AND or OR. Values given as text are read by the column's
+    type; one that can't be read so is equal to no row and unequal to all but nulls.
     """
 
     left: str | Column
@@ -51,18 +59,35 @@ class Condition:
         if op not in _TESTS:
             raise ValueError(f"unknown operator {self.operator}")
         kind, right = df.select(c).schema[0].dataType, self.right
+        none, all_ = F.when(c.isNotNull(), F.lit(False)), F.when(c.isNotNull(), F.lit(True))
         if op in ("IN", "NOTIN"):
             right = [typed(x.strip() if isinstance(x, str) else x, kind) for x in (right.split(",") if isinstance(right, str) else right)]
+            right = [_given(x, kind) for x in right if x is not UNREADABLE]
+            if not right:
+                return none if op == "IN" else all_
         elif op == "BETWEEN":
             right = [_one(x, kind) for x in right]
+            if UNREADABLE in [x for x in right if not isinstance(x, Column)]:
+                return none
         elif op in _COMPARED:
             right = _one(right, kind)
+            if right is UNREADABLE:
+                return all_ if op == "NEQ" else none
         return _TESTS[op](c, right)
 
 
-def _one(v: Any, kind: DataType) -> Column:
+def _one(v: Any, kind: DataType) -> Any:
     v = v[0] if isinstance(v, list | tuple) and len(v) == 1 else v
-    return v if isinstance(v, Column) else F.lit(typed(v, kind))
+    if isinstance(v, Column):
+        return v
+    v = typed(v, kind)
+    return v if v is UNREADABLE else _given(v, kind)
+
+
+def _given(v: Any, kind: DataType) -> Column:
+    """A readable value; text that looks like a date but is none, such as February 30, is null."""
+    temporal = isinstance(v, str) and isinstance(kind, DateType | TimestampType | TimestampNTZType)
+    return F.lit(v).try_cast(kind) if temporal else F.lit(v)
 
 
 _COMPARED = ("EQ", "NEQ", "GT", "GTE", "LT", "LTE")

@@ -127,5 +127,6 @@ def with_windows(df: DataFrame, columns: list[WindowColumn], ordered: bool = Fal
 
 
 def _together(w: WindowColumn, x: WindowColumn, names: set[str]) -> bool:
-    uses = isinstance(x.c, Column) or x.c in names or x.name in names
+    # A name within the text of an expression may be no column of it; then it gets a scan of its own all the same.
+    uses = x.name in names or (any(n in str(x.c) for n in names) if isinstance(x.c, Column) else x.c in names)
     return x.distributed() and (w.partition, w.order) == (x.partition, x.order) and not uses

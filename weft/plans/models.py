@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
+from functools import partial
 from graphlib import TopologicalSorter
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +86,54 @@ def run(models: dict[str, Model], sources: dict[str, DataFrame], names: list[str
     return {n: done[n] for n in wanted}
 
 
+@dataclass
+class Outcome:
+    """What a side-by-side run has built, what failed with which error, and what was left out as its inputs failed."""
+
+    done: dict[str, DataFrame]
+    failed: dict[str, Exception]
+    skipped: list[str]
+
+
+def run_side_by_side(models: dict[str, Model], sources: dict[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame], names: list[str] | None = None, at_once: int = 4) -> Outcome:
+    """Build models as soon as what they are made from is there, ``at_once`` at a time; ``keep`` writes each one and gives it
+    back, so that its jobs run then.
+
+    Jobs of a model go to the scheduler pool of its name, so with ``spark.scheduler.mode=FAIR`` a long one leaves room for
+    others. A model that fails stops only those made from it.
+    """
+    chosen = set(models) if names is None else above(models, set(names))
+    graph = {n: {i for i in models[n].inputs if i in models} for n in chosen}
+    sorter, out, running = TopologicalSorter(graph), Outcome(dict(sources), {}, []), {}
+    session = next(iter(sources.values())).sparkSession
+    sorter.prepare()
+
+    def build(n: str) -> DataFrame:
+        df = models[n].build(*(out.done[i] for i in models[n].inputs))
+        df.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", n)
+        return keep(n, df)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        while sorter.is_active():
+            for n in sorted(sorter.get_ready()):
+                if any(i in out.failed or i in out.skipped for i in graph[n]):
+                    out.skipped.append(n)
+                    sorter.done(n)
+                else:
+                    # Each task gets Spark's local properties of this thread.
+                    running[pool.submit(inheritable_thread_target(session)(partial(build, n)))] = n
+            if running:
+                for f in wait(running, return_when=FIRST_COMPLETED).done:
+                    n = running.pop(f)
+                    if f.exception():
+                        out.failed[n] = f.exception()
+                    else:
+                        out.done[n] = f.result()
+                    sorter.done(n)
+    out.done = {n: out.done[n] for n in order(models) if n in out.done and n in chosen}
+    return out
+
+
 def checks(df: DataFrame, **rules: Column) -> DataFrame:
     """(check, failed): rows that break each rule (a null breaks it); all rules in one aggregate."""
     row = df.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))
@@ -101,8 +152,75 @@ def lineage(spark: SparkSession, models: dict[str, Model]) -> DataFrame:
     return spark.createDataFrame(rows, "from string, to string, kind string, from_is string")
 
 
+#: Marks an input in a plan; the walk ends there.
+_INPUT = "_weft_input_"
+Field = tuple[str, str]
+
+
+def _sequence(x) -> list:  # noqa: ANN001
+    """A Scala sequence as a list."""
+    return [x.apply(i) for i in range(x.size())]
+
+
+def _walked(node, used: set[Field]) -> dict[int, frozenset[Field]]:  # noqa: ANN001
+    """Where the columns that a plan node gives come from, by expression id; adds the fields that expressions name to
+    ``used``."""
+    kind, output = node.getClass().getSimpleName(), _sequence(node.output())
+    if kind == "SubqueryAlias" and node.alias().startswith(_INPUT):
+        return {a.exprId().id(): frozenset({(node.alias()[len(_INPUT) :], a.name())}) for a in output}
+    children = _sequence(node.children())
+    below = [_walked(c, used) for c in children]
+    known = {k: v for b in below for k, v in b.items()}
+    of = lambda references: frozenset().union(*(known.get(r.exprId().id(), frozenset()) for r in _sequence(references.toSeq())))
+    if kind == "Union":
+        rows = [_sequence(c.output()) for c in children]
+        return {a.exprId().id(): frozenset().union(*(b.get(r[k].exprId().id(), frozenset()) for b, r in zip(below, rows, strict=True))) for k, a in enumerate(output)}
+    everything = frozenset()
+    for e in _sequence(node.expressions()):
+        own = of(e.references())
+        used |= own
+        everything |= own
+        if e.getClass().getSimpleName() == "Alias":
+            known[e.exprId().id()] = own
+    # A generator or a function of rows may make a column from any that it reads; without a list, from all that it gets.
+    rest = everything or frozenset().union(*known.values())
+    return {a.exprId().id(): known.get(a.exprId().id(), rest) for a in output}
+
+
+def traced(model: Model, inputs: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, frozenset[Field]], set[Field]]:
+    """The model built, where each of its columns comes from, and all input fields that it names, in filters and join
+    criteria too: all read from the analysed plan, by expression id, so renaming and aliases do not hide anything."""
+    df = model.build(*(inputs[i].alias(f"{_INPUT}{i}") for i in model.inputs))
+    used: set[Field] = set()
+    plan = df._jdf.queryExecution().analyzed()
+    by_id = _walked(plan, used)
+    fields = {a.name(): by_id[a.exprId().id()] for a in _sequence(plan.output())}
+    return df, fields, used
+
+
+def column_lineage(spark: SparkSession, models: dict[str, Model], sources: dict[str, DataFrame]) -> DataFrame:
+    """(from_table, from_column, to_table, to_column): which input columns each model's columns are computed from."""
+    done, rows = dict(sources), []
+    for n in order(models):
+        done[n], fields, _ = traced(models[n], done)
+        rows += [(t, c, n, name) for name, origins in fields.items() for t, c in sorted(origins)]
+    return spark.createDataFrame(rows, "from_table string, from_column string, to_table string, to_column string")
+
+
+def needed_columns(models: dict[str, Model], sources: dict[str, DataFrame], table: str) -> dict[str, list[str]]:
+    """The columns of ``table`` that each model made from it names or passes on."""
+    done, out = dict(sources), {}
+    for n in order(models):
+        done[n], fields, used = traced(models[n], done)
+        own = sorted({c for origin in (used, *fields.values()) for t, c in origin if t == table})
+        if own:
+            out[n] = own
+    return out
+
+
 def broken_columns(before: DataFrame, after: DataFrame, needed: dict[str, list[str]]) -> DataFrame:
-    """(model, column, why): columns that later models need and a changed step no longer gives, or gives in another type."""
+    """(model, column, why): columns that later models need (see :func:`needed_columns`) and a changed step no longer gives,
+    or gives in another type."""
     old, new = dict(before.dtypes), dict(after.dtypes)
     rows = [(m, c, "missing" if c not in new else "type") for m, cs in needed.items() for c in cs if c not in new or (c in old and old[c] != new[c])]
     return before.sparkSession.createDataFrame(rows, "model string, column string, why string")

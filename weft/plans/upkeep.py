@@ -11,7 +11,8 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
@@ -22,8 +23,11 @@ from pyspark.sql import types as T
 
 from weft.operators.shaping import visible
 
-#: Parts that a keyed table is cut into unless it is made with another number, and the column that names a row's.
-BUCKETS, BUCKET = 64, "_bucket"
+#: Parts that a keyed table is cut into unless it is made with another number, and the columns that name a row's and its
+#: folder.
+BUCKETS, BUCKET, FOLDER = 64, "_bucket", "_v"
+#: A version with more folders of one kind than this gets those of fewer bytes than SMALL as one.
+FOLDERS, SMALL = 64, 64 << 20
 
 
 Part = tuple[str, list[int], str]
@@ -38,11 +42,17 @@ class Table:
 
     A version lists (folder, buckets, schema); a folder without buckets counts whole. Keyed versions hold the column BUCKET
     as a partition of their folders, which readers do not see. A table keeps the number of buckets that it was made with;
-    a large one wants so many that a bucket is what a small merge may write again.
+    a large one wants so many that a bucket is what a small merge may write again. Folders of one schema are read in one
+    scan. Versions also hold marks, such as the last batch of each stream, so that rows and mark come together.
+
+    That two writers can't take one version rests on a file system whose rename is atomic and refuses a name that is taken
+    (HDFS, local disks). On an object store without that, let one writer at a time work on a table.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self._marks: dict[str, int] = {}
+        self._coming: dict[str, int] = {}
 
     def _files(self):  # noqa: ANN202
         """Hadoop's file system of the table, which Spark itself writes through."""
@@ -59,12 +69,30 @@ class Table:
         """The number of a version (the current one; 0 for none), its folders with their buckets, and its keys."""
         numbers = self._versions()
         if not numbers:
+            self._marks = {}
             return 0, [], []
         number = number or numbers[-1]
         lines = self._lines(f"{self.path}/current/{number:08d}")
-        parts = [(f, [int(x) for x in bs.split(",") if x], schema) for f, bs, schema in (x.split(" ", 2) for x in lines if x.startswith("v-"))]
-        self.buckets, keys = next((json.loads(x.split(" ", 1)[1]) for x in lines if x.startswith("keys ")), (self.buckets, []))
-        return number, parts, keys
+        parts = [(f, [int(x) for x in bs.split(",") if x], schema) for f, bs, schema in (x.split(" ", 2) for x in lines if x.startswith(("v-", f"{FOLDER}=")))]
+        said = {x.split(" ", 1)[0]: json.loads(x.split(" ", 1)[1]) for x in lines if x.startswith(("keys ", "marks "))}
+        self._marks = said.get("marks", {})
+        # Tables of earlier releases were cut by the keys' texts: they count as not cut, so the next merge cuts them anew.
+        self.buckets, keys, *typed = said.get("keys", [self.buckets, [], True])
+        return number, parts, keys if typed else []
+
+    def marks(self) -> dict[str, int]:
+        """The marks of the current version."""
+        self._version()
+        return dict(self._marks)
+
+    @contextmanager
+    def marking(self, name: str, value: int) -> Iterator[None]:
+        """Versions that are made within also set a mark."""
+        self._coming = {name: value}
+        try:
+            yield
+        finally:
+            self._coming = {}
 
     def _lines(self, place: str) -> list[str]:
         """The few lines of a version, without a Spark job."""
@@ -87,27 +115,48 @@ class Table:
             raise ValueError(f"no table at {self.path}")
         return self._read(parts)
 
+    def schema(self) -> T.StructType:
+        """Columns of the current version, without looking at its files."""
+        return _united([schema for _, _, schema in self._version()[1]])
+
     def _read(self, parts: list[Part]) -> DataFrame:
-        frames = []
+        """The rows of some folders: one scan for each schema, whatever the number of folders."""
+        groups: dict[tuple[str, str], list[Part]] = {}
         for folder, buckets, schema in parts:
-            fields = T.StructType.fromJson(json.loads(schema))
-            df = self.spark.read.schema(fields.add(BUCKET, T.IntegerType()) if buckets else fields).parquet(f"{self.path}/{folder}")
-            frames.append(df.where(F.col(BUCKET).isin(buckets)).drop(BUCKET) if buckets else df)
+            groups.setdefault((schema, "" if not buckets else FOLDER if folder.startswith(FOLDER) else folder), []).append((folder, buckets, schema))
+        frames = []
+        for (schema, kind), own in groups.items():
+            fields, paths = T.StructType.fromJson(json.loads(schema)), [f"{self.path}/{f}" for f, _, _ in own]
+            if not kind:
+                frames.append(self.spark.read.schema(fields).parquet(*paths))
+            elif kind != FOLDER:
+                frames.append(self.spark.read.schema(fields.add(BUCKET, T.IntegerType())).parquet(*paths).where(F.col(BUCKET).isin(own[0][1])).drop(BUCKET))
+            else:
+                df = self.spark.read.schema(fields.add(FOLDER, T.StringType()).add(BUCKET, T.IntegerType())).option("basePath", self.path).parquet(*paths)
+                alike: dict[tuple[int, ...], list[str]] = {}
+                for f, bs, _ in own:
+                    alike.setdefault(tuple(bs), []).append(f.split("=", 1)[1])
+                there = reduce(lambda a, b: a | b, [F.col(FOLDER).isin(fs) & F.col(BUCKET).isin(list(bs)) for bs, fs in alike.items()])
+                frames.append(df.where(there).drop(FOLDER, BUCKET))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
     def _written(self, df: DataFrame, keys: list[str], buckets: Iterable[int] | None = None) -> Part:
         """The rows of ``df`` in a new folder, by bucket if there are keys. Adaptive execution deals a large bucket to
         several tasks and several small ones to one."""
-        folder = f"v-{uuid.uuid4().hex[:12]}"
+        name = uuid.uuid4().hex[:12]
+        folder = f"{FOLDER}=t{name}" if keys else f"v-{name}"
         if keys:
-            df.withColumn(BUCKET, bucket_of(keys, self.buckets)).hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+            df.withColumn(BUCKET, bucket_of(df, keys, self.buckets)).hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         else:
             df.write.parquet(f"{self.path}/{folder}")
-        return folder, sorted(range(self.buckets) if buckets is None else buckets) if keys else [], df.schema.json()
+        fields = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+        return folder, sorted(range(self.buckets) if buckets is None else buckets) if keys else [], fields.json()
 
     def _commit(self, number: int, parts: list[Part], keys: list[str]) -> None:
         """Make a version the current one. Its file is written aside and renamed, which fails if the number is taken."""
-        lines = [f"keys {json.dumps([self.buckets, keys])}"] if keys else []
+        lines = [f"keys {json.dumps([self.buckets, keys, 'typed'])}"] if keys else []
+        if marks := self._marks | self._coming:
+            lines.append(f"marks {json.dumps(marks)}")
         lines += [f"{f} {','.join(map(str, bs))} {schema}" for f, bs, schema in parts]
         aside = f"{self.path}/current/.{uuid.uuid4().hex}"
         files, path = self._files()
@@ -129,21 +178,45 @@ class Table:
         keys = old if keep else (keys or [])
         own = self._written(df, keys)
         self._commit(number + 1, [*(parts if keep else []), own], keys)
+        if keep and len(parts) >= FOLDERS:
+            self.compact()
+
+    def compact(self) -> int:
+        """A new version in which the small folders of a kind (with or without buckets) are one, where there are more than
+        FOLDERS of them; how many folders went into others."""
+        number, parts, keys = self._version()
+        gone = 0
+        for keyed in (False, True):
+            small = [p for p in parts if bool(p[1]) == keyed and self._bytes(p[0]) < SMALL] if len(parts) > FOLDERS else []
+            # Rows in buckets of other keys are left as they are.
+            if len(small) > FOLDERS // 2 and (keys or not keyed):
+                buckets = sorted({b for _, bs, _ in small for b in bs})
+                parts = [*(p for p in parts if p not in small), self._written(self._read(small).select(*_united([x for *_, x in small]).names), keys if keyed else [], buckets)]
+                gone += len(small)
+        if gone:
+            self._commit(number + 1, parts, keys)
+        return gone
+
+    def _bytes(self, folder: str) -> int:
+        files, path = self._files()
+        return files.getContentSummary(path(f"{self.path}/{folder}")).getLength()
 
     def merge(self, delta: DataFrame, keys: list[str]) -> None:
         """A new version with the rows of ``delta`` in place of those of equal keys. Only touched buckets are written.
 
-        Null keys are equal to one another. A table that is not cut by these keys yet is written anew once. The delta is
-        kept first, as it is read for its buckets and for its rows; one number a touched bucket reaches the driver.
+        Null keys are equal to one another, and so are 0.0 and -0.0. The delta takes the table's types. A table that is not
+        cut by these keys yet is written anew once. The delta is kept first, as it is read for its buckets and for its rows;
+        one number a touched bucket reaches the driver.
         """
         number, parts, cut = self._version()
         now = self._read(parts)
+        delta = delta.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in now.schema.fields))
         if cut != keys:
             return self._commit(number + 1, [self._written(merged(now, delta, keys), keys)], keys)
         coming = f"v-{uuid.uuid4().hex[:12]}"
         delta.select(*now.columns).write.parquet(f"{self.path}/{coming}")
         delta = self.spark.read.schema(now.schema).parquet(f"{self.path}/{coming}")
-        touched = {r[0] for r in delta.select(bucket_of(keys, self.buckets)).distinct().collect()}
+        touched = {r[0] for r in delta.select(bucket_of(delta, keys, self.buckets)).distinct().collect()}
         if touched:
             whole = [p for p in parts if not p[1]]
             old = [(f, [b for b in bs if b in touched], schema) for f, bs, schema in parts if set(bs) & touched]
@@ -170,16 +243,31 @@ class Table:
                 kept.setdefault(folder, set()).update(buckets)
         files, path = self._files()
         names = lambda place: [x.getPath().getName() for x in files.listStatus(path(place))]
-        gone = [f for f in names(self.path) if f.startswith("v-") and f not in kept]
+        gone = [f for f in names(self.path) if f.startswith(("v-", f"{FOLDER}=")) and f not in kept]
         for folder, buckets in kept.items():
             gone += [f"{folder}/{x}" for x in names(f"{self.path}/{folder}") if buckets and x.startswith(f"{BUCKET}=") and int(x.split("=")[1]) not in buckets]
         self._delete(gone + [f"current/{n:08d}" for n in numbers[:-versions]])
         return len(gone)
 
 
-def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
-    """The bucket of a row, by its keys as text, so that types of equal values don't matter."""
-    return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(buckets)).cast("int")
+def _united(schemas: list[str]) -> T.StructType:
+    """The columns of all schemas, in the order of their first coming."""
+    found: dict[str, T.StructField] = {}
+    for x in schemas:
+        for f in T.StructType.fromJson(json.loads(x)).fields:
+            found.setdefault(f.name, f)
+    return T.StructType(list(found.values()))
+
+
+def bucket_of(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> Column:
+    """The bucket of a row of ``df``, by the values of its keys: no setting of a session has a part in it. Callers bring the
+    keys to the table's types first."""
+
+    def value(k: str) -> Column:
+        c = F.col(f"`{k}`")
+        return F.when(c == 0, F.lit(0.0)).otherwise(c) if df.schema[k].dataType.typeName() in ("float", "double") else c
+
+    return F.pmod(F.xxhash64(*(value(k) for k in keys)), F.lit(buckets)).cast("int")
 
 
 def full(table: Table, df: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -224,7 +312,7 @@ def merged(target: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
 
 def drifted(table: Table, df: DataFrame) -> bool:
     """Whether the sets of column names differ; types are not looked at."""
-    return set(table.read().columns) != set(df.columns)
+    return set(table.schema().names) != set(df.columns)
 
 
 def add_column(table: Table, name: str, kind: str) -> DataFrame:
@@ -238,10 +326,10 @@ def add_column(table: Table, name: str, kind: str) -> DataFrame:
 
 
 def append(table: Table, df: DataFrame) -> DataFrame:
-    """All rows of ``df`` beside those of the table, by column name; what is there is not written again."""
+    """All rows of ``df`` beside those of the table, by column name; what is there is not written again, but small folders
+    become one from time to time."""
     if table.exists():
-        now = table.read()
-        df = df.select(*(F.col(f.name).cast(f.dataType) for f in now.schema.fields))
+        df = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema().fields))
     table.write(df, keep=True)
     return table.read()
 
@@ -278,12 +366,26 @@ def above_mark(source: DataFrame, destination: DataFrame, options: dict[str, Any
 
 
 def changed_rows(source: DataFrame, destination: DataFrame, options: dict[str, Any]) -> DataFrame:
-    """Rows whose key is new or whose other columns differ, by a checksum. Null keys are equal to one another."""
-    keys = options["key_columns"]
+    """Rows whose key is new or whose other columns differ, by a checksum. Null keys are equal to one another.
+
+    Rows fall into ``options["buckets"]`` (4096) parts by key. Both sides are first read for a digest of each part, which
+    is combined before it is shuffled; only rows of parts whose digests differ are compared with one another.
+    """
+    keys, n = options["key_columns"], options.get("buckets", 4096)
     rest = [c for c in source.columns if c not in keys]
-    check = F.xxhash64(*(x for c in rest for x in (F.col(c).isNull(), F.col(c).cast("string"))), F.lit(0))
-    known = destination.select(*keys, check.alias("_was")).distinct()
-    return source.join(known, _same(source, known, keys) & (known["_was"] == check), "left_anti")
+    text = lambda cs: [x for c in cs for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))]
+    check, part = F.xxhash64(*text(rest), F.lit(0)), F.pmod(F.xxhash64(*text(keys)), F.lit(n)).cast("int").alias("_part")
+    row = F.xxhash64(*text(keys), check)
+
+    def digests(df: DataFrame) -> DataFrame:
+        return df.groupBy(part).agg(F.struct(F.count(F.lit(1)), F.bit_xor(row), F.sum(F.shiftright(row, 32))).alias("_digest"))
+
+    was = digests(destination).withColumnRenamed("_digest", "_old")
+    # At most n rows.
+    unequal = F.broadcast(digests(source).join(was, "_part", "left").where(~F.col("_digest").eqNullSafe(F.col("_old"))).select("_part"))
+    some = source.withColumn("_part", part).join(unequal, "_part", "left_semi").drop("_part")
+    known = destination.select(*keys, check.alias("_was"), part).join(unequal, "_part", "left_semi").drop("_part").distinct()
+    return some.join(known, _same(some, known, keys) & (known["_was"] == check), "left_anti")
 
 
 def full_scan(source: DataFrame, destination: DataFrame, options: dict[str, Any]) -> DataFrame:
