@@ -154,11 +154,11 @@ class Shard:
         return pd.DataFrame({"h1": h1, "h2": h2, "d": d, "n_leaves": rank[close + 1] - rank[opens], "saved": total[close + 1] - total[opens]})
 
 
-def _sharded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sharded(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     shard = Shard()
     for b in batches:
         for h1, h2, d, own, leaf in zip(b["h1"], b["h2"], b["d"], b["own"], b["leaf"], strict=True):
-            if len(shard.names) >= SHARD:
+            if len(shard.names) >= size:
                 yield shard.rows()
                 shard = Shard()
             shard.add(list(zip(h1.tolist(), h2.tolist(), d.tolist(), strict=True)), own.tolist(), leaf)
@@ -166,13 +166,14 @@ def _sharded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield shard.rows()
 
 
-def subtrees(rows: DataFrame, chains: DataFrame) -> DataFrame:
-    """(h1, h2, d, n_leaves, saved) of each chain's last node: of the chain and all that is below it."""
+def subtrees(rows: DataFrame, chains: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(h1, h2, d, n_leaves, saved) of each chain's last node: of the chain and all that is below it. A shard is cut after
+    ``shard`` entries."""
     ends = chains.select(*KEY, "conv", "own", "leaf")
     entry = F.struct("d", "h1", "h2", F.when(F.col("conv") == F.col("c"), F.col("own")).otherwise(F.lit(0)).alias("own"), "leaf")
     paths = rows.select("c", *KEY).join(ends, KEY).groupBy("c").agg(F.sort_array(F.collect_list(entry)).alias("p"))
     paths = paths.select(*(F.col(f"p.{x}").alias(x) for x in ("h1", "h2", "d", "own")), F.element_at("p.leaf", -1).alias("leaf"), F.arrays_zip("p.h1", "p.h2").alias("by"))
-    shards = paths.repartitionByRange("by").sortWithinPartitions("by").drop("by").mapInPandas(_sharded, "h1 long, h2 long, d long, n_leaves long, saved long")
+    shards = paths.repartitionByRange("by").sortWithinPartitions("by").drop("by").mapInPandas(lambda batches: _sharded(batches, shard), "h1 long, h2 long, d long, n_leaves long, saved long")
     return shards.groupBy(*KEY).agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"))
 
 
@@ -198,7 +199,7 @@ def hashes_of_ends(ends: DataFrame) -> DataFrame:
     return some.repartition(*KEY).sortWithinPartitions(*KEY, "part").select(*KEY, "ids").mapInPandas(_hashed, "h1 long, h2 long, d long, ends_sha256 string")
 
 
-def prefix_trie(conversations: DataFrame) -> DataFrame:
+def prefix_trie(conversations: DataFrame, shard: int = SHARD) -> DataFrame:
     """Per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     path = prefixes(rebuilt(conversations))
     ends = written(path.groupBy("c").agg(F.max_by(F.struct(*KEY), "d").alias("e")).select("c", "e.*"), "ends")
@@ -212,7 +213,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     up = [F.col("p1").alias("h1"), F.col("p2").alias("h2"), (F.col("top") - 1).alias("d")]
     children = chains.where("top > 0").groupBy(*up).agg(F.count(F.lit(1)).alias("n_children"))
     parents = chains.where("top > 0").select(F.col("conv").alias("of"), F.col("n").alias("members"), *up).join(chains.select(*KEY, F.col("conv").alias("parent")), KEY).select("of", "members", "parent")
-    known = chains.join(subtrees(rows, chains), KEY).join(children, KEY, "left").join(parents, (F.col("conv") == F.col("of")) & (F.col("n") == F.col("members")), "left")
+    known = chains.join(subtrees(rows, chains, shard), KEY).join(children, KEY, "left").join(parents, (F.col("conv") == F.col("of")) & (F.col("n") == F.col("members")), "left")
     known = known.select("conv", "n", F.col("d").alias("last"), "top", "before", "parent", "n_leaves", "saved", "n_children")
     inner = F.col("d") < F.col("last")
     whole = nodes.join(known, ["conv", "n"]).join(hashes_of_ends(ends), KEY, "left")
