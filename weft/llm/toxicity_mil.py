@@ -26,9 +26,9 @@ from .common import as_text, bounded_sample, bucket_of_id, from_text, letter_wor
 PER_CLASS, FEATURES = 1500, 2000
 #: A feature counts if so many sampled documents have it and its shares in the classes differ by so many standard errors.
 LEAST_DOCS, LEAST_Z = 6, 4.0
-#: Log-odds of a sentence without evidence. It is not fitted: documents with thousands of plain sentences stay clean, and
-#: toxic documents that the sample can't explain don't raise the score of all others.
-BIAS = -9.0
+#: Log-odds of a sentence without evidence: where the fit of it starts, and how strongly it is held there. Without that, toxic
+#: documents that the sample can't explain would raise it until documents of thousands of plain sentences are no more clean.
+BIAS, HELD = -9.0, 300.0
 #: Words whose weights a Python worker keeps.
 KEPT_WORDS = 200_000
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -108,21 +108,22 @@ def fit(samples: list[tuple[str, int]], steps: int = 250, seed: int = 5) -> Mode
             rows += [len(owner)] * len(own)
             owner.append(i)
     col, row, own = np.array(columns, dtype=np.int64), np.array(rows, dtype=np.int64), np.array(owner, dtype=np.int64)
-    w, bias = np.zeros(len(kept)), BIAS
-    rate, mean, square = 0.1, np.zeros(len(kept)), np.zeros(len(kept))  # Adam
+    w = np.append(np.zeros(len(kept)), BIAS)  # The last weight is the bias.
+    rate, mean, square = 0.1, np.zeros(len(w)), np.zeros(len(w))  # Adam
     # Both classes count alike.
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     for step in range(1, steps + 1):
-        z = np.clip(np.bincount(row, w[col], len(own)) + bias, -30, 30)
+        z = np.clip(np.bincount(row, w[col], len(own)) + w[-1], -30, 30)
         p = 1 / (1 + np.exp(-z))
         none = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
         slope = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * weight
         g = p * slope[own]
         grad = np.bincount(col, g[row], len(w)) + 0.05 * w
+        grad[-1] = g.sum() + HELD * (w[-1] - BIAS)
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
         w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
-    return Model(float(bias), {f: float(w[i]) for f, i in kept.items() if abs(w[i]) > 1e-3})
+    return Model(float(w[-1]), {f: float(w[i]) for f, i in kept.items() if abs(w[i]) > 1e-3})
 
 
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
