@@ -3,10 +3,14 @@ stored histories. With the SQL that says the same."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.operators import aggregates, joins, windowing
+from weft.operators import aggregates, cleaning, joins, windowing
 from weft.sources import tables as sources
 from weft.streaming import loads
 
@@ -187,3 +191,49 @@ def quantile_of_whole_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.functions import maths
 
     return maths.with_statistics(_read(spark, sf_dir, "orders").select("o_orderkey"), middle=maths.median("o_orderkey")).where("o_orderkey <= 3")
+
+
+@_add("""SELECT column_name AS "column", CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS type,
+  CASE data_type WHEN 'VARCHAR' THEN 'String' WHEN 'TIMESTAMP' THEN 'Time' ELSE 'Number' END AS kind, (SELECT count(*) FROM orders) AS rows FROM information_schema.columns WHERE table_name = 'orders'""")
+def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of a table as the catalog lists it, with their kinds and the table's rows."""
+    d, name = _read(spark, sf_dir, "orders"), f"listed_{uuid.uuid4().hex}"
+    d.createTempView(name)
+    try:
+        listed = sources.listing(spark).where(C("table") == name).select("column", "type").distinct()
+        return listed.join(sources.columns(d).select("column", "kind"), "column").crossJoin(F.broadcast(sources.row_count(d)))
+    finally:
+        spark.catalog.dropTempView(name)
+
+
+@_add("""SELECT model, rows FROM (SELECT 'order_lines' AS model, count(DISTINCT l_orderkey) AS rows FROM lineitem UNION ALL SELECT 'order_facts', count(*) FROM orders)""")
+def models_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models that ``facts`` names, with what they need and without what is excluded, and their rows."""
+    graph = catalog_tables._models()
+    names = models.selected(graph, include=["facts"], exclude=["value"])
+    built = models.run({n: graph[n] for n in names}, _given(spark, sf_dir))
+    return reduce(DataFrame.unionByName, [sources.row_count(d).select(F.lit(n).alias("model"), "rows") for n, d in built.items()])
+
+
+@_add("""SELECT guard, (SELECT count(*) FROM orders) AS rows FROM unnest(['aggregate with a window', 'history without keys', 'incremental without its column', 'replacement in numbers', 'unknown join', 'unknown materialization']) t(guard)""")
+def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is refused before a job runs; a guard that lets its case through is missing."""
+    o = _read(spark, sf_dir, "orders")
+    cases = {
+        "unknown join": lambda: joins.join(o, joins.Right(o, "other", "sideways", (("o_orderkey", "EQ", "o_orderkey"),))),
+        "aggregate with a window": lambda: aggregates.grouped(o, ["o_custkey"], {"n": F.sum("o_totalprice").over(Window.partitionBy("o_custkey"))}),
+        "replacement in numbers": lambda: cleaning.find_and_replace(o, ["o_orderkey"], [("DIGITS", "", "x")]),
+        "history without keys": lambda: history.first(o, history.History((), check=("o_totalprice",)), "2024-01-01"),
+        "incremental without its column": lambda: upkeep.Load("INCREMENTAL", strategy="timestamp").checked(),
+        "unknown materialization": lambda: upkeep.Load("HEAP").checked(),
+    }
+
+    def refused(case: Callable[[], object]) -> bool:
+        try:
+            case()
+        except ValueError:
+            return True
+        return False
+
+    rows = [(n,) for n, case in cases.items() if refused(case)]
+    return spark.createDataFrame(rows, "guard string").crossJoin(F.broadcast(sources.row_count(o)))
