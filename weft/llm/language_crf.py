@@ -194,7 +194,9 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 2, steps: i
     for ws, lang in words:
         ids = [seen.setdefault(w, len(seen)) for w in ws]
         cut = steps // 2
-        spans += [(np.array(ids[i : i + cut]), labels.index(lang)) for i in range(0, len(ids) - cut + 1, cut)] or [(np.resize(np.array(ids), cut), labels.index(lang))]
+        # The last span goes back so far that it is full; a shorter text is repeated.
+        starts = [*range(0, len(ids) - cut, cut), max(0, len(ids) - cut)]
+        spans += [(np.resize(np.array(ids[i : i + cut]), cut), labels.index(lang)) for i in starts]
     slots, owners = features(list(seen), model.lexicon)
     order = np.argsort(owners, kind="stable")
     sizes = np.bincount(owners, minlength=len(seen))
@@ -209,9 +211,10 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 2, steps: i
         # Three in four sequences go on with the same language where possible.
         if epoch % 2 == 0:
             order = order[np.argsort(np.array([spans[i][1] for i in order]), kind="stable")]
-            pairs = order[: len(order) // 2 * 2].reshape(-1, 2)[rng.permutation(len(order) // 2)]
-        else:
-            pairs = order[: len(order) // 2 * 2].reshape(-1, 2)
+        # An odd last span is followed by the first.
+        pairs = np.resize(order, len(order) + len(order) % 2).reshape(-1, 2)
+        if epoch % 2 == 0:
+            pairs = pairs[rng.permutation(len(pairs))]
         for i in range(0, len(pairs), batch):
             p = pairs[i : i + batch]
             ids = np.stack([np.concatenate([spans[a][0], spans[b][0]]) for a, b in p])
