@@ -31,14 +31,18 @@ def bucket_of_id(column: Column | str, modulus: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(modulus)
 
 
+#: Classes that a sample has at most.
+CLASSES = 200
+
+
 def bounded_sample(df: DataFrame, key: str, by: str, per_class: int) -> DataFrame:
     """``per_class`` keys of each value of ``by`` (all keys of a smaller class), chosen by a hash of ``key``: one row each.
 
     Rows that share key and class are one (the least of them by the other columns), so the bound holds however often a key
-    is repeated. The class counts cover all rows; ``by`` must have few values.
+    is repeated. The class counts cover all rows; of more than CLASSES values of ``by`` the most frequent ones count.
     """
     keyed = df.where(F.col(key).isNotNull())
-    counts = {r[by]: r["n"] for r in keyed.groupBy(by).agg(F.approx_count_distinct(key, 0.02).alias("n")).collect()}
+    counts = {r[by]: r["n"] for r in keyed.groupBy(by).agg(F.approx_count_distinct(key, 0.02).alias("n")).orderBy(F.desc("n"), by).limit(CLASSES).collect()}
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(by).eqNullSafe(F.lit(value)), F.lit(min(1.0, 1.2 * per_class / n))).otherwise(share)

@@ -187,7 +187,11 @@ def document_payloads(docs: DataFrame) -> DataFrame:
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Every document's payload stored, cited from its page, resolved by digest and described; one row per document."""
+    """Every document's payload stored, cited from its page, resolved by digest and described; one row per document.
+
+    A null text is empty. Equal texts have one payload and equal values; an empty table gives no rows; columns other than
+    doc_id and text are not read.
+    """
     d = document_payloads(docs)
     refs = references(sequences(d.select("doc_id", "html"), "doc_id"), "doc_id")
     out = resolved(refs, media_facts(d.select("digest", "media")))

@@ -294,5 +294,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece of every document with its place; see :func:`token_pieces` and :func:`packed`."""
+    """Every piece of every document with its place; see :func:`token_pieces` and :func:`packed`.
+
+    A null text is empty, so its document is the separator alone. Null and repeated ids keep their rows, each packed by
+    itself; an empty table has no pieces; other columns are not read.
+    """
     return packed(token_pieces(docs, tokenizer_file, capacity), capacity)

@@ -200,7 +200,8 @@ def encoded(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "
     """(key, n_ids, ids, ids_crc32, decoded_sha256, round_trip) of every text; one narrow pass.
 
     A null text is empty and has no ids. ``round_trip``: decoding gives the text back (a text that itself holds the mark
-    U+2581 comes back with spaces there). The model file is read on the driver and travels with the tasks (0.5 MB).
+    U+2581 comes back with spaces there). Repeated keys and rows are rows of their own, equal texts have equal ids, an empty
+    table gives no rows, other columns are not read. The model file is read on the driver and travels with the tasks (0.5 MB).
     """
     spark = docs.sparkSession
     with open(model_file, "rb") as f:
