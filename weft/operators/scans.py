@@ -164,7 +164,7 @@ def distributed(df: DataFrame, columns: list[WindowColumn]) -> DataFrame:
         rows = rows.withColumn("_w_peer", F.max(F.when(new, F.col("_seq"))).over(run)).withColumn("_w_dense", F.count(F.when(new, 1)).over(run)).withColumn("_w_rows", F.count(mine).over(w_all))
     made = {}
     for i, w in enumerate(columns):
-        made[f"_w_r{i}"] = _column(i, w, df, w_seq)
+        made[f"_w_r{i}"] = _column(i, w, df, w_seq, part.orderBy(F.desc("_seq")))
     rows = rows.withColumns(made).where(F.col("_side") == 0)
     out = rows.select(*own, *(F.col(f"_w_r{i}").alias(w.name) for i, w in enumerate(columns)))
     # A frame that ends before the row, or starts after it, and is open at the other side: the running value, shifted.
@@ -241,7 +241,7 @@ def _halo(rows: DataFrame, carry: DataFrame, keys: list[str], before: int, behin
     return met.select(*(F.col(f"n.{c}") for c in rows.columns if c not in ("_cut", "_side")), F.col("t._w_to").alias("_cut"), side.alias("_side")).select(*rows.columns)
 
 
-def _column(i: int, w: WindowColumn, df: DataFrame, w_seq: WindowSpec) -> Column:
+def _column(i: int, w: WindowColumn, df: DataFrame, w_seq: WindowSpec, w_back: WindowSpec) -> Column:
     kind = w.function.upper()
     off = F.coalesce("_w_off", F.lit(0))
     if kind in RANKS:
@@ -260,13 +260,18 @@ def _column(i: int, w: WindowColumn, df: DataFrame, w_seq: WindowSpec) -> Column
     a, b = w.bounds()
     if _late(w):
         a, b = (None, 0) if a is None else (0, None)
-    frame = w_seq.rowsBetween(Window.unboundedPreceding if a is None else a, Window.unboundedFollowing if b is None else b)
+    if a is not None and b is None:
+        # Spark adds up a frame that is open behind anew for every row; seen from the end it only grows.
+        frame = w_back.rowsBetween(Window.unboundedPreceding, -a)
+    else:
+        frame = w_seq.rowsBetween(Window.unboundedPreceding if a is None else a, Window.unboundedFollowing if b is None else b)
     side: Callable[[Column], Column] = lambda x: x
     if a is None:
         side = lambda x: F.when(F.col("_side") >= 0, x)
     if b is None:
         side = (lambda x: F.when(F.col("_side") == 0, x)) if a is None else (lambda x: F.when(F.col("_side") <= 0, x))
-    x = _over(kind, side(c), frame)
+    turned = {"FIRST": "LAST", "LAST": "FIRST"}.get(kind, kind) if a is not None and b is None else kind
+    x = _over(turned, side(c), frame)
     if a is None:
         x = _merge(kind, {k: F.col(f"_w_b{i}{k}") for k in x}, x)
     if b is None:
