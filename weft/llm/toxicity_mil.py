@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_sample, bucket_of_id, from_text, letter_words, text_slices
+from .common import as_text, bounded_sample, bucket_of_id, from_text, letter_words, text_slices, written
 
 #: Labelled documents of each class that the fit takes at most, and features that it keeps.
 PER_CLASS, FEATURES = 1500, 2000
@@ -132,9 +132,10 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     Null labels and null texts teach nothing; of rows that share an id one text counts.
     """
     folds = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (bucket_of_id("k", 5) != 0))
-    # Two ids at most a class and key, and one text each: the rows that reach the driver are bounded.
-    chosen = bounded_sample(folds, "k", "y", per_class)
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(chosen.select("k").distinct(), "k", "left_semi")
+    # At most per_class ids of each of two labels, and one text each: the rows that reach the driver are bounded, and so is the
+    # broadcast of the ids, without which all texts could be shuffled to find these few.
+    chosen = written(bounded_sample(folds, "k", "y", per_class), "labelled")
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen.select("k").distinct()), "k", "left_semi")
     rows = texts.groupBy("k").agg(F.min("t").alias("t")).join(chosen, "k").collect()
     return fit([(r["t"], r["y"]) for r in sorted(rows, key=lambda r: (r["k"], r["y"], r["t"]))])
 
