@@ -387,7 +387,7 @@ def test_pipeline_keeps_clean_documents(spark):
     gone = ids(docs) - ids(clean)
     assert clean.columns == docs.columns and len(gone) > 50
     assert sum(labels.get(i) == 0 for i in gone) <= 0.02 * sum(t == 0 for t in labels.values())
-    assert len(corpus_pipeline.STAGES) == 5 and len(queries.QUERIES) == 10
+    assert len(corpus_pipeline.STAGES) == 5 and len(queries.QUERIES) == 13
 
 
 def test_pipeline_drops_foreign_and_wordless_texts(spark):
