@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from weft.operators import joins, ranges
 
 
@@ -64,3 +66,24 @@ def test_empty_sides(spark, sides, large):
     for x, y in ((a.limit(0), b), (a, b.limit(0))):
         assert joins.join(x, joins.Right(y, "other", "inner", CASES[0])).collect() == []
         assert joins.join(x, joins.Right(y, "other", "full", CASES[0])).count() == x.count() + y.count()
+
+
+def test_copied_rows_are_no_broadcast_and_many_rows_no_nested_loop(spark):
+    """Both sides are small by Spark's estimate: the pairs are still not tested one by one, nor the copies broadcast."""
+    a, b = spark.range(3000).withColumnRenamed("id", "v"), spark.range(2000).select(F.col("id").alias("lo"), (F.col("id") + 2).alias("hi"))
+    for kind, on, n in (("inner", (("v", "GTE", "lo"), ("v", "LTE", "hi")), 6000), ("full", (("v", "LT", "lo"),), 1999 * 2000 // 2 + 1001 + 1)):
+        got = joins.join(a, joins.Right(b, "other", kind, on))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "BroadcastHashJoin" not in plan
+        assert got.count() == n
+
+
+def test_cells_follow_the_width_of_the_bounds(spark):
+    """A row goes to few cells, and a cell of narrow bounds has few values."""
+    v = spark.range(200_000).withColumnRenamed("id", "v")
+    cells = ranges.Cells(ranges.looked_at(v, "v"), ranges._measure({"long"}))
+    spans = cells.copied(cells.spans(spark.range(0, 200_000, 50).select(F.col("id").alias("lo"), (F.col("id") + 9).alias("hi")), F.col("lo"), F.col("hi")))
+    levels = [r[0] for r in spans.select("_level").distinct().collect()]
+    values = cells.values(v, F.col("v"), F.col("v"), levels)
+    assert min(levels) >= 4 and spans.groupBy("lo").count().agg(F.max("count")).first()[0] <= 7
+    assert spans.join(values, ["_level", "_cell", "_part"]).count() < 4 * 10 * 4000
