@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -438,3 +439,14 @@ def test_queries_equal_their_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     assert sorted(columns) == sorted(df.columns)
     assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_a_set_of_a_group_of_near_copies_travels_once():
+    n = 1200
+    marks = bytes(range(128))
+    group = pd.DataFrame({"node": [7] * n, "low": [0] * n, "high": [0] * n, "block": [0] * n, "rep": list(range(n))[::-1], "n": [300] * n, "marks": [marks] * n, "nodes": [[7]] * n})
+    units = pd.concat(list(chosen_path._compare(iter([group]))))
+    members = pd.concat(list(chosen_path._members(iter([units]))))
+    assert len(members) == n and members["rep"].is_unique
+    assert sum(len(a) // 8 for a in units["a"]) == n * (n - 1) // 2
+    assert members.groupby("bundle").size().max() <= min(chosen_path.CHUNK, chosen_path.HELD // 300)

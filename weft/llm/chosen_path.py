@@ -11,7 +11,9 @@ and two levels further down; ten runs miss 3e-6, 1e-4 and 5e-4 of such pairs. Of
 those whose sketches agree at ``FIRST_AGREE`` of the first places and at ``AGREE`` of all (a pair at the threshold fails
 that with probability 2e-7), and compares their whole shingle sets, so links that are found are exact.
 
-Copies (equal sets) are one set for all of this. A pair that meets at several nodes is handled at the least of them.
+Copies (equal sets) are one set for all of this. A pair that meets at several nodes is handled at the least of them. The
+whole sets of a node travel in bundles, so a set is a row once for each of its nodes; the rows of the comparison are pairs of
+bundles. Its pairs within one group of n near copies stay n²/2, as their links are counted one by one.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ BRANCH, DEPTH = 1.6, 3
 BLOCK = 1024
 #: Equal places that a pair's sketches need: 0.8 of 128, less 5.4 standard deviations; of the first places, less 6.
 AGREE, FIRST, FIRST_AGREE = 78, 32, 12
-#: Sets on each side of a unit whose whole shingle sets are compared.
-CHUNK = 256
+#: Sets of a bundle, and shingles unless it is one set; a unit compares the whole shingle sets of two bundles.
+CHUNK, HELD = 512, 1 << 17
 
 
 def runs_for(target: float = TARGET, similarity: float = SIMILARITY, depth: int = DEPTH) -> int:
@@ -116,6 +118,8 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of one node (or of two of its blocks) whose sketches and sizes allow the similarity, as packed ids."""
     out: list[tuple] = []
     for g in _grouped(batches, ["node", "low", "high"]):
+        # The bundles of a block are cut alike in each of its units.
+        g = g.sort_values(["block", "rep"], ignore_index=True)
         node, low, high = (int(g[c].iloc[0]) for c in ("node", "low", "high"))
         block = g["block"].to_numpy()
         left = np.flatnonzero(block == low)
@@ -152,26 +156,41 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 there[members] = True
                 free &= ~(there[x] & there[y])
         x, y = x[free], y[free]
-        # Whole sets are long: a unit has CHUNK of them on each side.
-        chunk = x // CHUNK * len(g) + y // CHUNK
-        for c in np.unique(chunk).tolist():
-            own = chunk == c
-            out.append((f"{node}/{low}/{high}/{c}", reps[x[own]].astype(np.int64).tobytes(), reps[y[own]].astype(np.int64).tobytes()))
+        bundle = np.zeros(len(g), np.int64)
+        for some in (left, right):
+            bundle[some] = _bundles(n[some])
+        pair = bundle[x] * len(g) + bundle[y]
+        for c in np.unique(pair).tolist():
+            own = pair == c
+            out.append((f"{node}/{low}/{c // len(g)}", f"{node}/{high}/{c % len(g)}", reps[x[own]].astype(np.int64).tobytes(), reps[y[own]].astype(np.int64).tobytes()))
         if len(out) >= 200:
-            yield pd.DataFrame(out, columns=["unit", "a", "b"])
+            yield pd.DataFrame(out, columns=UNITS)
             out = []
     if out:
-        yield pd.DataFrame(out, columns=["unit", "a", "b"])
+        yield pd.DataFrame(out, columns=UNITS)
+
+
+UNITS, BUNDLE = ["left", "right", "a", "b"], ["rep", "copies", "members"]
+
+
+def _bundles(n: np.ndarray) -> np.ndarray:
+    """The numbers of the bundles that sets of these sizes go to, in their order."""
+    out, number, sets, held = np.zeros(len(n), np.int64), 0, 0, 0
+    for i, size in enumerate(n.tolist()):
+        if sets and (sets == CHUNK or held + size > HELD):
+            number, sets, held = number + 1, 0, 0
+        out[i], sets, held = number, sets + 1, held + size
+    return out
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        units, reps = [], []
-        for unit, x, y in zip(b["unit"], b["a"], b["b"], strict=True):
-            own = np.unique(np.frombuffer(x + y, np.int64))
-            units += [unit] * len(own)
-            reps.append(own)
-        yield pd.DataFrame({"unit": units, "rep": np.concatenate(reps) if reps else np.zeros(0, np.int64)})
+        held: dict[str, list[np.ndarray]] = {}
+        for left, right, x, y in zip(b["left"], b["right"], b["a"], b["b"], strict=True):
+            for bundle, own in ((left, x), (right, y)):
+                held.setdefault(bundle, []).append(np.unique(np.frombuffer(own, np.int64)))
+        reps = {k: np.unique(np.concatenate(v)) for k, v in held.items()}
+        yield pd.DataFrame({"bundle": np.repeat(list(reps), [len(v) for v in reps.values()]), "rep": np.concatenate([*reps.values(), np.zeros(0, np.int64)])})
 
 
 def _whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,15 +201,14 @@ def _whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each unit: links of each set (weighted by the other's copies) and edges that connect what is linked."""
-    for g in _grouped(batches, ["unit"]):
-        pairs, sets = g[g["rep"].isna()], g[g["rep"].notna()]
-        reps = sets["rep"].to_numpy().astype(np.int64)
-        order = np.argsort(reps)
-        reps, copies = reps[order], sets["copies"].to_numpy()[order].astype(np.int64)
-        members = [np.frombuffer(m, np.uint64) for m in sets["members"].to_numpy()[order]]
+    for u in (row for b in batches for row in b.itertuples()):
+        reps, first = np.unique(np.concatenate([u.l_rep, u.r_rep]).astype(np.int64), return_index=True)
+        copies = np.concatenate([u.l_copies, u.r_copies]).astype(np.int64)[first]
+        sets = [*u.l_members, *u.r_members]
+        members = [np.frombuffer(sets[i], np.uint64) for i in first]
         n = np.array([len(m) for m in members])
-        x = np.searchsorted(reps, np.frombuffer(b"".join(pairs["a"]), np.int64))
-        y = np.searchsorted(reps, np.frombuffer(b"".join(pairs["b"]), np.int64))
+        x = np.searchsorted(reps, np.frombuffer(u.a, np.int64))
+        y = np.searchsorted(reps, np.frombuffer(u.b, np.int64))
         common = np.zeros(len(x), np.int64)
         if len(x) > 4 * len(reps):
             lo, hi = np.minimum(x, y), np.maximum(x, y)
@@ -259,17 +277,20 @@ def joined(docs: DataFrame) -> DataFrame:
     rows = rows.select("rep", "n", "marks", "nodes", F.explode(F.arrays_zip("nodes", "sizes")).alias("z")).select("rep", "n", "marks", "nodes", F.col("z.nodes").alias("node"), F.ceil(F.col("z.sizes") / BLOCK).cast("int").alias("blocks"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n", "marks", "nodes")
-    units = rows.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high").mapInPandas(_compare, "unit string, a binary, b binary")
+    units = rows.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high").mapInPandas(_compare, "left string, right string, a binary, b binary")
     units = written(units, "pairs")
 
-    members = units.mapInPandas(_members, "unit string, rep long")
+    # A set is in one bundle of each of its nodes, however many sets it is compared with there.
+    members = written(units.mapInPandas(_members, "bundle string, rep long").distinct(), "members")
     needed = written(members.select("rep").distinct().join(reps.select("rep", "copies"), "rep"), "needed")
     # The first row of a repeated doc_id whose text is the set's; sizes are known here, so few ids are broadcast.
     texts = text.select(F.col("key").alias("rep"), "text").join(needed.select("rep"), "rep")
     whole = texts.mapInPandas(_whole_sets, "rep long, members binary").dropDuplicates(["rep"]).join(needed, "rep")
-    shipped = members.join(whole, "rep").select("unit", "rep", "copies", "members", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
-    shipped = shipped.unionAll(units.select("unit", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("binary"), "a", "b"))
-    found = written(shipped.repartition("unit").sortWithinPartitions("unit").mapInPandas(_verify, "a long, b long, links long"), "found")
+    sets_of = F.sort_array(F.collect_list(F.struct("rep", "copies", "members"))).alias("s")
+    bundles = written(members.join(whole, "rep").groupBy("bundle").agg(sets_of).select("bundle", *(F.col(f"s.{c}").alias(c) for c in BUNDLE)), "bundles")
+    for side in ("left", "right"):
+        units = units.join(bundles.select(F.col("bundle").alias(side), *(F.col(c).alias(f"{side[0]}_{c}") for c in BUNDLE)), side)
+    found = written(units.mapInPandas(_verify, "a long, b long, links long"), "found")
 
     classes = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
     links = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
