@@ -450,3 +450,14 @@ def test_a_set_of_a_group_of_near_copies_travels_once():
     assert len(members) == n and members["rep"].is_unique
     assert sum(len(a) // 8 for a in units["a"]) == n * (n - 1) // 2
     assert members.groupby("bundle").size().max() <= min(chosen_path.CHUNK, chosen_path.HELD // 300)
+
+
+def test_long_lists_of_siblings_are_aligned_like_short_ones():
+    def page(labels):
+        return ["", 0, 0, [[x, 1, 1, [], 1, 0] for x in labels], 0, 0]
+
+    for n in (50, 600):
+        bs = [f"b{i}" for i in range(n)]
+        got = wrapper.matched(page(["z", *bs]), page([*bs[:41], "z", *bs[41:]]))
+        assert sorted(number for number, *_ in got) == [0, *range(2, n + 2)]
+        assert all(x[0] == y[0] for _, x, y in got)

@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +55,10 @@ HOLDS = 0.85
 SHORT, MORE, HEADLINES = 100, 5, frozenset(["h1", "h2", "h3"])
 #: An element of these is a menu if this share of its text is in links.
 LISTS, LINKED = frozenset("ul ol dl div section table tbody tr td".split()), 0.8
-#: Elements deeper than this count as text of the element above; more child pairs than this are aligned by equal names in order.
-DEPTH, PAIRS = 200, 250_000
+#: Elements deeper than this count as text of the element above.
+DEPTH = 200
+#: Pairs of siblings whose scores are one whole table; of more, some rows of the same table are held, see _Rows.
+PLAIN = 4096
 #: Holding elements down to this depth make the outline of a page.
 OUTLINE = 5
 
@@ -220,74 +224,122 @@ def _fold(a: list, b: list, places: dict[int, list[Node]] | None = None) -> None
         _fold(x, y, places)
 
 
+class _Rows:
+    """Best scores of the first i of one list of siblings with the first j of another, a row for each i. Every so many rows one
+    is held and the rows between are worked out again when they are asked for, so lists of any length are aligned alike and
+    memory grows with their number to the power of 1.5."""
+
+    def __init__(self, own: list[int], other: np.ndarray, of: np.ndarray) -> None:
+        """own: the kind of each sibling of the one list; of: for each kind its scores with the kinds of the other list, which
+        ``other`` names."""
+        self.own, self.other, self.of = own, other, of
+        self.step = max(1, math.isqrt(len(own)))
+        row = np.zeros(len(other) + 1, np.int64)
+        self.held = [row]
+        for i in range(len(own)):
+            row = self._next(row, i)
+            if (i + 1) % self.step == 0:
+                self.held.append(row)
+        self.at, self.rows = -1, [row]
+
+    def _next(self, above: np.ndarray, i: int) -> np.ndarray:
+        row = np.zeros_like(above)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + self.of[self.own[i]][self.other]), out=row[1:])
+        return row
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i // self.step != self.at:
+            self.at = i // self.step
+            self.rows = [self.held[self.at]]
+            for k in range(self.at * self.step, min(len(self.own), (self.at + 1) * self.step - 1)):
+                self.rows.append(self._next(self.rows[-1], k))
+        return self.rows[i % self.step]
+
+
 def matched(a: list, b: list) -> list[tuple[int, list, list]]:
     """Simple tree matching: the pairs (number of a's node in preorder, a's node, b's node) of a largest alignment that
-    keeps order and descent and pairs equal labels only."""
+    keeps order and descent and pairs equal labels only. Lists of siblings of any length are aligned in full."""
+    kinds: dict[tuple, int] = {}
+    kind_of: dict[int, int] = {}
     sizes: dict[int, int] = {}
     scores: dict[tuple[int, int], int] = {}
-    tables: dict[tuple[int, int], list[list[int]]] = {}
-
-    def size(s: list) -> int:
-        if id(s) not in sizes:
-            sizes[id(s)] = 1 + sum(size(c) for c in s[3])
-        return sizes[id(s)]
+    tables: dict[tuple[int, int], _Rows | list[list[int]]] = {}
+
+    def named(s: list) -> None:
+        """Nodes of like structure are one kind: they match alike."""
+        for c in s[3]:
+            named(c)
+        kind_of[id(s)] = kinds.setdefault((s[0], *(kind_of[id(c)] for c in s[3])), len(kinds))
+        sizes[id(s)] = 1 + sum(sizes[id(c)] for c in s[3])
+
+    def aligned(x: list, y: list) -> _Rows | list[list[int]]:
+        key = kind_of[id(x)], kind_of[id(y)]
+        if key in tables:
+            return tables[key]
+        if len(x[3]) * len(y[3]) > PLAIN:
+            (xs, own), (ys, other) = (_distinct(n[3], kind_of) for n in (x, y))
+            tables[key] = _Rows(own, np.array(other), np.array([[score(c, d) for d in ys] for c in xs], np.int64))
+            return tables[key]
+        table = [[0] * (len(y[3]) + 1)]
+        for c in x[3]:
+            row, above = [0], table[-1]
+            for j, d in enumerate(y[3]):
+                row.append(max(above[j + 1], row[j], above[j] + score(c, d)))
+            table.append(row)
+        tables[key] = table
+        return table
 
     def score(x: list, y: list) -> int:
         if x[0] != y[0]:
             return 0
-        key = id(x), id(y)
+        key = kind_of[id(x)], kind_of[id(y)]
         if key not in scores:
-            if not x[3] or not y[3]:
-                scores[key] = 1
-            elif len(x[3]) * len(y[3]) > PAIRS:
-                scores[key] = 1 + sum(score(c, d) for c, d in _in_order(x[3], y[3]))
-            else:
-                table = [[0] * (len(y[3]) + 1)]
-                for c in x[3]:
-                    row, above = [0], table[-1]
-                    for j, d in enumerate(y[3]):
-                        row.append(max(above[j + 1], row[j], above[j] + score(c, d)))
-                    table.append(row)
-                tables[key] = table
-                scores[key] = 1 + table[-1][-1]
+            scores[key] = 1 + (int(aligned(x, y)[len(x[3])][-1]) if x[3] and y[3] else 0)
         return scores[key]
 
     out: list[tuple[int, list, list]] = []
 
     def trace(x: list, y: list, number: int) -> None:
         out.append((number, x, y))
+        if not x[3] or not y[3]:
+            return
         numbers, n = [], number + 1
         for c in x[3]:
             numbers.append(n)
-            n += size(c)
-        table = tables.get((id(x), id(y)))
-        if table is None:
-            where = {id(c): n for c, n in zip(x[3], numbers, strict=True)}
-            for c, d in _in_order(x[3], y[3]) if x[3] and y[3] else ():
-                trace(c, d, where[id(c)])
-            return
+            n += sizes[id(c)]
+        table = aligned(x, y)
         i, j = len(x[3]), len(y[3])
+        row, above = table[i], table[i - 1]
         while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
+            if row[j] != above[j] and row[j] == row[j - 1]:
+                j -= 1
+                continue
+            pair = row[j] != above[j]
+            i -= 1
+            row, above = above, table[i - 1] if i else above
+            if pair:
                 j -= 1
-            else:
-                i, j = i - 1, j - 1
                 trace(x[3][i], y[3][j], numbers[i])
 
+    named(a)
+    named(b)
     if score(a, b):
         trace(a, b, 0)
     return out
 
 
-def _in_order(xs: list, ys: list) -> Iterator[tuple[list, list]]:
-    j = 0
-    for x in xs:
-        k = next((k for k in range(j, min(len(ys), j + 64)) if ys[k][0] == x[0]), None)
-        if k is not None:
-            yield x, ys[k]
-            j = k + 1
+def _distinct(nodes: list[list], kind_of: dict[int, int]) -> tuple[list[list], list[int]]:
+    """A node of each kind, and for each node which of them is like it."""
+    first: dict[int, int] = {}
+    some: list[list] = []
+    which = []
+    for n in nodes:
+        k = kind_of[id(n)]
+        if k not in first:
+            first[k] = len(some)
+            some.append(n)
+        which.append(first[k])
+    return some, which
 
 
 Votes = tuple[int, int, int, int, int]
