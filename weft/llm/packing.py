@@ -96,10 +96,10 @@ class WordTokenizer:
             self.known.clear()
         plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
         split = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = list({w for ws in split for w in ws} - self.known.keys())
+        new = list(set().union(*split) - self.known.keys())
         parts = [_SPLIT.findall(w) for w in new]
         self.words = {}
-        self.learn(list({w for ws in parts for w in ws}))
+        self.learn(list(set().union(*parts)))
         own = self.words.__getitem__
         self.known.update((w, b"".join(map(own, ws))) for w, ws in zip(new, parts, strict=True))
         get = self.known.__getitem__
