@@ -88,3 +88,17 @@ def test_odd_rows(spark, df, cut):
     assert tuple(run)[-4:] == tuple(df.agg(F.sum("v"), F.avg("v"), F.min("v"), F.max("v")).first())
     with pytest.raises(ValueError, match="unknown running"):
         windowing.running("x", "CUMPRODUCT", "v", order)
+
+
+def written_columns(monkeypatch):
+    found, kept = [], scans.kept
+    monkeypatch.setattr(scans, "kept", lambda d: found.append([c for c in d.columns if c.startswith("_w_")]) or kept(d))
+    return found
+
+
+def test_hot_keys_write_a_value_once_and_no_order(spark, df, cut, monkeypatch):
+    order, more, found = (("t", "asc"), ("id", "asc")), F.col("v") + 1, written_columns(monkeypatch)
+    columns = [W("row", "ROW_NUMBER", ("k",), order, split=True), W("near", "SUM", ("k",), order, more, preceding=3, following=2, split=True), W("run", "SUM", ("k",), order, more, preceding="unbounded", following=0, split=True), W("first", "FIRST", ("k",), order, "s", split=True)]
+    columns += [W(f"c{a}", "COUNT", ("k",), order, "v", preceding=a, split=True) for a in (0, 2, -2, 400)]
+    same(df, columns)
+    assert next(c for c in found if c) == ["_w_c1"] and not any(c in ("_w_o0", "_w_fo", "_w_d") for cs in found for c in cs)

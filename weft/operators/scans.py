@@ -10,7 +10,8 @@ from two small tables:
   number of rows and keys: they are broadcast.
 * halos: the rows next to a boundary that bounded frames, LAG and LEAD look at, copied to the cuts that need them.
 
-Cost: two shuffles of the rows and one write, no sort beyond a cut. A frame longer than a cut copies rows to several cuts,
+Cost: two shuffles of the rows and one write, no sort beyond a cut. Functions' values are made where the rows are written,
+each expression once; only ranks with peers hold the order and count equal ones; carries are joined after the windows. A frame longer than a cut copies rows to several cuts,
 so cuts should be longer than the longest bounded frame. A plan with a shuffle is written before it is cut, since rows of
 a repeated task could come in another order.
 """
@@ -34,7 +35,8 @@ if TYPE_CHECKING:
 
 #: Bits of ``_seq`` below those of the cut, as Spark numbers rows.
 _BITS = 33
-RANKS, SHIFTS = ("ROW_NUMBER", "RANK", "DENSE_RANK", "PERCENT_RANK"), ("LAG", "LEAD")
+PEERS, SHIFTS = ("RANK", "DENSE_RANK", "PERCENT_RANK"), ("LAG", "LEAD")
+RANKS = ("ROW_NUMBER", *PEERS)
 _VARIANCES = {"STDDEV": True, "STD": True, "VARIANCE": False, "VAR": False}
 Parts = dict[str, Column]
 
@@ -119,14 +121,33 @@ def _same(names: list[str], a: str, b: str) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names], F.lit(True))
 
 
-def ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """``df`` written in the order of keys, ``order`` and content, with ``_seq``, the place of a row in its cut and the cut."""
+def _values(df: DataFrame, columns: list[WindowColumn]) -> tuple[list[str], Parts]:
+    """For each window column the column that holds its function's value (ranks: none), and those of them to be made, each
+    expression once."""
+    at: list[str] = []
+    made: Parts = {}
+    seen: dict[int, str] = {}
+    for i, w in enumerate(columns):
+        name = w.value_name(df)
+        if w.function.upper() in RANKS:
+            at.append("")
+        elif name in df.columns and "." not in name:
+            at.append(name)
+        else:
+            at.append(seen.setdefault(id(w.c), f"_w_c{i}") if name is None else f"_w_c{i}")
+            made[at[-1]] = w.value(df)
+    return at, made
+
+
+def ranged(df: DataFrame, keys: list[str], order: list[Column], values: Parts | None = None) -> DataFrame:
+    """``df`` written in the order of keys, ``order`` and content, with ``_seq``, the place of a row in its cut, the cut, and
+    ``values``, which are computed where the rows are written and not shuffled."""
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         df = kept(df)
     tied = [f.name for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
     by = [*(F.col(k).asc() for k in keys), *order, F.xxhash64(*tied).asc(), F.col("_id").asc()]
     df = df.withColumn("_id", F.monotonically_increasing_id())
-    return kept(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_seq", F.monotonically_increasing_id()).drop("_id")).withColumn("_cut", F.shiftright("_seq", _BITS).cast("int"))
+    return kept(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_seq", F.monotonically_increasing_id()).withColumns(values or {}).drop("_id")).withColumn("_cut", F.shiftright("_seq", _BITS).cast("int"))
 
 
 def distributed(df: DataFrame, columns: list[WindowColumn]) -> DataFrame:
@@ -138,35 +159,36 @@ def distributed(df: DataFrame, columns: list[WindowColumn]) -> DataFrame:
     """
     keys, order = list(columns[0].partition), order_keys(list(columns[0].order))
     own = [c for c in df.columns if c not in {w.name for w in columns}]
-    values = {f"_w_c{i}": w.value(df) for i, w in enumerate(columns) if w.function.upper() not in RANKS}
-    ordered = {f"_w_o{i}": F.col(c) for i, (c, _) in enumerate(columns[0].order)} if any(w.function.upper() in RANKS for w in columns) else {}
-    rows = ranged(df.withColumns(values | ordered), keys, order)
-    cuts = (rows.agg(F.max("_cut")).first()[0] or 0) + 1
-    summary = _summary(rows, keys, list(columns), list(ordered))
+    at, values = _values(df, columns)
+    # Only these look at equal orders: for them the order is held, and the peers of each cut are counted.
+    ordered = {f"_w_o{i}": F.col(c) for i, (c, _) in enumerate(columns[0].order)} if any(w.function.upper() in PEERS for w in columns) else {}
+    rows = ranged(df, keys, order, values | ordered)
+    summary, cuts = _summary(rows, keys, list(columns), at, list(ordered))
     carry = kept(_carried(summary, keys, list(columns), bool(ordered)))
     before, behind = max([0, *(w.reach(df)[0] for w in columns)]), max([0, *(w.reach(df)[1] for w in columns)])
     rows = rows.withColumn("_side", F.lit(0))
     if before or behind:
         rows = rows.unionByName(_halo(rows, carry, keys, before, behind))
     rows = rows.withColumn("_slot", _slots(df, cuts)).repartition(cuts, "_slot")
-    joined = rows.alias("r").join(F.broadcast(carry).alias("s"), (F.col("r._cut") == F.col("s._cut")) & _same(keys, "r", "s"), "left")
-    carried = [c for c in carry.columns if c not in (*keys, "_cut")]
-    rows = joined.select("r.*", *(F.col(f"s.{c}").alias(c) for c in carried))
 
     part = Window.partitionBy("_slot", *keys)
     w_all, w_seq = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), part.orderBy("_seq")
+    run, mine = w_seq.rowsBetween(Window.unboundedPreceding, 0), F.when(F.col("_side") == 0, F.col("_seq"))
     if ordered:
-        mine = F.when(F.col("_side") == 0, F.col("_seq"))
         rows = rows.withColumn("_w_first", F.min(mine).over(w_all)).withColumn("_w_o", F.struct(*ordered))
         rows = rows.withColumn("_w_new", (F.col("_seq") == F.col("_w_first")) | ~F.lag("_w_o").over(w_seq).eqNullSafe(F.col("_w_o")))
         new = (F.col("_side") == 0) & F.col("_w_new")
-        run = w_seq.rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn("_w_peer", F.max(F.when(new, F.col("_seq"))).over(run)).withColumn("_w_dense", F.count(F.when(new, 1)).over(run)).withColumn("_w_rows", F.count(mine).over(w_all))
-    made = {}
+    within: Parts = {"_w_place": F.count(mine).over(run)} if any(w.function.upper() == "ROW_NUMBER" for w in columns) else {}
     for i, w in enumerate(columns):
-        made[f"_w_r{i}"] = _column(i, w, df, w_seq, part.orderBy(F.desc("_seq")))
-    rows = rows.withColumns(made).where(F.col("_side") == 0)
-    out = rows.select(*own, *(F.col(f"_w_r{i}").alias(w.name) for i, w in enumerate(columns)))
+        if w.function.upper() not in RANKS:
+            within |= {f"_w_v{i}{k}": x for k, x in _within(w, F.col(at[i]), w_seq, part.orderBy(F.desc("_seq"))).items()}
+    # The carries come after the windows, so these sort and hold the rows alone.
+    rows = rows.withColumns(within).where(F.col("_side") == 0)
+    joined = rows.alias("r").join(F.broadcast(carry).alias("s"), (F.col("r._cut") == F.col("s._cut")) & _same(keys, "r", "s"), "left")
+    carried = [c for c in carry.columns if c not in (*keys, "_cut")]
+    rows = joined.select("r.*", *(F.col(f"s.{c}").alias(c) for c in carried))
+    out = rows.select(*own, *(_column(i, w, df, rows.columns).alias(w.name) for i, w in enumerate(columns)))
     # A frame that ends before the row, or starts after it, and is open at the other side: the running value, shifted.
     for w in filter(_late, columns):
         out = _shifted(out, w)
@@ -186,23 +208,25 @@ def _shifted(df: DataFrame, w: WindowColumn) -> DataFrame:
     return out.withColumn(w.name, c).drop("_w_shifted")
 
 
-def _summary(rows: DataFrame, keys: list[str], columns: list[WindowColumn], ordered: list[str]) -> DataFrame:
-    """A row for each cut of each key that has several: rows, first place, first and last order, partial aggregates."""
-    some = rows
+def _summary(rows: DataFrame, keys: list[str], columns: list[WindowColumn], at: list[str], ordered: list[str]) -> tuple[DataFrame, int]:
+    """A row for each cut of each key that has several: rows, first place, first and last order, partial aggregates. And the
+    number of cuts."""
+    some, ends = rows, None
     if keys:
-        ends = rows.groupBy("_cut").agg(F.min(F.struct(*keys)).alias("a"), F.max(F.struct(*keys)).alias("b"))
+        ends = kept(rows.groupBy("_cut").agg(F.min(F.struct(*keys)).alias("a"), F.max(F.struct(*keys)).alias("b")))
         split = ends.select("_cut", F.explode(F.array_distinct(F.array("a", "b"))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k.*")
         some = rows.alias("r").join(F.broadcast(kept(split)).alias("s"), _same(keys, "r", "s"), "left_semi").select("r.*")
     parts: Parts = {"_w_n": F.count(F.lit(1)), "_w_first": F.min("_seq")}
     for i, w in enumerate(columns):
         if w.function.upper() not in (*RANKS, *SHIFTS):
-            parts |= {f"_w_p{i}{k}": c for k, c in _parts(w.function.upper(), F.col(f"_w_c{i}")).items()}
+            parts |= {f"_w_p{i}{k}": c for k, c in _parts(w.function.upper(), F.col(at[i])).items()}
     out = some.groupBy("_cut", *keys).agg(*(c.alias(k) for k, c in parts.items()))
     if ordered:
         peers = some.groupBy("_cut", *keys, F.struct(*ordered).alias("_w_o")).agg(F.min("_seq").alias("_w_s"))
-        ends = peers.groupBy("_cut", *keys).agg(F.count(F.lit(1)).alias("_w_d"), F.max("_w_s").alias("_w_ls"), F.min_by("_w_o", "_w_s").alias("_w_fo"), F.max_by("_w_o", "_w_s").alias("_w_lo"))
-        out = out.alias("r").join(ends.alias("s"), (F.col("r._cut") == F.col("s._cut")) & _same(keys, "r", "s")).select("r.*", "s._w_d", "s._w_ls", "s._w_fo", "s._w_lo")
-    return kept(out)
+        sides = peers.groupBy("_cut", *keys).agg(F.count(F.lit(1)).alias("_w_d"), F.max("_w_s").alias("_w_ls"), F.min_by("_w_o", "_w_s").alias("_w_fo"), F.max_by("_w_o", "_w_s").alias("_w_lo"))
+        out = out.alias("r").join(sides.alias("s"), (F.col("r._cut") == F.col("s._cut")) & _same(keys, "r", "s")).select("r.*", "s._w_d", "s._w_ls", "s._w_fo", "s._w_lo")
+    out = kept(out)
+    return out, ((out if ends is None else ends).agg(F.max("_cut")).first()[0] or 0) + 1
 
 
 def _carried(summary: DataFrame, keys: list[str], columns: list[WindowColumn], ordered: bool) -> DataFrame:
@@ -241,37 +265,47 @@ def _halo(rows: DataFrame, carry: DataFrame, keys: list[str], before: int, behin
     return met.select(*(F.col(f"n.{c}") for c in rows.columns if c not in ("_cut", "_side")), F.col("t._w_to").alias("_cut"), side.alias("_side")).select(*rows.columns)
 
 
-def _column(i: int, w: WindowColumn, df: DataFrame, w_seq: WindowSpec, w_back: WindowSpec) -> Column:
+def _frame(w: WindowColumn) -> tuple[int | None, int | None]:
+    a, b = w.bounds()
+    return ((None, 0) if a is None else (0, None)) if _late(w) else (a, b)
+
+
+def _within(w: WindowColumn, c: Column, w_seq: WindowSpec, w_back: WindowSpec) -> Parts:
+    """The parts of a function over the rows of a cut and its halos; an open side ends at the cut."""
+    kind = w.function.upper()
+    if kind in SHIFTS:
+        return {"x": (F.lag if kind == "LAG" else F.lead)(c, w.offset).over(w_seq)}
+    a, b = _frame(w)
+    if a is None:
+        c = F.when(F.col("_side") == 0 if b is None else F.col("_side") >= 0, c)
+    elif b is None:
+        c = F.when(F.col("_side") <= 0, c)
+        if kind == "COUNT":
+            # All but those before: no second sort.
+            return {"n": F.count(c).over(w_seq.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.count(c).over(w_seq.rowsBetween(Window.unboundedPreceding, a - 1))}
+        # Spark adds up a frame that is open behind anew for every row; seen from the end it only grows.
+        return _over({"FIRST": "LAST", "LAST": "FIRST"}.get(kind, kind), c, w_back.rowsBetween(Window.unboundedPreceding, -a))
+    return _over(kind, c, w_seq.rowsBetween(Window.unboundedPreceding if a is None else a, Window.unboundedFollowing if b is None else b))
+
+
+def _column(i: int, w: WindowColumn, df: DataFrame, names: list[str]) -> Column:
+    """The function's value from its parts within the cut and those carried from the others."""
     kind = w.function.upper()
     off = F.coalesce("_w_off", F.lit(0))
-    if kind in RANKS:
-        place = lambda s: off + F.col(s) - F.col("_w_first") + 1
-        rank = F.when(F.col("_w_pp").isNotNull() & (F.col("_w_peer") == F.col("_w_first")), F.col("_w_pp")).otherwise(place("_w_peer"))
+    if kind == "ROW_NUMBER":
+        return off + F.col("_w_place")
+    if kind in PEERS:
+        rank = F.when(F.col("_w_pp").isNotNull() & (F.col("_w_peer") == F.col("_w_first")), F.col("_w_pp")).otherwise(off + F.col("_w_peer") - F.col("_w_first") + 1)
         n = F.coalesce("_w_all", "_w_rows")
         return {
-            "ROW_NUMBER": lambda: place("_seq"),
             "RANK": lambda: rank,
             "DENSE_RANK": lambda: F.coalesce("_w_db", F.lit(0)) + F.col("_w_dense"),
             "PERCENT_RANK": lambda: F.when(n > 1, (rank - 1) / (n - 1).cast("double")).otherwise(0.0),
         }[kind]()
-    c = F.col(f"_w_c{i}")
     if kind in SHIFTS:
-        return (F.lag if kind == "LAG" else F.lead)(c, w.offset).over(w_seq)
-    a, b = w.bounds()
-    if _late(w):
-        a, b = (None, 0) if a is None else (0, None)
-    if a is not None and b is None:
-        # Spark adds up a frame that is open behind anew for every row; seen from the end it only grows.
-        frame = w_back.rowsBetween(Window.unboundedPreceding, -a)
-    else:
-        frame = w_seq.rowsBetween(Window.unboundedPreceding if a is None else a, Window.unboundedFollowing if b is None else b)
-    side: Callable[[Column], Column] = lambda x: x
-    if a is None:
-        side = lambda x: F.when(F.col("_side") >= 0, x)
-    if b is None:
-        side = (lambda x: F.when(F.col("_side") == 0, x)) if a is None else (lambda x: F.when(F.col("_side") <= 0, x))
-    turned = {"FIRST": "LAST", "LAST": "FIRST"}.get(kind, kind) if a is not None and b is None else kind
-    x = _over(turned, side(c), frame)
+        return F.col(f"_w_v{i}x")
+    a, b = _frame(w)
+    x = {k: F.col(f"_w_v{i}{k}") for k in "xnav" if f"_w_v{i}{k}" in names}
     if a is None:
         x = _merge(kind, {k: F.col(f"_w_b{i}{k}") for k in x}, x)
     if b is None:

@@ -50,11 +50,15 @@ class WindowColumn:
     def distributed(self) -> bool:
         return self.split or not (self.partition or self.whole_table)
 
-    def value(self, df: DataFrame) -> Column:
-        """The column that the function is of: for LAG and LEAD the first order column, for COUNT the table's first, if none
-        is given."""
+    def value_name(self, df: DataFrame) -> str | None:
+        """The name of the column that the function is of: for LAG and LEAD the first order column, for COUNT the table's
+        first, if none is given. None for an expression."""
         c = self.c if self.c is not None else self.order[0][0] if self.function.upper() in _SHIFTS else df.columns[0]
-        return F.col(c) if isinstance(c, str) else c
+        return c if isinstance(c, str) else None
+
+    def value(self, df: DataFrame) -> Column:
+        name = self.value_name(df)
+        return self.c if name is None else F.col(name)
 
     def bounds(self) -> tuple[int | None, int | None]:
         """First and last row of the frame, from the row itself; None: no bound."""
