@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from dataclasses import replace
 
 import pytest
@@ -102,3 +103,12 @@ def test_hot_keys_write_a_value_once_and_no_order(spark, df, cut, monkeypatch):
     columns += [W(f"c{a}", "COUNT", ("k",), order, "v", preceding=a, split=True) for a in (0, 2, -2, 400)]
     same(df, columns)
     assert next(c for c in found if c) == ["_w_c1"] and not any(c in ("_w_o0", "_w_fo", "_w_d") for cs in found for c in cs)
+
+
+def test_whole_tables_take_one_window_before_the_carries(spark, df, cut, monkeypatch):
+    order, found = (("t", "desc"), ("id", "asc")), written_columns(monkeypatch)
+    columns = [W("row", "ROW_NUMBER", (), order), W("back", "LAG", (), order, "v", 3), W("run", "SUM", (), order, "v", preceding="unbounded", following=0), W("near", "AVG", (), order, "v", preceding=9, following=2), W("ahead", "COUNT", (), order, "s", preceding=0)]
+    same(df, columns)
+    plan = windowing.with_windows(df, columns)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bWindow \[", plan)) == 1 and plan.index("BroadcastHashJoin") < plan.index("Window [")
+    assert not any(c in ("_w_c3", "_w_o0", "_w_fo", "_w_d") for cs in found for c in cs)
