@@ -112,3 +112,32 @@ def test_whole_tables_take_one_window_before_the_carries(spark, df, cut, monkeyp
     plan = windowing.with_windows(df, columns)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bWindow \[", plan)) == 1 and plan.index("BroadcastHashJoin") < plan.index("Window [")
     assert not any(c in ("_w_c3", "_w_o0", "_w_fo", "_w_d") for cs in found for c in cs)
+
+
+def plan_of(df, columns):
+    return windowing.with_windows(df, columns)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("part", [(), ("k",)])
+def test_long_frames_are_not_added_up_anew(spark, df, cut, part):
+    order, df = (("id", "asc"),), df.withColumn("small", F.col("v").cast("short")).withColumn("holes", F.when(F.col("id") % 100 == 0, F.col("v")))
+    made = [("AVG", "v", 100, 20), ("SUM", "d", 60, -40), ("SUM", "small", -30, 70), ("AVG", "holes", 20, 0), ("COUNT", "s", 2000, 2000), ("SUM", "holes", 0, 300), ("AVG", "d", 400, 1)]
+    columns = [W(f"o{i}", kind, part, order, c, preceding=a, following=b, split=True) for i, (kind, c, a, b) in enumerate(made)]
+    same(df, columns)
+    assert not re.search(r"(sum|count)\([^)]*\) windowspecdefinition\([^)]*frame\(RowFrame, (-?\d|currentrow)", plan_of(df, columns))
+
+
+def test_sums_that_may_not_fit_stay_frames(spark, df, cut):
+    order, df = (("id", "asc"),), df.withColumn("wide", F.when(F.col("id") % 40 == 0, F.lit(2**62)).otherwise(F.lit(-3)))
+    columns = [W("far", "SUM", (), order, "wide", preceding=20, following=0), W("real", "SUM", (), order, "x", preceding=20, following=0)]
+    same(df, columns)
+    assert len(re.findall(r"sum\([^)]*\) windowspecdefinition\([^)]*frame\(RowFrame, -20", plan_of(df, columns))) == 2
+
+
+def test_totals_of_the_whole_table_come_from_the_scan(spark, df, cut, monkeypatch):
+    order, found = (("t", "desc"), ("id", "asc")), written_columns(monkeypatch)
+    columns = [W("row", "ROW_NUMBER", (), order), W("first", "FIRST", (), order, "s"), W("n", "COUNT", c="v"), W("most", "MAX", c="d"), W("spread", "STDDEV", c="x")]
+    same(df, columns)
+    assert any("_w_t4v" in cs for cs in found)
+    plan = plan_of(df, columns)
+    assert len(re.findall(r"\bWindow \[", plan)) == 1 and "Aggregate" not in plan and "max(" not in plan

@@ -11,8 +11,10 @@ from two small tables:
 * halos: the rows next to a boundary that bounded frames, LAG and LEAD look at, copied to the cuts that need them.
 
 Cost: two shuffles of the rows and one write, no sort beyond a cut. Functions' values are made where the rows are written,
-each expression once; only ranks with peers hold the order and count equal ones; carries are joined after the windows. A frame longer than a cut copies rows to several cuts,
-so cuts should be longer than the longest bounded frame. A plan with a shuffle is written before it is cut, since rows of
+each expression once; only ranks with peers hold the order and count equal ones; carries are joined after the windows. Spark
+adds up a bounded frame anew for every row; long ones of counts and of exact sums are differences of two running values, so
+they cost the same at any length. A frame longer than a cut copies rows to several cuts, so cuts should be longer than the
+longest bounded frame. A plan with a shuffle is written before it is cut, since rows of
 a repeated task could come in another order.
 """
 
@@ -23,8 +25,9 @@ from collections.abc import Callable
 from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.shared import kept
 
@@ -35,6 +38,8 @@ if TYPE_CHECKING:
 
 #: Bits of ``_seq`` below those of the cut, as Spark numbers rows.
 _BITS = 33
+#: A bounded frame of more rows is taken from running values, where these are exact.
+_LONG = 16
 PEERS, SHIFTS = ("RANK", "DENSE_RANK", "PERCENT_RANK"), ("LAG", "LEAD")
 RANKS = ("ROW_NUMBER", *PEERS)
 _VARIANCES = {"STDDEV": True, "STD": True, "VARIANCE": False, "VAR": False}
@@ -163,12 +168,20 @@ def distributed(df: DataFrame, columns: list[WindowColumn]) -> DataFrame:
     # Only these look at equal orders: for them the order is held, and the peers of each cut are counted.
     ordered = {f"_w_o{i}": F.col(c) for i, (c, _) in enumerate(columns[0].order)} if any(w.function.upper() in PEERS for w in columns) else {}
     rows = ranged(df, keys, order, values | ordered)
-    summary, cuts = _summary(rows, keys, list(columns), at, list(ordered))
-    carry = kept(_carried(summary, keys, list(columns), bool(ordered)))
     before, behind = max([0, *(w.reach(df)[0] for w in columns)]), max([0, *(w.reach(df)[1] for w in columns)])
+    exact = {i: t for i, w in enumerate(columns) if _long(w) and (t := _exact(w, rows.schema[at[i]].dataType))}
+    bounded = sorted({at[i] for i, t in exact.items() if columns[i].function.upper() != "COUNT" and t == T.LongType()})
+    summary, facts = _summary(rows, keys, list(columns), at, list(ordered), bounded)
+    cuts = (facts["_cut"] or 0) + 1
+    # A running sum of a cut and its halos must fit, or the frames are added up as Spark does.
+    most = {c: max(abs(facts[f"_w_min{j}"] or 0), abs(facts[f"_w_max{j}"] or 0)) * ((facts["_w_n"] or 0) + before + behind) for j, c in enumerate(bounded)}
+    exact = {i: t for i, t in exact.items() if columns[i].function.upper() == "COUNT" or most.get(at[i], 0) < 2**63}
+    carry = kept(_carried(summary, keys, list(columns), bool(ordered)))
     rows = rows.withColumn("_side", F.lit(0))
     if before or behind:
-        rows = rows.unionByName(_halo(rows, carry, keys, before, behind))
+        # Only what functions look at beyond a boundary is read again and copied.
+        looked = {*keys, *ordered, "_seq", "_cut", "_side", *(c for w, c in zip(columns, at, strict=True) if any(w.reach(df)))}
+        rows = rows.unionByName(_halo(rows.select(*(F.col(f"`{c}`") for c in rows.columns if c in looked)), carry, keys, before, behind), allowMissingColumns=True)
     rows = rows.withColumn("_slot", _slots(df, cuts)).repartition(cuts, "_slot")
 
     part = Window.partitionBy("_slot", *keys)
@@ -180,15 +193,19 @@ def distributed(df: DataFrame, columns: list[WindowColumn]) -> DataFrame:
         new = (F.col("_side") == 0) & F.col("_w_new")
         rows = rows.withColumn("_w_peer", F.max(F.when(new, F.col("_seq"))).over(run)).withColumn("_w_dense", F.count(F.when(new, 1)).over(run)).withColumn("_w_rows", F.count(mine).over(w_all))
     within: Parts = {"_w_place": F.count(mine).over(run)} if any(w.function.upper() == "ROW_NUMBER" for w in columns) else {}
+    for i, t in exact.items():
+        rows = rows.withColumns(_running(i, columns[i], F.col(at[i]), t, w_seq))
     for i, w in enumerate(columns):
-        if w.function.upper() not in RANKS:
+        if i in exact:
+            within |= {f"_w_v{i}{k}": x for k, x in _difference(i, w, exact[i], w_seq).items()}
+        elif w.function.upper() not in RANKS and not _total(w, keys):
             within |= {f"_w_v{i}{k}": x for k, x in _within(w, F.col(at[i]), w_seq, part.orderBy(F.desc("_seq"))).items()}
     # The carries come after the windows, so these sort and hold the rows alone.
     rows = rows.withColumns(within).where(F.col("_side") == 0)
     joined = rows.alias("r").join(F.broadcast(carry).alias("s"), (F.col("r._cut") == F.col("s._cut")) & _same(keys, "r", "s"), "left")
     carried = [c for c in carry.columns if c not in (*keys, "_cut")]
     rows = joined.select("r.*", *(F.col(f"s.{c}").alias(c) for c in carried))
-    out = rows.select(*own, *(_column(i, w, df, rows.columns).alias(w.name) for i, w in enumerate(columns)))
+    out = rows.select(*own, *(_column(i, w, df, rows.columns, i in exact).alias(w.name) for i, w in enumerate(columns)))
     # A frame that ends before the row, or starts after it, and is open at the other side: the running value, shifted.
     for w in filter(_late, columns):
         out = _shifted(out, w)
@@ -208,17 +225,61 @@ def _shifted(df: DataFrame, w: WindowColumn) -> DataFrame:
     return out.withColumn(w.name, c).drop("_w_shifted")
 
 
-def _summary(rows: DataFrame, keys: list[str], columns: list[WindowColumn], at: list[str], ordered: list[str]) -> tuple[DataFrame, int]:
+def _open(w: WindowColumn) -> bool:
+    """Whether the frame may hold rows of any other cut."""
+    return w.function.upper() not in (*RANKS, *SHIFTS) and None in w.bounds()
+
+
+def _long(w: WindowColumn) -> bool:
+    a, b = w.bounds()
+    return w.function.upper() in ("COUNT", "SUM", "AVG") and a is not None and b is not None and b - a >= _LONG
+
+
+def _total(w: WindowColumn, keys: list[str]) -> bool:
+    """Whether all rows of the table have one value, which the carries hold."""
+    return not keys and _open(w) and w.bounds() == (None, None)
+
+
+def _exact(w: WindowColumn, t: T.DataType) -> T.DataType | None:
+    """The type in which values of type ``t`` are counted or added up without rounding, if there is one."""
+    if w.function.upper() == "COUNT" or isinstance(t, T.IntegralType):
+        return T.LongType()
+    # A cut has less than 10**10 rows, and the difference of two sums takes one digit more.
+    return T.DecimalType(t.precision + 10, t.scale) if isinstance(t, T.DecimalType) and t.precision <= 27 else None
+
+
+def _running(i: int, w: WindowColumn, c: Column, t: T.DataType, w_seq: WindowSpec) -> Parts:
+    """Count and sum from the first row of a cut and its halos to this one, and over all of them."""
+    spans = {"r": w_seq.rowsBetween(Window.unboundedPreceding, 0), "e": w_seq.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)}
+    out = {f"_w_{s}{i}n": F.count(c).over(x) for s, x in spans.items()}
+    return out if w.function.upper() == "COUNT" else out | {f"_w_{s}{i}x": F.coalesce(F.sum(c).over(x), F.lit(0).cast(t)) for s, x in spans.items()}
+
+
+def _difference(i: int, w: WindowColumn, t: T.DataType, w_seq: WindowSpec) -> Parts:
+    """The parts over a bounded frame: the running value at its last row less that before its first."""
+    a, b = w.bounds()
+
+    def run(k: str, n: int) -> Column:
+        c = F.col(f"_w_r{i}{k}")
+        if n > 0:
+            return F.coalesce(F.lead(c, n).over(w_seq), F.col(f"_w_e{i}{k}"))
+        return F.coalesce(F.lag(c, -n).over(w_seq), F.lit(0).cast(t if k == "x" else "long")) if n else c
+
+    return {k: (run(k, b) - run(k, a - 1)).cast(t if k == "x" else "long") for k in ("n" if w.function.upper() == "COUNT" else "nx")}
+
+
+def _summary(rows: DataFrame, keys: list[str], columns: list[WindowColumn], at: list[str], ordered: list[str], bounded: list[str]) -> tuple[DataFrame, Row]:
     """A row for each cut of each key that has several: rows, first place, first and last order, partial aggregates. And the
-    number of cuts."""
+    last cut, the most rows of a cut, and the bounds of some columns."""
     some, ends = rows, None
+    bounds = {f"_w_{f}{j}": getattr(F, f)(F.col(c).cast("long")) for j, c in enumerate(bounded) for f in ("min", "max")}
     if keys:
-        ends = kept(rows.groupBy("_cut").agg(F.min(F.struct(*keys)).alias("a"), F.max(F.struct(*keys)).alias("b")))
+        ends = kept(rows.groupBy("_cut").agg(F.min(F.struct(*keys)).alias("a"), F.max(F.struct(*keys)).alias("b"), F.count(F.lit(1)).alias("_w_n"), *(c.alias(k) for k, c in bounds.items())))
         split = ends.select("_cut", F.explode(F.array_distinct(F.array("a", "b"))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k.*")
         some = rows.alias("r").join(F.broadcast(kept(split)).alias("s"), _same(keys, "r", "s"), "left_semi").select("r.*")
-    parts: Parts = {"_w_n": F.count(F.lit(1)), "_w_first": F.min("_seq")}
+    parts: Parts = {"_w_n": F.count(F.lit(1)), "_w_first": F.min("_seq")} | ({} if keys else bounds)
     for i, w in enumerate(columns):
-        if w.function.upper() not in (*RANKS, *SHIFTS):
+        if _open(w):
             parts |= {f"_w_p{i}{k}": c for k, c in _parts(w.function.upper(), F.col(at[i])).items()}
     out = some.groupBy("_cut", *keys).agg(*(c.alias(k) for k, c in parts.items()))
     if ordered:
@@ -226,7 +287,7 @@ def _summary(rows: DataFrame, keys: list[str], columns: list[WindowColumn], at:
         sides = peers.groupBy("_cut", *keys).agg(F.count(F.lit(1)).alias("_w_d"), F.max("_w_s").alias("_w_ls"), F.min_by("_w_o", "_w_s").alias("_w_fo"), F.max_by("_w_o", "_w_s").alias("_w_lo"))
         out = out.alias("r").join(sides.alias("s"), (F.col("r._cut") == F.col("s._cut")) & _same(keys, "r", "s")).select("r.*", "s._w_d", "s._w_ls", "s._w_fo", "s._w_lo")
     out = kept(out)
-    return out, ((out if ends is None else ends).agg(F.max("_cut")).first()[0] or 0) + 1
+    return out, (out if ends is None else ends).agg(F.max("_cut").alias("_cut"), F.max("_w_n").alias("_w_n"), *(getattr(F, k[3:6])(k).alias(k) for k in bounds)).first()
 
 
 def _carried(summary: DataFrame, keys: list[str], columns: list[WindowColumn], ordered: bool) -> DataFrame:
@@ -238,8 +299,11 @@ def _carried(summary: DataFrame, keys: list[str], columns: list[WindowColumn], o
     out = {"_w_off": F.coalesce(F.sum("_w_n").over(up), F.lit(0)), "_w_all": F.sum("_w_n").over(whole), "_w_own": F.col("_w_n"), "_w_start": F.col("_w_first")}
     for i, c in enumerate(columns):
         kind = c.function.upper()
-        if kind not in (*RANKS, *SHIFTS):
+        if _open(c):
             x = {k[len(f"_w_p{i}") :]: F.col(k) for k in summary.columns if k.startswith(f"_w_p{i}") and not k[len(f"_w_p{i}") :][:1].isdigit()}
+            if _total(c, keys):
+                out |= {f"_w_t{i}{k}": v for k, v in _run(kind, x, w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), whole).items()}
+                continue
             out |= {f"_w_b{i}{k}": v for k, v in _run(kind, x, up, whole).items()} | {f"_w_a{i}{k}": v for k, v in _run(kind, x, down, whole).items()}
     if ordered:
         summary = summary.withColumn("_w_go", F.coalesce(F.lag("_w_lo").over(w).eqNullSafe(F.col("_w_fo")) & F.lag("_w_n").over(w).isNotNull(), F.lit(False)))
@@ -288,7 +352,7 @@ def _within(w: WindowColumn, c: Column, w_seq: WindowSpec, w_back: WindowSpec) -
     return _over(kind, c, w_seq.rowsBetween(Window.unboundedPreceding if a is None else a, Window.unboundedFollowing if b is None else b))
 
 
-def _column(i: int, w: WindowColumn, df: DataFrame, names: list[str]) -> Column:
+def _column(i: int, w: WindowColumn, df: DataFrame, names: list[str], exact: bool) -> Column:
     """The function's value from its parts within the cut and those carried from the others."""
     kind = w.function.upper()
     off = F.coalesce("_w_off", F.lit(0))
@@ -306,8 +370,12 @@ def _column(i: int, w: WindowColumn, df: DataFrame, names: list[str]) -> Column:
         return F.col(f"_w_v{i}x")
     a, b = _frame(w)
     x = {k: F.col(f"_w_v{i}{k}") for k in "xnav" if f"_w_v{i}{k}" in names}
-    if a is None:
+    if a is None and x:
         x = _merge(kind, {k: F.col(f"_w_b{i}{k}") for k in x}, x)
-    if b is None:
+    if b is None and x:
         x = _merge(kind, x, {k: F.col(f"_w_a{i}{k}") for k in x})
+    if _total(w, list(w.partition)):
+        x = {k: F.col(f"_w_t{i}{k}") for k in "xnav" if f"_w_t{i}{k}" in names}
+    elif exact and "x" in x:
+        x["x"] = F.when(x["n"] > 0, x["x"])
     return _finish(kind, x).cast(df.select(w.plain(df)).schema[0].dataType)

@@ -50,6 +50,10 @@ class WindowColumn:
     def distributed(self) -> bool:
         return self.split or not (self.partition or self.whole_table)
 
+    def plain_total(self) -> bool:
+        """Whether this is one value for the whole table."""
+        return not (self.partition or self.order) and self.distributed() and self.bounds() == (None, None) and self.function.upper() in _AGGREGATES
+
     def value_name(self, df: DataFrame) -> str | None:
         """The name of the column that the function is of: for LAG and LEAD the first order column, for COUNT the table's
         first, if none is given. None for an expression."""
@@ -111,7 +115,7 @@ def with_windows(df: DataFrame, columns: list[WindowColumn], ordered: bool = Fal
     """Add window columns in order; ``ordered`` sorts the result by the last one's order.
 
     Distributed columns that follow one another with the same partition and order share one scan. A whole-table aggregate
-    without order and frame is one row that is joined.
+    without order and frame is taken from the scan of the whole table that it follows, else it is one row that is joined.
     """
     at = 0
     while at < len(columns):
@@ -119,18 +123,18 @@ def with_windows(df: DataFrame, columns: list[WindowColumn], ordered: bool = Fal
         if not w.distributed():
             df, at = df.withColumn(w.name, w.column(df)), at + 1
             continue
-        if not (w.partition or w.order) and w.bounds() == (None, None) and w.function.upper() in _AGGREGATES:
+        if w.plain_total():
             df, at = df.drop(w.name).crossJoin(F.broadcast(df.agg(w.plain(df).alias(w.name)))), at + 1
             continue
         end, names = at + 1, {w.name}
-        while end < len(columns) and _together(w, columns[end], names):
+        while end < len(columns) and _together(df, w, columns[end], names):
             names.add(columns[end].checked().name)
             end += 1
         df, at = scans.distributed(df, columns[at:end]), end
     return df.orderBy(*order_keys(list(columns[-1].order))) if ordered and columns and columns[-1].order else df
 
 
-def _together(w: WindowColumn, x: WindowColumn, names: set[str]) -> bool:
+def _together(df: DataFrame, w: WindowColumn, x: WindowColumn, names: set[str]) -> bool:
     # A name within the text of an expression may be no column of it; then it gets a scan of its own all the same.
-    uses = x.name in names or (any(n in str(x.c) for n in names) if isinstance(x.c, Column) else x.c in names)
-    return x.distributed() and (w.partition, w.order) == (x.partition, x.order) and not uses
+    uses = x.name in names or (any(n in str(x.c) for n in names) if isinstance(x.c, Column) else x.value_name(df) in names)
+    return x.distributed() and ((w.partition, w.order) == (x.partition, x.order) or (x.plain_total() and not w.partition)) and not uses

@@ -46,7 +46,7 @@ _CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 def window_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = tuple((c, "asc") for c in _LINE)
     cents = F.round(C("l_extendedprice") * 100).cast("bigint")
-    d = windowing.with_windows(_read(spark, sf_dir, "lineitem"), [
+    d = windowing.with_windows(_read(spark, sf_dir, "lineitem").select(*_LINE, "l_tax"), [
         W("rn", "ROW_NUMBER", (), order), W("prev3", "LAG", (), order, "l_quantity", 3), W("next_date", "LEAD", (), order, "l_shipdate"), W("cents", "SUM", (), order, cents, preceding="unbounded", following=0),
         W("tax_ahead", "MAX", (), order, "l_tax", preceding=0), W("near", "AVG", (), order, C("l_quantity").cast("bigint"), preceding=100, following=20), W("n", "COUNT", c="l_orderkey"),
     ])
