@@ -87,3 +87,43 @@ def test_cells_follow_the_width_of_the_bounds(spark):
     values = cells.values(v, F.col("v"), F.col("v"), levels)
     assert min(levels) >= 4 and spans.groupBy("lo").count().agg(F.max("count")).first()[0] <= 7
     assert spans.join(values, ["_level", "_cell", "_part"]).count() < 4 * 10 * 4000
+
+
+def test_a_result_that_grows_with_the_square_is_small_as_parquet(spark, tmp_path):
+    """Rows of a block come in the same order beside one value after another: before, a byte and more was left of each pair."""
+    a, b = spark.range(2500).selectExpr("id AS n", "id * 7919L % 2503 AS v"), spark.range(3000).selectExpr("id AS m", "id * 6007L % 3001 AS w")
+    joins.join(a, joins.Right(b, "other", "full", (("v", "LT", "w"),))).select("n", "m").write.parquet(f"{tmp_path}/out")
+    pairs = spark.read.parquet(f"{tmp_path}/out").where("n IS NOT NULL AND m IS NOT NULL").count()
+    assert pairs == a.join(b, F.col("v") < F.col("w")).count()
+    assert sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < pairs / 3
+
+
+def test_one_comparison_joins_once(spark, sides, large):
+    """What one comparison leaves over follows from the largest and least values: no further join."""
+    for op, kind in (("LT", "full"), ("GTE", "left"), ("GT", "right")):
+        got = joins.join(sides[0], joins.Right(sides[1], "other", kind, (("v", op, "lo"),)))
+        assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+
+
+@pytest.mark.parametrize("on", CASES)
+def test_small_blocks_and_many_turns(spark, sides, large, monkeypatch, on):
+    for name, n in (("BLOCK", 4), ("PAIRS", 20), ("VALUES", 50)):
+        monkeypatch.setattr(ranges, name, n)
+    rows = lambda d: sorted(map(repr, map(tuple, d.collect())))
+    a, b = sides
+    left, right = a.select(*(a[c].alias(f"a_{c}") for c in a.columns)), b.select(*(b[c].alias(f"b_{c}") for c in b.columns))
+    test = joins._all(left.__getitem__, right.__getitem__, [(f"a_{x}", op, f"b_{y}") for x, op, y in on])
+    got = joins.join(a, joins.Right(b, "other", "full", on))
+    assert rows(got) == rows(left.join(right, test, "full"))
+    assert "explode(sequence(0, (_turns" in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_values_take_the_levels_of_their_bin_alone(spark):
+    """Few rows with narrower bounds in one bin: the values of the others keep one place."""
+    v = spark.range(200_000).withColumnRenamed("id", "v")
+    cells = ranges.Cells(ranges.looked_at(v, "v"), ranges._measure({"long"}))
+    given = spark.range(0, 200_000, 50).select(F.col("id").alias("lo"), (F.col("id") + F.when(F.col("id") < 500, 1).otherwise(400)).alias("hi"))
+    taken = cells.taken(cells.spans(given, F.col("lo"), F.col("hi")))
+    assert len(taken) == len(cells.slots.slots) and len(taken[0]) > 1 and len(taken[40]) == 1
+    values = cells.leveled(cells.placed(v, F.col("v"), F.col("v")), F.col("v"), taken)
+    assert 200_000 < values.count() < 210_000
