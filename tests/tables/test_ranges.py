@@ -127,3 +127,13 @@ def test_values_take_the_levels_of_their_bin_alone(spark):
     assert len(taken) == len(cells.slots.slots) and len(taken[0]) > 1 and len(taken[40]) == 1
     values = cells.leveled(cells.placed(v, F.col("v"), F.col("v")), F.col("v"), taken)
     assert 200_000 < values.count() < 210_000
+
+
+def test_the_result_of_an_interval_join_is_small_as_parquet(spark, tmp_path):
+    """As above, with three columns and narrow bounds: 0.62 bytes a pair; before, 0.85."""
+    a = spark.range(20_000).selectExpr("id AS n", "id * 7919L % 20011 AS v")
+    b = spark.range(20_000).selectExpr("id AS m", "concat('type', id * 31 % 5) AS k", "id * 6007L % 20011 AS lo", "id * 6007L % 20011 + 150 AS hi")
+    joins.join(a, joins.Right(b, "other", "inner", (("v", "GTE", "lo"), ("v", "LTE", "hi")))).select("n", "m", "k").write.parquet(f"{tmp_path}/out")
+    pairs = spark.read.parquet(f"{tmp_path}/out").count()
+    assert pairs == a.join(b, F.col("v").between(F.col("lo"), F.col("hi"))).count()
+    assert sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < pairs * 0.72
